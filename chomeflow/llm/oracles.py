@@ -14,7 +14,7 @@ _WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lam
 _GRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 
 OP2 = f"""
-WITH templates AS (SELECT column0 AS license_id, {_WORDS.format("column1")} AS w FROM (VALUES {_TEMPLATES})),
+WITH templates AS (SELECT license_id, {_WORDS.format("body")} AS w FROM (VALUES {_TEMPLATES}) AS v(license_id, body)),
 sets AS (SELECT license_id, {_GRAMS} AS s FROM templates),
 lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
 units AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chomeflow.llm import bpe_chunks, chat_format, license_dice, quality_rff, secret_scan
+from chomeflow.llm import bpe_chunks, chat_format, embedding_rabitq, license_dice, minhash_cpsjoin, quality_rff, secret_scan
 from chomeflow.llm.oracles import ORACLES
 from chomeflow.llm.tables import table
 
@@ -23,11 +23,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_dice.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_cpsjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rff.score_quality(docs, quality_rff.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_rabitq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op5_quality_classifier, op7_secret_scan, op8_chat_format, op10_bpe)
+    f.__name__: f for f in (op2_license_scan, op4_minhash_near_dedup, op5_quality_classifier, op6_embedding_near_dedup, op7_secret_scan, op8_chat_format, op10_bpe)
 }
 
 
