@@ -29,6 +29,19 @@ SELECT doc_id, unit, license_id, dice, shared FROM scored WHERE dice >= {THRESHO
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license_id) = 1
 """
 
+_SHINGLES = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
+OP3 = f"""
+WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+qs AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM i WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*)::BIGINT AS item_shingles FROM qs GROUP BY item_id),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM d WHERE len(w) >= 5),
+hits AS (SELECT doc_id, item_id, count(*)::BIGINT AS shared FROM ds JOIN qs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, item_shingles, shared::DOUBLE / item_shingles AS containment
+FROM hits JOIN n USING (item_id) WHERE shared::DOUBLE / item_shingles >= 0.75
+"""
+
 _ESCAPED = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
 
 OP8 = f"""
@@ -48,7 +61,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM steps GROUP BY conv_id
 """
 
-#: Not prefiltered: the patterns run over whole texts.
-OP7 = None
-
-ORACLES = {k: v for k, v in {"op2_license_scan": OP2, "op8_chat_format": OP8}.items() if v}
+ORACLES = {"op2_license_scan": OP2, "op3_benchmark_decontamination": OP3, "op8_chat_format": OP8}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chomeflow.llm import bpe_chunks, chat_format, embedding_rabitq, license_dice, minhash_cpsjoin, quality_rff, secret_scan
+from chomeflow.llm import bpe_chunks, chat_format, decontaminate, embedding_rabitq, license_dice, minhash_cpsjoin, quality_rff, secret_scan
 from chomeflow.llm.oracles import ORACLES
 from chomeflow.llm.tables import table
 
@@ -23,6 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_dice.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_cpsjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op4_minhash_near_dedup, op5_quality_classifier, op6_embedding_near_dedup, op7_secret_scan, op8_chat_format, op10_bpe)
+    f.__name__: f for f in (op2_license_scan, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_quality_classifier, op6_embedding_near_dedup, op7_secret_scan, op8_chat_format, op10_bpe)
 }
 
 
