@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chomeflow.llm import bpe_chunks, chat_format, decontaminate, embedding_rabitq, license_dice, minhash_cpsjoin, quality_rff, secret_scan
+from chomeflow.llm import bpe_chunks, chat_format, decontaminate, embedding_rabitq, license_dice, minhash_cpsjoin, pii_surrogates, quality_rff, secret_scan, sparse_suffix
 from chomeflow.llm.oracles import ORACLES
 from chomeflow.llm.tables import table
 
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.masked(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_dice.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,12 +55,28 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(turns.unionByName(added)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), full=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op3_benchmark_decontamination, op4_minhash_near_dedup, op5_quality_classifier, op6_embedding_near_dedup, op7_secret_scan, op8_chat_format, op10_bpe)
+    f.__name__: f
+    for f in (
+        op1_pii_surrogates,
+        op2_license_scan,
+        op3_benchmark_decontamination,
+        op4_minhash_near_dedup,
+        op5_quality_classifier,
+        op6_embedding_near_dedup,
+        op7_secret_scan,
+        op8_chat_format,
+        op9_suffix_dedup,
+        op10_bpe,
+    )
 }
 
 
