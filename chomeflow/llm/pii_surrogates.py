@@ -211,11 +211,13 @@ def masked(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id"
     n = free_name(docs, count_col or "_n")
     has = F.coalesce(F.size(mentions(F.col(text_col))) > 0, F.lit(False))
     clean = docs.where(~has).withColumn(n, F.lit(0).cast("long"))
-    with_some = docs.where(has).join(per_doc, docs[id_col].eqNullSafe(per_doc["_id"]))
+    own, shown_col = free_name(docs, "_own_id"), free_name(docs, "_own_shown")
+    per_doc = per_doc.withColumnsRenamed({"_id": own, "_shown": shown_col})
+    with_some = docs.where(has).join(per_doc, F.col(id_col).eqNullSafe(F.col(own)))
     every = mentions(F.col(text_col))
     gaps = F.split(F.col(text_col), ANY, -1)
     new = F.array_join(
-        F.zip_with(gaps, F.transform(every, lambda m: F.coalesce(F.try_element_at(F.col("_shown"), m), m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""
+        F.zip_with(gaps, F.transform(every, lambda m: F.coalesce(F.try_element_at(F.col(shown_col), m), m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""
     )
     dirty = with_some.withColumns({text_col: new, n: F.size(every).cast("long")}).select(*clean.columns)
     out = clean.unionByName(dirty)

@@ -18,8 +18,8 @@ from chomeflow.llm.tables import Scratch, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_rff.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_rff.score_quality(docs.withColumn("_text", F.col("text")), model, text_col="_text", keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return quality_rff.score_quality(whole, model, keep=["row"]).where("predicted = 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
