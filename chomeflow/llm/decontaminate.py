@@ -3,12 +3,13 @@
 Texts are normalised (lower case, runs of other characters than letters and
 digits one space) and cut into shingles of 5 words.  Items are partitioned by
 size: class W holds items of W/2 (not included) to W shingles.  For each class
-that occurs, documents are covered by windows of 3W/2 shingles, W/2 apart, so
-every passage of W shingles lies within a window, however long the document is.
-In a window, an item that it holds has a Jaccard similarity of 1/3 or more, so
-one of the ``HASHES`` minwise values of the two agrees with a chance over 0.9999
-(over 0.998 for an item of which three quarters are there).  Windows of larger
-classes take their minima from those of smaller ones.
+that occurs, documents are cut into windows of W/2 shingles, however long the
+document is, and each window has ``HASHES`` minwise values.  A passage equal to an
+item fills at least a window's length; the shingle with the item's least value lies in
+some window, and is the least there too unless a foreign shingle at the passage's
+ends is less, so each value agrees with a chance of more than one half, and one of all
+agrees with a chance over 0.9999 (over 0.999 for an item of which three quarters are
+there).  Windows of larger classes take their minima from those of smaller ones.
 
 The index of items' minwise values is broadcast in blocks of ``INDEX_ROWS`` rows
 at most; a larger benchmark takes more passes, with the same result.  Every
@@ -85,20 +86,25 @@ def window_keys(hashes: Column, classes: list[int]) -> Column:
     """Keys of all windows of all size classes of a document: minwise values, told apart by class."""
     base = max(1, min(classes) // 2)
 
-    def of_class(blocks: Column, w: int) -> Column:
-        step = max(1, w // 2) // base
-        width = 3 * step if w > 1 else 1
-        of_function = lambda rows: lambda k: F.array_min(F.transform(rows, lambda r: F.get(r, k))).bitwiseXOR(F.lit(_salt(w)))
-        of_window = lambda rows: F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), of_function(rows))
-        starts = F.sequence(F.lit(0), F.size(blocks) - 1, F.lit(step))
-        return F.flatten(F.transform(starts, lambda s: let(F.slice(blocks, s + 1, width), of_window)))
+    def salted(blocks: Column, w: int) -> Column:
+        return F.transform(F.flatten(blocks), lambda v: v.bitwiseXOR(F.lit(_salt(w))))
 
-    def of_blocks(blocks: Column) -> Column:
-        return F.concat(*[of_class(blocks, w) for w in classes])
+    def paired(blocks: Column) -> Column:
+        """Minima of windows twice as long."""
+        starts = F.sequence(F.lit(0), F.size(blocks) - 1, F.lit(2))
+        least = lambda x, y: F.least(x, F.coalesce(y, x))
+        return F.transform(starts, lambda s: F.when(F.get(blocks, s + 1).isNull(), F.get(blocks, s)).otherwise(F.zip_with(F.get(blocks, s), F.get(blocks, s + 1), least)))
+
+    def from_size(blocks: Column, size: int) -> Column:
+        """Keys of the classes whose windows have ``size`` shingles or more."""
+        own = [salted(blocks, w) for w in classes if max(1, w // 2) == size]
+        if not any(w // 2 > size for w in classes):
+            return F.concat(*own)
+        return F.concat(*own, let(paired(blocks), lambda more: from_size(more, 2 * size)))
 
     n_blocks = F.ceil(F.size(hashes) / base).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: let(F.slice(hashes, b * base + 1, base), minwise))
-    return F.when(F.size(hashes) > 0, let(blocks, of_blocks)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hashes) > 0, let(blocks, lambda least: from_size(least, base))).otherwise(F.array().cast("array<bigint>"))
 
 
 def contained_items(
