@@ -22,9 +22,12 @@ classes that aren't joined yet.
 
 A family of more than ``FAMILY`` classes or ``SHINGLES`` shingles is dealt into
 blocks that all hold the same hub classes, so its members meet through the hubs.
-Its classes that are in different components after that are compared leaf by
-leaf and each candidate pair is confirmed; so nothing is dropped.  A node that is still
-larger than a leaf at ``DEPTH`` is dealt into leaves with hubs in the same way.
+A node that is still larger than a leaf at ``DEPTH`` is dealt into leaves with hubs in
+the same way.  Hubs alone don't join everything: the leaves of large families and the
+larger nodes that hold classes of several components after that are compared
+in full.  Such a node is dealt into blocks and every two of them meet, but for two of
+one same component; classes with a candidate of another component are confirmed
+there on full sets.  So every candidate pair of a node is compared or joined already.
 
 Null and empty texts have an empty set and link with nothing.  Rows with a null id
 have a null component and aren't kept.  Repeated rows are of one class; each is
@@ -99,14 +102,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _candidates(size: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int, int]]:
-    """(-agreeing minwise values, i, j) of pairs that may link, best first."""
+def _candidates(size: np.ndarray, sigs: np.ndarray, comp: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(-agreeing minwise values, i, j) of pairs that may link, best first; with ``comp``, of different components and sides (a side under 0 is all)."""
     least = (PERCENT / 100 - SLACK) * HASHES
     found: list[tuple[int, int, int]] = []
     for i in range(len(size) - 1):
         same = (sigs[i + 1 :] == sigs[i]).sum(1)
         lo, hi = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-        found += [(-int(same[j]), i, i + 1 + j) for j in np.flatnonzero((same >= least) & (100 * lo >= PERCENT * hi)).tolist()]
+        may = (same >= least) & (100 * lo >= PERCENT * hi)
+        if comp is not None:
+            may &= (comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
+        found += [(-int(same[j]), i, i + 1 + j) for j in np.flatnonzero(may).tolist()]
     return sorted(found)
 
 
@@ -127,13 +133,10 @@ class _Union:
         return x != y
 
 
-def leaf_links(cls: np.ndarray, size: np.ndarray, sigs: np.ndarray, comp: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of a leaf's candidate pairs; with ``comp``, all candidate pairs of different components instead."""
-    found = _candidates(size, sigs)
-    if comp is not None:
-        return [(int(cls[i]), int(cls[j])) for _, i, j in found if comp[i] != comp[j]]
+def leaf_links(cls: np.ndarray, size: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a leaf's candidate pairs."""
     union = _Union(len(cls))
-    return [(int(cls[i]), int(cls[j])) for _, i, j in found if union.join(i, j)]
+    return [(int(cls[i]), int(cls[j])) for _, i, j in _candidates(size, sigs) if union.join(i, j)]
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -144,12 +147,16 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def block_links(cls: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of a block's links, confirmed on full sets."""
+def block_links(cls: np.ndarray, sets: list[np.ndarray], comp: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of a block's links, confirmed on full sets; with ``comp``, of those between components."""
     size = np.array([len(x) for x in sets])
     union = _Union(len(cls))
+    if comp is not None:
+        first: dict[int, int] = {}
+        for i, c in enumerate(comp.tolist()):
+            union.join(i, first.setdefault(c, i))
     out = []
-    for _, i, j in _candidates(size, np.stack([signature(x) for x in sets])):
+    for _, i, j in _candidates(size, np.stack([signature(x) for x in sets]), comp, side):
         if union.find(i) != union.find(j) and linked(sets[i], sets[j]):
             union.join(i, j)
             out.append((int(cls[i]), int(cls[j])))
@@ -221,38 +228,40 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: group, cls, size, signature and maybe the component."""
+    """Columns: group, cls, size, signature."""
     for groups in _grouped(batches, 2000):
         pairs = []
         for g in groups:
-            sigs = np.frombuffer(b"".join(g.column(3).to_pylist()), np.uint32).reshape(-1, HASHES)
-            comp = g.column(4).to_numpy() if g.num_columns > 4 else None
-            pairs += leaf_links(g.column(1).to_numpy(), g.column(2).to_numpy(), sigs, comp)
+            pairs += leaf_links(g.column(1).to_numpy(), g.column(2).to_numpy(), _matrix(g.column(3)))
         yield _links(pairs)
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of columns group, cls, component, side, size and signature, the first four of classes with a candidate of another component."""
+    for groups in _grouped(batches, 2000):
+        for g in groups:
+            found = _candidates(g.column(4).to_numpy(), _matrix(g.column(5)), g.column(2).to_numpy(), g.column(3).to_numpy())
+            if found:
+                some = g.select([0, 1, 2, 3]).take(pa.array(sorted({x for _, i, j in found for x in (i, j)}), pa.int64()))
+                yield from some.combine_chunks().to_batches()
+
+
 def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: block, cls, set."""
+    """Columns: block, cls, set and maybe component and side."""
     for groups in _grouped(batches, 200):
         pairs = []
         for g in groups:
-            pairs += block_links(g.column(1).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(2).to_pylist()])
+            labels = [g.column(k).to_numpy() for k in range(3, g.num_columns)]
+            pairs += block_links(g.column(1).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(2).to_pylist()], *labels)
         yield _links(pairs)
 
 
-def _confirm_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hold = [linked(*(np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))) for i in range(batch.num_rows)]
-        keep = pa.array(np.flatnonzero(hold).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["_a", "_b"])
-
-
 LINKS = "_a bigint, _b bigint"
 
 
-def _compared(members: DataFrame, sigs: DataFrame, extra: list[str]) -> DataFrame:
+def _compared(members: DataFrame, sigs: DataFrame) -> DataFrame:
     """Links to confirm, from (gid, cls) of leaves."""
-    rows = members.join(sigs, "cls").select("gid", "cls", "n_shingles", "sig", *extra)
+    rows = members.join(sigs, "cls").select("gid", "cls", "n_shingles", "sig")
     return rows.repartition("gid").sortWithinPartitions("gid", "cls").mapInArrow(_compare, LINKS).distinct()
 
 
@@ -270,6 +279,36 @@ def _dealt(rows: DataFrame, group: str, chunks: Column, share: Column) -> DataFr
     return rows.select(group, "cls", F.explode(where).alias("chunk")).select(F.xxhash64(group, "chunk").alias("gid"), "cls")
 
 
+def _unjoined(nodes: DataFrame, comps: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(gid, cls, comp, side): classes of nodes (node, cls) with candidates of other components, by pairs of blocks; None if every node is joined."""
+    labelled = nodes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", F.coalesce("comp", "cls").alias("comp"))
+    # nodes of several components; equal ones once
+    marks = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(8))).alias("y")]
+    several = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *marks).where("lo <> hi").groupBy("c", "x", "y").agg(F.min("node").alias("node"))
+    rows = scratch.save(labelled.join(several.select("node"), "node", "left_semi").join(sigs.select("cls", "n_shingles"), "cls"), "several")
+    if rows.isEmpty():
+        return None
+
+    def pieces(count: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(count / max(LEAF // 2, 1)), F.ceil(shingles / (SHINGLES // 4))).cast("int")
+
+    # a component of more than a block has blocks of its own, the others share blocks
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t")).withColumn("own", pieces(F.col("c"), F.col("t")))
+    shared = parts.where("own = 1").groupBy("node").agg(pieces(F.sum("c"), F.sum("t")).alias("shared"))
+    pure = F.when(F.col("own") > 1, F.col("comp"))
+    block = F.when(F.col("own") > 1, F.xxhash64("node", "comp", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("own")))).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("comp", F.lit(6)), F.col("shared"))))
+    placed = rows.join(parts.select("node", "comp", "own"), ["node", "comp"]).join(shared, "node", "left").select("node", "cls", "comp", pure.alias("pure"), block.alias("block"))
+    placed = scratch.save(placed, "placed")
+    blocks_ = placed.select("node", "block", "pure").distinct()
+    other = blocks_.select("node", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
+    two = blocks_.join(other, "node").where("block < block2 AND NOT coalesce(pure = pure2, false)").select(F.xxhash64("block", "block2").alias("gid"), "block", "block2")
+    deal = two.select("gid", "block", F.lit(0).alias("side")).unionByName(two.select("gid", F.col("block2").alias("block"), F.lit(1).alias("side")))
+    deal = deal.unionByName(blocks_.where("pure IS NULL").select(F.col("block").alias("gid"), "block", F.lit(-1).alias("side")))
+    met = placed.join(deal, "block").join(sigs, "cls").select("gid", "cls", "comp", "side", "n_shingles", "sig")
+    kinds = "gid bigint, cls bigint, comp bigint, side int"
+    return scratch.save(met.repartition("gid").sortWithinPartitions("gid", "cls").mapInArrow(_open, kinds), "open")
+
+
 def _full_sets(classes: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(cls, members) of the classes concerned, made anew from their texts."""
     wanted = scratch.save(classes.join(reps, "cls").select("cls", F.col("rep").alias("_id")), "wanted")
@@ -315,15 +354,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         scratch.drop(pairs, big)
         pairs = more
 
-    if large is not None:
-        leaves.append(scratch.save(_dealt(large, "node", F.ceil(F.col("m") / (LEAF // 2)).cast("int"), (LEAF // 4) / F.col("m")), "leaves"))
-
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
     members = scratch.save(members.distinct(), "members")
+    met = members
+    if large is not None:
+        met = met.unionByName(_dealt(large, "node", F.ceil(F.col("m") / max(LEAF // 2, 1)).cast("int"), (LEAF // 4) / F.col("m")))
     scratch.drop(*leaves)
-    families = connected_components(_compared(members, sigs, []), scratch).withColumnRenamed("comp", "family").withColumnRenamed("node", "cls")
+    families = connected_components(_compared(met, sigs), scratch).withColumnRenamed("comp", "family").withColumnRenamed("node", "cls")
     sized = scratch.save(families.join(sigs.select("cls", "n_shingles"), "cls"), "families")
     totals = sized.groupBy("family").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
     huge = scratch.save(totals.where((F.col("c") > FAMILY) | (F.col("t") > SHINGLES)), "large-families")
@@ -336,17 +375,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks_ = in_blocks.join(sets, "cls").select("gid", "cls", "members").repartition("gid").sortWithinPartitions("gid", "cls")
     sound = scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed")
     comps = connected_components(sound, scratch)
+    # what hubs left apart: in the leaves of large families and in larger nodes
+    rest = [large.select("node", "cls")] if large is not None else []
     if some_huge:
-        # what the blocks of a large family left apart, leaf by leaf
-        apart = sized.join(huge.select("family"), "family", "left_semi").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-        apart = scratch.save(apart.select("cls", F.coalesce("comp", "cls").alias("comp")), "apart")
-        more = scratch.save(_compared(members.join(apart, "cls"), sigs, ["comp"]), "candidates")
-        if not more.isEmpty():
-            ends = more.select(F.col("_a").alias("cls")).unionByName(more.select(F.col("_b").alias("cls"))).distinct()
-            sets = scratch.save(sized.select("cls").join(ends, "cls", "left_semi").join(sets, "cls"), "sets")
-            one = more.join(sets.select(F.col("cls").alias("_a"), F.col("members").alias("x")), "_a")
-            two = one.join(sets.select(F.col("cls").alias("_b"), F.col("members").alias("y")), "_b").select("_a", "_b", "x", "y")
-            comps = connected_components(sound.unionByName(two.mapInArrow(_confirm_pairs, LINKS)), scratch)
+        of_huge = sized.join(huge.select("family"), "family", "left_semi").select("cls")
+        rest.append(members.join(of_huge, "cls", "left_semi").select(F.col("gid").alias("node"), "cls"))
+    if rest:
+        nodes = rest[0]
+        for more in rest[1:]:
+            nodes = nodes.unionByName(more)
+        apart = _unjoined(nodes, comps, sigs, scratch)
+        if apart is not None and not apart.isEmpty():
+            sets = _full_sets(apart.select("cls").distinct(), docs, reps, scratch, id_col, text_col)
+            blocks_ = apart.join(sets, "cls").select("gid", "cls", "members", "comp", "side").repartition("gid").sortWithinPartitions("gid", "cls")
+            comps = connected_components(sound.unionByName(scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed")), scratch)
 
     rooted = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     rooted = scratch.save(rooted, "rooted")

@@ -152,6 +152,23 @@ def test_near_duplicates_against_brute_force(spark, family, monkeypatch):
     assert one.columns == df.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(i for i in ids if want[i] == i)
 
 
+def test_near_duplicates_of_dense_nodes(spark, monkeypatch):
+    """Different texts with much in common share nodes larger than a leaf; near copies among them must meet in any chunk."""
+    for name, value in (("LEAF", 4), ("DEPTH", 1), ("FAMILY", 2), ("HUBS", 1)):
+        monkeypatch.setattr(minhash_cpsjoin, name, value)
+    common = " ".join(f"c{i}" for i in range(150))
+    own = [[f"d{k}x{i}" for i in range(30)] for k in range(60)]
+    near = [w[:12] + [f"e{i}" for i in w[12:]] for w in own[:30]]
+    texts = [f"{common} {' '.join(w)}" for w in own + near]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(_words, texts)]
+    pairs = [(a, b) for a in range(90) for b in range(a + 1, 90) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(pairs) == 30
+    want = _components(range(90), pairs)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_cpsjoin.near_duplicates(df).collect()}
+    assert got == want
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
