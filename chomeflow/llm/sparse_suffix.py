@@ -7,16 +7,16 @@ passage of ``PASSAGE`` words has one among its first ``WINDOW`` words, with at l
 ``ROOT`` words behind it.
 
 Kept suffixes are sorted in all partitions together by their first ``ROOT`` words; only
-those that share these words with another suffix go on.  They are sorted by the
-words that follow, neighbours are compared, and matches are extended right and
-left word by word; then the same with the words before as the second key, so
-that each suffix meets the neighbours that match it farthest on either side.
-Matches of ``PASSAGE`` words or more are repeated passages.  Matches of
-successive suffixes overlap, so a passage of any length is covered by its own.
+those that share these words with another suffix go on.  A passage belongs to the
+minimiser of its first ``WINDOW`` words, so equal passages belong to suffixes of
+equal roots.  Each suffix that went on brings the 64-bit hashes of all passages of
+``PASSAGE`` words that belong to it, sorted by root, and those with a hash that occurs
+at another place are repeated passages.  Longer ones are covered by the passages in them.
 
-Sorting is by range and ranges are cut within groups of equal keys, so no
-passage is too common for a task.  The last row of a range and the first of the
-next are compared in a small second step, of two rows for each partition.
+Sorting is by range and ranges are cut within groups of equal roots, so no
+passage is too common for a task.  The first and last root of a range, and those of
+more than ``HELD`` rows, may not be whole in a task: one place of each of their hashes
+goes to a second step, which finds those that several tasks have.
 
 Texts of equal words form a class and are sorted once; a class of several rows and of
 ``PASSAGE`` words or more is repeated as a whole.  Null and empty texts have no words.
@@ -40,10 +40,10 @@ PASSAGE = 50
 GRAM = 6
 WINDOW = 25
 ROOT = PASSAGE - WINDOW + 1
-#: Words of context on each side; with it any passage is covered by matches of its successive minimisers.
-CONTEXT = PASSAGE - ROOT
+#: Suffixes of one root that a task holds at once.
+HELD = 50_000
 
-_C = randoms(61, ROOT)
+_C = randoms(61, PASSAGE)
 
 
 def _running(words: np.ndarray, n: int) -> np.ndarray:
@@ -57,16 +57,20 @@ def _running(words: np.ndarray, n: int) -> np.ndarray:
         return mix(out)
 
 
+def minimisers(words: np.ndarray) -> np.ndarray:
+    """The minimiser position of each run of WINDOW grams, in order."""
+    view = np.lib.stride_tricks.sliding_window_view(_running(words, GRAM), WINDOW)
+    return np.argmin(view, 1) + np.arange(len(view))
+
+
 def anchors(words: np.ndarray) -> np.ndarray:
     """Minimiser positions with ROOT words or more from there on."""
     if len(words) < ROOT:
         return np.zeros(0, np.int64)
-    grams = _running(words, GRAM)
-    if len(grams) <= WINDOW:
-        at = np.array([int(np.argmin(grams))])
+    if len(words) < GRAM + WINDOW:
+        at = np.array([int(np.argmin(_running(words, GRAM)))])
     else:
-        view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        at = np.unique(np.argmin(view, 1) + np.arange(len(view)))
+        at = np.unique(minimisers(words))
     return at[at + ROOT <= len(words)]
 
 
@@ -131,83 +135,107 @@ def _shared_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([before[0]], pa.int64()), pa.array([before[1]], pa.int64()), pa.array([before[2]], pa.int32())], ["root", "cls", "pos"])
 
 
-def _with_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, cls, start, hashes) of each suffix: the successive passages that belong to it, and where the first starts."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            root, cls, pos, left, right = [], [], [], [], []
-            for i, w in enumerate(_texts(part.column(2))):
-                c = part.column(0)[i].as_py()
-                if text_class(w) != c:
-                    continue
-                at = np.unique(np.array(part.column(1)[i].as_py(), np.int64))
-                marks = (w >> np.uint64(48)).astype(">u2")
-                back = marks[::-1]
-                root.append(_running(w, ROOT)[at].view(np.int64))
-                cls.append(np.full(len(at), c))
-                pos.append(at.astype(np.int32))
-                right += [marks[a + ROOT : a + ROOT + CONTEXT].tobytes() for a in at.tolist()]
-                left += [back[len(w) - a : len(w) - a + CONTEXT].tobytes() for a in at.tolist()]
+            classes, places = part.column(0).to_pylist(), part.column(1)
+            root, cls, start, hashes = [], [], [], []
+            for first, _, data, off in blocks(part.column(2)):
+                words, ends = word_hashes(data, off)
+                roots, whole = _running(words, ROOT), _running(words, PASSAGE)
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), first):
+                    if b - a < PASSAGE or text_class(words[a:b]) != classes[i]:
+                        continue
+                    own = minimisers(words[a:b])[: b - a - PASSAGE + 1]
+                    edge = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+                    for k in np.flatnonzero(np.isin(own[edge[:-1]], np.array(places[i].as_py(), np.int64))).tolist():
+                        x, y = int(edge[k]), int(edge[k + 1])
+                        root.append(roots[a + own[x]])
+                        cls.append(classes[i])
+                        start.append(x)
+                        hashes.append(whole[a + x : a + y].tobytes())
             if root:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (root, cls, pos)] + [pa.array(x, pa.binary()) for x in (left, right)], ["root", "cls", "pos", "left", "right"])
-
-
-def _common(x: bytes, y: bytes) -> int:
-    """Words that two contexts have in common at their start."""
-    if x == y:
-        return len(x) // 2
-    n = min(len(x), len(y)) // 2
-    for i in range(n):
-        if x[2 * i : 2 * i + 2] != y[2 * i : 2 * i + 2]:
-            return i
-    return n
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (cls, start, stop) of matches of neighbours; and the first and last row, for the step after."""
-    names = ["root", "cls", "pos", "left", "right"]
-
-    def out(spans: list[tuple[int, int, int]], edges: list[tuple]) -> pa.RecordBatch:
-        n, m = len(spans), len(edges)
-        spans, edges = spans or [(0, 0, 0)][:0], edges
-        col = lambda rows, k: [r[k] for r in rows]
-        return pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(root, np.uint64).view(np.int64)), pa.array(cls, pa.int64()), pa.array(start, pa.int32()), pa.array(hashes, pa.binary())], ["root", "cls", "start", "hashes"]
+                )
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, cls, start) of each passage of the rows."""
+    packed = rows.column(3).to_pylist()
+    n = np.array([len(x) // 8 for x in packed], np.int64)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.frombuffer(b"".join(packed), np.int64), np.repeat(rows.column(1).to_numpy(), n), np.repeat(rows.column(2).to_numpy(), n) + place
+
+
+def _spans(cls: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cls, start, stop) of passages in order, those that start at successive words as one."""
+    cut = np.flatnonzero((np.diff(cls) != 0) | (np.diff(start) != 1)) + 1
+    edge = np.concatenate([[0], cut, [len(cls)]]) if len(cls) else np.zeros(1, np.int64)
+    return cls[edge[:-1]], start[edge[:-1]], start[edge[1:] - 1] + PASSAGE
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (cls, start, stop) of passages that are repeated here; and, with its hash, one place of each passage of roots that may not be whole here."""
+    held: pa.Table | None = None
+    cut = None  # a root that may not be whole here
+
+    def resolved(rows: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        # a row may come more than once
+        key = [rows.column(k).to_numpy() for k in range(3)]
+        fresh = np.ones(rows.num_rows, bool)
+        fresh[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+        h, cls, start = _flat(rows.filter(pa.array(fresh)))
+        values, first, at, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        some = count[at] > 1
+        c, x, y = _spans(cls[some], start[some])
+        n, m = len(c), 0 if whole else len(first)
+        first, values = first[:m], values[:m]
+        yield pa.RecordBatch.from_arrays(
             [
-                pa.array(col(spans, 0) + col(edges, 1), pa.int64()),
-                pa.array(col(spans, 1) + [None] * m, pa.int32()),
-                pa.array(col(spans, 2) + [None] * m, pa.int32()),
-                pa.array([None] * n + col(edges, 0), pa.int64()),
-                pa.array([None] * n + col(edges, 2), pa.int32()),
-                pa.array([None] * n + col(edges, 3), pa.binary()),
-                pa.array([None] * n + col(edges, 4), pa.binary()),
+                pa.array(np.concatenate([c, cls[first]])),
+                pa.array(np.concatenate([x, start[first]]).astype(np.int32)),
+                pa.array(np.concatenate([y, start[first] + PASSAGE]).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(n, np.int64), values]), mask=np.arange(n + m) < n),
             ],
-            ["cls", "start", "stop", "root", "pos", "left", "right"],
+            ["cls", "start", "stop", "h"],
         )
 
-    before = None
     for batch in batches:
-        spans = []
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
-        first = None if before is not None else tuple(c[0] for c in cols) if batch.num_rows else None
-        for row in zip(*cols, strict=True):
-            if before is not None and before[0] == row[0] and before[1:3] != row[1:3]:
-                l, r = _common(before[3], row[3]), _common(before[4], row[4])
-                if l + ROOT + r >= PASSAGE:
-                    spans += [(x[1], x[2] - l, x[2] + ROOT + r) for x in (before, row)]
-            before = row
-        yield out(spans, [first] if first is not None else [])
-    if before is not None:
-        yield out([], [before])
-
-
-def _matches(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
-    schema = "cls bigint, start int, stop int, root bigint, pos int, left binary, right binary"
-    cols = ["root", "cls", "pos", "left", "right"]
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        root = rows.column(0).to_numpy()
+        if cut is None:
+            cut = root[0]
+        a = int(np.searchsorted(root, cut, side="right"))
+        last = max(a, int(np.searchsorted(root, root[-1], side="left")))
+        yield from resolved(rows.slice(0, a), whole=False)
+        yield from resolved(rows.slice(a, last - a), whole=True)
+        held = rows.slice(last)
+        if held.num_rows > HELD:
+            cut = root[-1]
+            yield from resolved(held, whole=False)
+            held = None
+    if held is not None:
+        yield from resolved(held, whole=False)
+
+
+def _matches(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, start, stop) of repeated passages."""
+    order = ["root", "cls", "start"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.save(rows.select(cols).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, schema), "matches")
-    edges = found.where("root IS NOT NULL").select(cols).coalesce(1).sortWithinPartitions(*order)
-    ends = edges.mapInArrow(_neighbours, schema)
-    return found.unionByName(ends).where("start IS NOT NULL").select("cls", "start", "stop")
+    found = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_repeats, "cls bigint, start int, stop int, h bigint")
+    found = scratch.save(found, "matches")
+    single = found.where("h IS NOT NULL")
+    place = F.struct("cls", "start")
+    common = single.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
+    return found.where("h IS NULL").drop("h").unionByName(single.join(common, "h", "left_semi").drop("h"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,8 +256,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = scratch.save(places.join(classes.select("cls", F.col("rep").alias("_rep")), "cls"), "places")
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text"))
     found = texts.join(places, texts["_rep"].eqNullSafe(places["_rep"])).select("cls", "at", "_text")
-    found = scratch.save(found.mapInArrow(_with_context, "root bigint, cls bigint, pos int, left binary, right binary"), "suffixes")
-    matches = _matches(found, ["root", "right", "left", "cls", "pos"], scratch).unionByName(_matches(found, ["root", "left", "right", "cls", "pos"], scratch))
+    found = scratch.save(found.mapInArrow(_passages, "root bigint, cls bigint, start int, hashes binary"), "suffixes")
+    matches = _matches(found, scratch)
     whole = classes.where((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE)).select("cls", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))
     spans = matches.unionByName(whole).distinct().groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
     # overlapping and touching spans become one

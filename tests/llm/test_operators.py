@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,57 @@ def test_repeated_passages_against_brute_force(spark):
     assert sparse_suffix.repeated_passages(no_documents(spark)).count() == 0
 
 
+def _covered(texts):
+    at = defaultdict(set)
+    for k, t in enumerate(texts):
+        w = _words(t)
+        for p in range(len(w) - 49):
+            at[tuple(w[p : p + 50])].add((k, p))
+    out = defaultdict(set)
+    for places in at.values():
+        if len(places) > 1:
+            for k, p in places:
+                out[k].update(range(p, p + 50))
+    return dict(out)
+
+
+def test_crossing_passages_against_brute_force(spark):
+    """A and B share a passage; others share its anchor's root and what is right of it, or left of it, and sort between them."""
+    texts, groups = [], 0
+    for g in range(400):
+        passage = [f"g{g}x{i}" for i in range(50)]
+        at = [i for i in sparse_suffix.anchors(next(sparse_suffix._texts(pa.array([" ".join(passage)])))).tolist() if i < 25]
+        if len(at) != 1 or not 10 <= at[0] <= 14:
+            continue
+        groups += 1
+        extra = lambda k: [[f"e{g}x{k}x{s}x{i}" for i in range(30)] for s in range(2)]
+        for k in range(18):
+            left, right = extra(k)
+            part = passage if k < 2 else passage[at[0] :] if k < 10 else passage[: at[0] + 26]
+            texts.append(" ".join([*left, *part, *right]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {p for s in r["spans"].split(",") for p in range(*map(int, s.split(":")))} for r in sparse_suffix.repeated_passages(df).collect()}
+    assert groups >= 10 and got == _covered(texts) and len(got) == 2 * groups
+
+
+def test_passages_of_roots_in_pieces(monkeypatch):
+    """A root of more rows than a task holds: what repeats is found in a piece or left with its hash."""
+    monkeypatch.setattr(sparse_suffix, "HELD", 2)
+    packed = [np.array(h, np.int64).tobytes() for h in ([5, 6], [7, 6], [5, 8], [9, 6], [4, 3], [4, 2], [1, 1])]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 1, 2, 2, 3]), pa.array(range(7)), pa.array([10] * 7, pa.int32()), pa.array(packed)], ["root", "cls", "start", "hashes"])
+    out = [tuple(r.values()) for b in sparse_suffix._repeats(rows.slice(i, 2) for i in range(0, 7, 2)) for r in b.to_pylist()]
+    hashes = defaultdict(set)
+    for i, h in enumerate(packed):
+        for k, v in enumerate(np.frombuffer(h, np.int64).tolist()):
+            hashes[v].add((i, 10 + k))
+    left = defaultdict(set)
+    for c, a, _, h in out:
+        if h is not None:
+            left[h].add((c, a))
+    found = {(c, p) for c, a, b, h in out if h is None or len(left[h]) > 1 for p in range(a, b - 49)}
+    assert found == {p for places in hashes.values() if len(places) > 1 for p in places}
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 
