@@ -7,6 +7,13 @@ coefficient of 2i/(a+b) for i shared bigrams, at most 2 min(a, b)/(a+b); so a
 template can reach ``threshold`` only for sizes within t/(2-t) and (2-t)/t of
 its own.  These bounds prune templates before any bigram is compared.
 
+Licences also stand inside longer texts, wrapped over lines.  A template of which a text
+holds enough bigrams is searched in it: a run of words scores best if it begins and
+ends at the edges of runs of the template's bigrams, so all pairs of such edges within the
+size bounds are tried.  Of overlapping passages the one of most shared bigrams is reported,
+unless a line or whole text reported there shares as many.  Within one line only templates
+of ``INLINE`` bigrams or more are searched; shorter notices must be the line.
+
 Every unit with a coefficient of ``threshold`` or more against some template is
 reported, with its best template; ties go to the template first by name.  Null
 and empty texts and units of fewer than two words match nothing.  Repeated rows
@@ -17,13 +24,16 @@ with the task.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 THRESHOLD = 0.8
+INLINE = 16
 
 #: Public licence notices and texts.
 TEMPLATES = {
@@ -56,6 +66,28 @@ TEMPLATES = {
     "Proprietary-notice": "All rights reserved.",
 }
 
+#: Whole texts of standard licences, and headers of more of them.
+TEXTS = {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))} | {
+    "BSD-2-Clause-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -98,9 +130,71 @@ class Matcher:
             return top[1], -top[0], top[2]
         return None
 
-
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, unit (line number from 0, or -1 for the whole text), license_id, dice, shared of each matching unit.
+    def passages(self, text: str, units: list[tuple[int, str, float, int]]) -> list[tuple[int, str, float, int]]:
+        """(-2 - first line, template, coefficient, shared bigrams) of passages inside a text, given its reported units."""
+        t = self.threshold
+        distinct = bigrams(text)
+        shared: Counter[str] = Counter()
+        for g in self.holders.keys() & distinct:
+            shared.update(self.holders[g])
+        may = [k for k, i in shared.items() if i >= t / (2 - t) * len(self.sets[k])]
+        if not may:
+            return []
+        ends = [m.start() for m in re.finditer("\n", text)]
+        words, line = [], []
+        start = 0
+        for no, stop in enumerate([*ends, len(text)]):
+            found = _WORD.findall(text[start:stop].lower())
+            words += found
+            line += [no] * len(found)
+            start = stop + 1
+        grams = list(zip(words, words[1:], strict=False))
+        found = [x for k in may for x in self._best_runs(grams, self.sets[k], k)]
+        told = [(0, len(words), i) if no == -1 else (bisect_right(line, no - 1), bisect_right(line, no), i) for no, _, _, i in units]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for i, dice, k, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            if line[a] == line[b] and len(self.sets[k]) < INLINE:
+                continue
+            if any(x <= b and a < y and n >= i for x, y, n in told) or any(x <= b and a <= y for x, y in taken):
+                continue
+            taken.append((a, b))
+            out.append((-2 - line[a], k, dice, i))
+        return sorted(out)
+
+    def _best_runs(self, grams: list[tuple[str, str]], template: set[tuple[str, str]], name: str) -> list[tuple[int, float, str, int, int]]:
+        """(shared, coefficient, template, first word, last word) of the best passages of a template that don't overlap."""
+        t, size, out = self.threshold, len(template), []
+        hit = [g in template for g in grams]
+        todo = [(0, len(grams))]
+        while todo:
+            lo, hi = todo.pop()
+            best: tuple[float, int, int, int] | None = None
+            for s in range(lo, hi):
+                if not hit[s] or (s > lo and hit[s - 1]):
+                    continue
+                seen: set[tuple[str, str]] = set()
+                i = 0
+                for e in range(s, hi):
+                    g = grams[e]
+                    if g not in seen:
+                        seen.add(g)
+                        i += hit[e]
+                        if len(seen) > (2 - t) / t * size:
+                            break
+                    if hit[e] and (e + 1 == hi or not hit[e + 1] or len(seen) + 1 > (2 - t) / t * size):
+                        dice = 2.0 * i / (len(seen) + size)
+                        if dice >= t and (best is None or dice > best[0]):
+                            best = (dice, i, s, e)
+            if best is not None:
+                dice, i, s, e = best
+                out.append((i, dice, name, s, e + 1))
+                todo += [(lo, s), (e + 1, hi)]
+        return out
+
+
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES | TEXTS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, unit (line number from 0, -1 for the whole text, -2 - n for a passage from line n on), license_id, dice, shared of each matching unit.
 
     A text of one line is reported as line 0 only.  A narrow pass: no shuffle.
     """
@@ -116,10 +210,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thr
                     continue
                 lines = text.split("\n")
                 units = list(enumerate(lines)) + [(-1, text)] * (len(lines) > 1)
-                for no, unit in units:
-                    if got := matcher.best(unit):
-                        rows.append((no, *got))
-                        ids.append(place)
+                told = [(no, *got) for no, unit in units if (got := matcher.best(unit))]
+                told += matcher.passages(text, told)
+                rows += told
+                ids += [place] * len(told)
             no, name, dice, shared = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(no, pa.int64()), pa.array(name, pa.string()), pa.array(dice, pa.float64()), pa.array(shared, pa.int64())],

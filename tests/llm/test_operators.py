@@ -101,6 +101,18 @@ def test_licences(spark):
     assert license_dice.scan_licenses(no_documents(spark)).count() == 0
 
 
+def test_licences_wrapped_inside_longer_texts(spark):
+    wrap = lambda k, n=9: [" * " + " ".join(w[i : i + n]) for w in [(license_dice.TEMPLATES | license_dice.TEXTS)[k].split()] for i in range(0, len(w), n)]
+    code = [f"value{i} = other{i} + {i};" for i in range(400)]
+    names = ["Apache-2.0-header", "GPL-3.0-header", "MIT-grant", "ISC", "MPL-2.0-header", "LGPL-2.1-header", "BSD-text", "LGPL-3-text"]
+    texts = ["\n".join(["/*", *wrap(k), " */", *code]) for k in names]
+    texts += ["\n".join([*code[:7], *wrap("ISC"), *code, *wrap("ISC"), *code[:3]]), " ".join([*code, *wrap("MIT-grant"), *code])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["unit"], r["license_id"]) for r in license_dice.scan_licenses(df).collect() if r["unit"] < -1}
+    second = 7 + len(wrap("ISC")) + 400
+    assert got == {(i, -3, k) for i, k in enumerate(names)} | {(8, -9, "ISC"), (8, -2 - second, "ISC"), (9, -2, "MIT-grant")}
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
