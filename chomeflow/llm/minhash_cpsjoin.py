@@ -11,7 +11,13 @@ selected function and minwise token.  A pair of similarity s shares a child with
 chance s for each function, so pairs at the threshold or over it live on while
 others die out.  Nodes of at most ``LEAF`` classes are compared exhaustively, by
 minwise signatures; equal nodes of several trees once.  With 10 trees a pair at
-0.75 is met with a chance over 0.999 at any depth up to ``DEPTH``.
+0.75 is met with a chance over 0.999 at any depth up to ``DEPTH``.  Tokens have 32 bits
+in the roots, where a node holds everything, and 16 below.
+
+Large groups of near copies would go down all trees together.  So the larger
+first nodes of ``HUB_KEYS`` functions are compared to a few hub classes each, and these
+links are confirmed first.  A node whose classes are all in one component
+can tell nothing new and ends there; that is exact, as components are all that is asked.
 
 Signature estimates are ``SLACK`` looser than the threshold (over three standard
 deviations).  A leaf of m classes gives a spanning forest of its candidates, so m - 1
@@ -45,7 +51,7 @@ from pyspark.sql import functions as F
 
 from chomeflow.llm.arrow_text import blocks, mix, randoms, shingle_sets, word_hashes
 from chomeflow.llm.components import connected_components
-from chomeflow.llm.tables import Scratch
+from chomeflow.llm.tables import Scratch, bounded, free_name
 
 SHINGLE = 5
 PERCENT = 75
@@ -57,6 +63,8 @@ SLACK = 0.13
 FAMILY = 2048
 SHINGLES = 8_000_000
 HUBS = 64
+#: Root functions, over all trees, whose large nodes are compared to hubs before anything else.
+HUB_KEYS = 3
 
 _MUL, _ADD = randoms(101, HASHES), randoms(103, HASHES)
 
@@ -98,8 +106,17 @@ def branch(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(out)
 
 
+def root_keys(sigs: np.ndarray) -> np.ndarray:
+    """The first nodes of each row in all trees; a column is one function of one tree."""
+    out = []
+    for node in randoms(107, TREES):
+        _, child = branch(np.full(len(sigs), node), sigs)
+        out.append(child.view(np.int64).reshape(-1, len(sigs)))
+    return np.concatenate(out).T
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def _candidates(size: np.ndarray, sigs: np.ndarray, comp: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int, int]]:
@@ -164,32 +181,24 @@ def block_links(cls: np.ndarray, sets: list[np.ndarray], comp: np.ndarray | None
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, cls, sig of each row; cls and sig are null for empty sets."""
+    """id, n_shingles, cls, sig, keys of each row; the last three are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
+    types = {"n_shingles": pa.int64(), "cls": pa.int64(), "sig": pa.binary(), "keys": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                n, cls, sig = [], [], []
-                for s in _sets(part.column(1)):
-                    n.append(len(s))
-                    cls.append(class_of(s) if len(s) else None)
-                    sig.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["_id", "n_shingles", "cls", "sig"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, n_shingles bigint, cls bigint, sig binary")
+                sets = list(_sets(part.column(1)))
+                n = [len(s) for s in sets]
+                cls = [class_of(s) if len(s) else None for s in sets]
+                full = np.stack([signature(s) for s in sets])
+                sig = [row.tobytes() if k else None for k, row in zip(n, full.astype(np.uint16), strict=True)]
+                keys = [row if k else None for k, row in zip(n, root_keys(full), strict=True)]
+                made = [pa.array(x, kind) for x, kind in zip((n, cls, sig, keys), types.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["_id", *types])
 
-
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    start = randoms(107, TREES)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            part = batch.slice(lo, 2000)
-            cls, sigs = part.column(0).to_numpy(), _matrix(part.column(1))
-            for node in start:
-                rows, child = branch(np.full(len(cls), node), sigs)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cls[rows])], ["node", "cls"])
+    return docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, n_shingles bigint, cls bigint, sig binary, keys array<bigint>")
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,18 +268,12 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 LINKS = "_a bigint, _b bigint"
 
 
-def _compared(members: DataFrame, sigs: DataFrame) -> DataFrame:
+def _compared(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Links to confirm, from (gid, cls) of leaves."""
-    rows = members.join(sigs, "cls").select("gid", "cls", "n_shingles", "sig")
+    rows = members.join(classes.select("cls", "n_shingles", "sig"), "cls").select("gid", "cls", "n_shingles", "sig")
     return rows.repartition("gid").sortWithinPartitions("gid", "cls").mapInArrow(_compare, LINKS).distinct()
 
 
-def _leaves(rows: DataFrame) -> DataFrame:
-    """(gid, cls) of nodes of two classes or more; equal ones once. Only for nodes of bounded size."""
-    groups = rows.groupBy("node").agg(F.sort_array(F.collect_list("cls")).alias("m")).where(F.size("m") > 1)
-    return groups.select("m").distinct().select(F.xxhash64("m").alias("gid"), F.explode("m").alias("cls"))
-
-
 def _dealt(rows: DataFrame, group: str, chunks: Column, share: Column) -> DataFrame:
     """(gid, cls): each group dealt into chunks; the ``share`` of its classes that are hubs are in all of them."""
     hub = F.pmod(F.xxhash64("cls", group, F.lit(4)), F.lit(1 << 30)) < share * (1 << 30)
@@ -304,14 +307,14 @@ def _unjoined(nodes: DataFrame, comps: DataFrame, sigs: DataFrame, scratch: Scra
     two = blocks_.join(other, "node").where("block < block2 AND NOT coalesce(pure = pure2, false)").select(F.xxhash64("block", "block2").alias("gid"), "block", "block2")
     deal = two.select("gid", "block", F.lit(0).alias("side")).unionByName(two.select("gid", F.col("block2").alias("block"), F.lit(1).alias("side")))
     deal = deal.unionByName(blocks_.where("pure IS NULL").select(F.col("block").alias("gid"), "block", F.lit(-1).alias("side")))
-    met = placed.join(deal, "block").join(sigs, "cls").select("gid", "cls", "comp", "side", "n_shingles", "sig")
+    met = placed.join(deal, "block").join(sigs.select("cls", "n_shingles", "sig"), "cls").select("gid", "cls", "comp", "side", "n_shingles", "sig")
     kinds = "gid bigint, cls bigint, comp bigint, side int"
     return scratch.save(met.repartition("gid").sortWithinPartitions("gid", "cls").mapInArrow(_open, kinds), "open")
 
 
 def _full_sets(classes: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(cls, members) of the classes concerned, made anew from their texts."""
-    wanted = scratch.save(classes.join(reps, "cls").select("cls", F.col("rep").alias("_id")), "wanted")
+    wanted = scratch.save(classes.join(reps.select("cls", F.col("rep").alias("_id")), "cls"), "wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,93 +324,162 @@ def _full_sets(classes: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Sc
                 right = [i for i, (s, c) in enumerate(zip(made, part.column(0).to_pylist(), strict=True)) if len(s) and class_of(s) == c]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right, pa.int64())), pa.array([made[i].tobytes() for i in right], pa.binary())], ["cls", "members"])
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id").select("cls", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(bounded(wanted), "_id").select("cls", "_text")
     sets = scratch.save(texts.mapInArrow(make, "cls bigint, members binary"), "sets")
+    scratch.drop(wanted)
     # rows of one id may share a class
     return sets.groupBy("cls").agg(F.first("members").alias("members"))
 
 
+class _Join:
+    """One run of the join: its classes, and how links between them are confirmed."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch):
+        self.docs, self.id_col, self.text_col, self.scratch = docs, id_col, text_col, scratch
+        rows = scratch.save(sketch(docs, id_col, text_col), "sketches")
+        usable = rows.where("cls IS NOT NULL AND _id IS NOT NULL")
+        self.classes = scratch.save(usable.groupBy("cls").agg(F.min("_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys"))), "classes")
+        self.rows = scratch.save(rows.select("_id", "n_shingles", "cls"), "rows")
+        scratch.drop(rows)
+
+    def full_sets(self, classes: DataFrame) -> DataFrame:
+        return _full_sets(classes, self.docs, self.classes, self.scratch, self.id_col, self.text_col)
+
+    def live(self, nodes: DataFrame) -> DataFrame:
+        """The rows, with m, of nodes of two classes or more; of equal nodes up to a leaf's size one."""
+        marks = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(8))).alias("y")]
+        # larger nodes go on, so each is a chance of its own
+        alone = F.when(F.col("m") > LEAF, F.col("node")).alias("alone")
+        several = nodes.groupBy("node").agg(*marks).where("m > 1").groupBy("m", "x", "y", alone).agg(F.min("node").alias("node"))
+        return self.scratch.save(nodes.join(several.select("node", "m"), "node"), "live")
+
+    def mixed(self, live: DataFrame, comps: DataFrame) -> DataFrame:
+        """The rows of nodes of several components."""
+        labelled = live.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        several = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        out = self.scratch.save(live.join(several.select("node"), "node", "left_semi"), "mixed")
+        self.scratch.drop(live)
+        return out
+
+    def hubbed(self, nodes: DataFrame) -> DataFrame:
+        """(gid, cls) of large nodes (node, cls, m), dealt into leaves that share hubs."""
+        return _dealt(nodes, "node", F.ceil(F.col("m") / max(LEAF // 2, 1)).cast("int"), (LEAF // 4) / F.col("m"))
+
+    def confirmed(self, leaves: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Confirmed links of what leaves (gid, cls) hold, and the classes of families too large for one block, if any."""
+        scratch = self.scratch
+        families = connected_components(_compared(leaves, self.classes), scratch).withColumnRenamed("comp", "family").withColumnRenamed("node", "cls")
+        sized = scratch.save(families.join(self.classes.select("cls", "n_shingles"), "cls"), "families")
+        totals = sized.groupBy("family").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
+        huge = scratch.save(totals.where((F.col("c") > FAMILY) | (F.col("t") > SHINGLES)), "large-families")
+        in_blocks = sized.join(huge.select("family"), "family", "left_anti").select(F.col("family").alias("gid"), "cls")
+        of_huge = None
+        if not huge.isEmpty():
+            chunks = F.greatest(F.ceil(F.col("c") / max(FAMILY // 2, 1)), F.ceil(F.col("t") / (SHINGLES // 2))).cast("int")
+            in_blocks = in_blocks.unionByName(_dealt(sized.join(huge, "family"), "family", chunks, HUBS / F.col("c")))
+            of_huge = sized.join(huge.select("family"), "family", "left_semi").select("cls")
+        sets = self.full_sets(sized.select("cls"))
+        blocks_ = in_blocks.join(sets, "cls").select("gid", "cls", "members").repartition("gid").sortWithinPartitions("gid", "cls")
+        return scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed"), of_huge
+
+    def leaves_and_dense(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """(node, cls) of all leaves, those of nodes too large at the last depth with their m, and links confirmed on the way."""
+        scratch = self.scratch
+        first = self.classes.select("cls", F.posexplode("keys").alias("at", "node"))
+        now = self.live(first)
+        large = now.where(F.col("m") > LEAF)
+        comps = links = None
+        if not large.isEmpty():
+            links, _ = self.confirmed(self.hubbed(large.where(F.col("at") < HUB_KEYS)))
+            comps = connected_components(links, scratch)
+            now = self.mixed(now, comps)
+        leaves, dense = [], None
+        for depth in range(1, DEPTH + 1):
+            leaves.append(now.where(F.col("m") <= LEAF).select("node", "cls"))
+            large = now.where(F.col("m") > LEAF).select("node", "cls", "m")
+            if large.isEmpty():
+                break
+            if depth == DEPTH:
+                dense = large
+                break
+            more = large.join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_children, "node bigint, cls bigint").distinct()
+            more = scratch.save(more, "nodes")
+            now = self.live(more)
+            scratch.drop(more)
+            if comps is not None:
+                now = self.mixed(now, comps)
+        out = leaves[0]
+        for more in leaves[1:]:
+            out = out.unionByName(more)
+        return out, dense, links
+
+    def components(self) -> DataFrame:
+        """(node, comp) of classes that link with others."""
+        scratch = self.scratch
+        leaves, dense, sound = self.leaves_and_dense()
+        met = leaves.withColumnRenamed("node", "gid")
+        if dense is not None:
+            met = met.unionByName(self.hubbed(dense))
+        links, of_huge = self.confirmed(met)
+        sound = links if sound is None else sound.unionByName(links)
+        comps = connected_components(sound, scratch)
+        # what hubs left apart: in the leaves of large families and in larger nodes
+        rest = [] if dense is None else [dense.select("node", "cls")]
+        if of_huge is not None:
+            rest.append(leaves.join(of_huge, "cls", "left_semi").select("node", "cls"))
+        if rest:
+            nodes = rest[0]
+            for more in rest[1:]:
+                nodes = nodes.unionByName(more)
+            apart = _unjoined(nodes, comps, self.classes, scratch)
+            if apart is not None and not apart.isEmpty():
+                sets = self.full_sets(apart.select("cls").distinct())
+                blocks_ = apart.join(sets, "cls").select("gid", "cls", "members", "comp", "side").repartition("gid").sortWithinPartitions("gid", "cls")
+                comps = connected_components(sound.unionByName(scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed")), scratch)
+        return comps
+
+    def of_rows(self) -> DataFrame:
+        """_id, n_shingles, cls, component_id of each row; null for rows without an id or a set."""
+        scratch = self.scratch
+        comps = self.components()
+        rooted = self.classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
+        rooted = scratch.save(rooted, "rooted")
+        least = rooted.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        of_class = scratch.save(rooted.join(least, "comp").select("cls", "component_id"), "of-class")
+        scratch.drop(self.classes, rooted)
+        return self.rows.join(of_class, "cls", "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept of each row."""
-    scratch = Scratch(docs.sparkSession, "cpsjoin")
-    rows = scratch.save(sketch(docs, id_col, text_col), "sketches")
-    usable = rows.where("cls IS NOT NULL AND _id IS NOT NULL")
-    reps = scratch.save(usable.groupBy("cls").agg(F.min("_id").alias("rep")), "classes")
-    sigs = usable.join(reps.select("cls", F.col("rep").alias("_id")), ["cls", "_id"], "left_semi").select("cls", "n_shingles", "sig").dropDuplicates(["cls"])
-    sigs = scratch.save(sigs, "signatures")
-
-    pairs = scratch.save(sigs.select("cls", "sig").mapInArrow(_roots, "node bigint, cls bigint").distinct(), "nodes")
-    leaves: list[DataFrame] = []
-    big = large = None
-    for depth in range(1, DEPTH + 1):
-        big = scratch.save(pairs.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > LEAF), "large-nodes")
-        leaves.append(scratch.save(_leaves(pairs.join(big, "node", "left_anti")), "leaves"))
-        if big.isEmpty():
-            scratch.drop(pairs, big)
-            big = None
-            break
-        inner = pairs.join(big.select("node"), "node", "left_semi")
-        if depth == DEPTH:
-            large = scratch.save(pairs.join(big, "node"), "dense")
-            break
-        more = scratch.save(inner.join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_children, "node bigint, cls bigint").distinct(), "nodes")
-        scratch.drop(pairs, big)
-        pairs = more
-
-    members = leaves[0]
-    for more in leaves[1:]:
-        members = members.unionByName(more)
-    members = scratch.save(members.distinct(), "members")
-    met = members
-    if large is not None:
-        met = met.unionByName(_dealt(large, "node", F.ceil(F.col("m") / max(LEAF // 2, 1)).cast("int"), (LEAF // 4) / F.col("m")))
-    scratch.drop(*leaves)
-    families = connected_components(_compared(met, sigs), scratch).withColumnRenamed("comp", "family").withColumnRenamed("node", "cls")
-    sized = scratch.save(families.join(sigs.select("cls", "n_shingles"), "cls"), "families")
-    totals = sized.groupBy("family").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t"))
-    huge = scratch.save(totals.where((F.col("c") > FAMILY) | (F.col("t") > SHINGLES)), "large-families")
-    in_blocks = sized.join(huge.select("family"), "family", "left_anti").select(F.col("family").alias("gid"), "cls")
-    some_huge = not huge.isEmpty()
-    if some_huge:
-        chunks = F.greatest(F.ceil(F.col("c") / (FAMILY // 2)), F.ceil(F.col("t") / (SHINGLES // 2))).cast("int")
-        in_blocks = in_blocks.unionByName(_dealt(sized.join(huge, "family"), "family", chunks, HUBS / F.col("c")))
-    sets = _full_sets(sized.select("cls"), docs, reps, scratch, id_col, text_col)
-    blocks_ = in_blocks.join(sets, "cls").select("gid", "cls", "members").repartition("gid").sortWithinPartitions("gid", "cls")
-    sound = scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed")
-    comps = connected_components(sound, scratch)
-    # what hubs left apart: in the leaves of large families and in larger nodes
-    rest = [large.select("node", "cls")] if large is not None else []
-    if some_huge:
-        of_huge = sized.join(huge.select("family"), "family", "left_semi").select("cls")
-        rest.append(members.join(of_huge, "cls", "left_semi").select(F.col("gid").alias("node"), "cls"))
-    if rest:
-        nodes = rest[0]
-        for more in rest[1:]:
-            nodes = nodes.unionByName(more)
-        apart = _unjoined(nodes, comps, sigs, scratch)
-        if apart is not None and not apart.isEmpty():
-            sets = _full_sets(apart.select("cls").distinct(), docs, reps, scratch, id_col, text_col)
-            blocks_ = apart.join(sets, "cls").select("gid", "cls", "members", "comp", "side").repartition("gid").sortWithinPartitions("gid", "cls")
-            comps = connected_components(sound.unionByName(scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed")), scratch)
-
-    rooted = reps.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
-    rooted = scratch.save(rooted, "rooted")
-    least = scratch.save(rooted.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
-    of_class = scratch.save(rooted.join(least, "comp").select("cls", "component_id"), "of-class")
-    scratch.drop(sigs, members, rooted, least)
-    return (
-        rows.select("_id", "n_shingles", "cls")
-        .join(of_class, "cls", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            "n_shingles",
-            F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id"),
-            F.coalesce(F.col("_id") == F.coalesce("component_id", "_id"), F.lit(False)).alias("kept"),
-        )
-    )
+    rows = _Join(docs, id_col, text_col, Scratch(docs.sparkSession, "cpsjoin")).of_rows()
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
+    return rows.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are kept, one of each component, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
+    """The rows that are kept, with all their columns: all of an empty set, and one of each component.
+
+    That one has the smallest id, then the smallest hash of its text; a row without an
+    id stays only where no other of its component has one.  So rows are told apart by id and text,
+    and each is judged by its own text.
+    """
+    spark = docs.sparkSession
+    key = free_name(docs, "_key")
+    told = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2"))
+    keyed = docs.withColumn(key, told)
+    scratch = Scratch(spark, "cpsjoin")
+    rows = scratch.save(_Join(keyed.select(key, text_col), key, text_col, scratch).of_rows().where("component_id IS NOT NULL").select("_id", "component_id"), "judged")
+    marks = rows.groupBy("_id").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id"))
+    marks = scratch.save(marks.select("_id", "n", (F.col("_id") == F.col("component_id")).alias("stays")).where("NOT stays OR n > 1"), "marks")
+
+    def flat(c: Column) -> list[Column]:
+        return [c["no_id"].cast("string"), F.coalesce(c["id"].cast("string"), F.lit("")), c["h1"], c["h2"]]
+
+    names = [free_name(keyed, f"_k{i}") for i in range(4)]
+    wide = keyed.withColumns(dict(zip(names, flat(F.col(key)), strict=True)))
+    of = lambda df: bounded(df.select(*(c.alias(n) for c, n in zip(flat(F.col("_id")), names, strict=True))))
+    unmarked = wide.join(of(marks), names, "left_anti")
+    # rows that agree in id and text: one is enough
+    copies = wide.join(of(marks.where("stays")), names, "left_semi").dropDuplicates(names)
+    return unmarked.unionByName(copies).select(*docs.columns)

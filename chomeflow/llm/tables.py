@@ -11,8 +11,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Rows of a few short columns that a broadcast may have: some 50 MB.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,11 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A saved table, to be broadcast in a join if it has ``BROADCAST_ROWS`` rows at most; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have (Spark ignores case in names)."""
     taken = {c.lower() for c in df.columns}

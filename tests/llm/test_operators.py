@@ -161,8 +161,20 @@ def test_near_duplicates_against_brute_force(spark, family, monkeypatch):
         assert r["n_shingles"] == len(sets[i])
         assert r["component_id"] == want.get(i) and r["kept"] == (i is not None and want[i] == i)
     assert minhash_cpsjoin.near_duplicates(no_documents(spark)).count() == 0
+    # empty sets link with nothing, and the text without an id has no copy: all of these stay
     one = minhash_cpsjoin.deduplicated(df)
-    assert one.columns == df.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(i for i in ids if want[i] == i)
+    stay = [i for i in ids if want[i] == i] + [None]
+    assert one.columns == df.columns and sorted(str(r["doc_id"]) for r in one.collect()) == sorted(map(str, stay))
+
+
+def test_deduplicated_judges_rows_by_their_own_text(spark):
+    text = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text(1)), (1, text(2)), (2, text(2)), (None, text(3)), (None, text(4)), (None, text(4)), (5, text(3)), (6, ""), (6, ""), (None, None), (7, text(5)), (7, text(5))]
+    df = spark.createDataFrame([(i, t, "a", 0) for i, t in rows], "doc_id long, text string, _key string, _k0 int")
+    got = minhash_cpsjoin.deduplicated(df)
+    assert got.columns == df.columns
+    want = [(1, text(1)), (1, text(2)), (None, text(4)), (5, text(3)), (6, ""), (6, ""), (None, None), (7, text(5))]
+    assert sorted(map(str, _rows(got))) == sorted(map(str, want))
 
 
 def test_near_duplicates_of_dense_nodes(spark, monkeypatch):
