@@ -11,13 +11,11 @@ selected function and minwise token.  A pair of similarity s shares a child with
 chance s for each function, so pairs at the threshold or over it live on while
 others die out.  Nodes of at most ``LEAF`` classes are compared exhaustively, by
 minwise signatures; equal nodes of several trees once.  With 10 trees a pair at
-0.75 is met with a chance over 0.999 at any depth up to ``DEPTH``.  Tokens have 32 bits
+0.75 is met with a chance over 0.99 at any depth up to ``DEPTH``, and over 0.999 up to 4.  Tokens have 32 bits
 in the roots, where a node holds everything, and 16 below.
 
-Large groups of near copies would go down all trees together.  So the larger
-first nodes of ``HUB_KEYS`` functions are compared to a few hub classes each, and these
-links are confirmed first.  A node whose classes are all in one component
-can tell nothing new and ends there; that is exact, as components are all that is asked.
+A node larger than a leaf branches on as long as it is at most ``SHRINK`` of its parent; one that
+hardly shrinks holds classes that are much alike and is dense, as are those of ``DEPTH``.
 
 Signature estimates are ``SLACK`` looser than the threshold (over three standard
 deviations).  A leaf of m classes gives a spanning forest of its candidates, so m - 1
@@ -28,9 +26,8 @@ classes that aren't joined yet.
 
 A family of more than ``FAMILY`` classes or ``SHINGLES`` shingles is dealt into
 blocks that all hold the same hub classes, so its members meet through the hubs.
-A node that is still larger than a leaf at ``DEPTH`` is dealt into leaves with hubs in
-the same way.  Hubs alone don't join everything: the leaves of large families and the
-larger nodes that hold classes of several components after that are compared
+A dense node is dealt into leaves with hubs in the same way.  Hubs alone don't join everything: the leaves of large families and the
+dense nodes that hold classes of several components after that are compared
 in full.  Such a node is dealt into blocks and every two of them meet, but for two of
 one same component; classes with a candidate of another component are confirmed
 there on full sets.  So every candidate pair of a node is compared or joined already.
@@ -42,6 +39,7 @@ returned.  Other columns are ignored.  An empty table gives none.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,13 +56,14 @@ PERCENT = 75
 TREES = 10
 HASHES = 128
 LEAF = 256
-DEPTH = 4
+DEPTH = 8
+SHRINK = 0.7
 SLACK = 0.13
 FAMILY = 2048
 SHINGLES = 8_000_000
 HUBS = 64
-#: Root functions, over all trees, whose large nodes are compared to hubs before anything else.
-HUB_KEYS = 3
+#: Classes of a block, when a node or family is compared in full.
+BLOCK = 1024
 
 _MUL, _ADD = randoms(101, HASHES), randoms(103, HASHES)
 
@@ -202,12 +201,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of node, cls, sig, m: the children, with their parent's m."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 4000):
             part = batch.slice(lo, 4000)
-            cls = part.column(1).to_numpy()
+            cls, m = part.column(1).to_numpy(), part.column(3).to_numpy()
             rows, child = branch(part.column(0).to_numpy().view(np.uint64), _matrix(part.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cls[rows])], ["node", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cls[rows]), pa.array(m[rows])], ["node", "cls", "of"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.Table]]:
@@ -288,26 +288,26 @@ def _unjoined(nodes: DataFrame, comps: DataFrame, sigs: DataFrame, scratch: Scra
     # nodes of several components; equal ones once
     marks = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(8))).alias("y")]
     several = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *marks).where("lo <> hi").groupBy("c", "x", "y").agg(F.min("node").alias("node"))
-    rows = scratch.save(labelled.join(several.select("node"), "node", "left_semi").join(sigs.select("cls", "n_shingles"), "cls"), "several")
+    rows = scratch.save(labelled.join(several.select("node"), "node", "left_semi").join(sigs.select("cls", "n_shingles", "sig"), "cls"), "several")
     if rows.isEmpty():
         return None
 
     def pieces(count: Column, shingles: Column) -> Column:
-        return F.greatest(F.ceil(count / max(LEAF // 2, 1)), F.ceil(shingles / (SHINGLES // 4))).cast("int")
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / (SHINGLES // 4))).cast("int")
 
     # a component of more than a block has blocks of its own, the others share blocks
     parts = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("t")).withColumn("own", pieces(F.col("c"), F.col("t")))
     shared = parts.where("own = 1").groupBy("node").agg(pieces(F.sum("c"), F.sum("t")).alias("shared"))
     pure = F.when(F.col("own") > 1, F.col("comp"))
     block = F.when(F.col("own") > 1, F.xxhash64("node", "comp", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("own")))).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("comp", F.lit(6)), F.col("shared"))))
-    placed = rows.join(parts.select("node", "comp", "own"), ["node", "comp"]).join(shared, "node", "left").select("node", "cls", "comp", pure.alias("pure"), block.alias("block"))
+    placed = rows.join(parts.select("node", "comp", "own"), ["node", "comp"]).join(shared, "node", "left").select("node", "cls", "comp", "n_shingles", "sig", pure.alias("pure"), block.alias("block"))
     placed = scratch.save(placed, "placed")
     blocks_ = placed.select("node", "block", "pure").distinct()
     other = blocks_.select("node", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
     two = blocks_.join(other, "node").where("block < block2 AND NOT coalesce(pure = pure2, false)").select(F.xxhash64("block", "block2").alias("gid"), "block", "block2")
     deal = two.select("gid", "block", F.lit(0).alias("side")).unionByName(two.select("gid", F.col("block2").alias("block"), F.lit(1).alias("side")))
     deal = deal.unionByName(blocks_.where("pure IS NULL").select(F.col("block").alias("gid"), "block", F.lit(-1).alias("side")))
-    met = placed.join(deal, "block").join(sigs.select("cls", "n_shingles", "sig"), "cls").select("gid", "cls", "comp", "side", "n_shingles", "sig")
+    met = placed.join(deal, "block").select("gid", "cls", "comp", "side", "n_shingles", "sig")
     kinds = "gid bigint, cls bigint, comp bigint, side int"
     return scratch.save(met.repartition("gid").sortWithinPartitions("gid", "cls").mapInArrow(_open, kinds), "open")
 
@@ -353,17 +353,9 @@ class _Join:
         several = nodes.groupBy("node").agg(*marks).where("m > 1").groupBy("m", "x", "y", alone).agg(F.min("node").alias("node"))
         return self.scratch.save(nodes.join(several.select("node", "m"), "node"), "live")
 
-    def mixed(self, live: DataFrame, comps: DataFrame) -> DataFrame:
-        """The rows of nodes of several components."""
-        labelled = live.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        out = self.scratch.save(live.join(several.select("node"), "node", "left_semi"), "mixed")
-        self.scratch.drop(live)
-        return out
-
     def hubbed(self, nodes: DataFrame) -> DataFrame:
         """(gid, cls) of large nodes (node, cls, m), dealt into leaves that share hubs."""
-        return _dealt(nodes, "node", F.ceil(F.col("m") / max(LEAF // 2, 1)).cast("int"), (LEAF // 4) / F.col("m"))
+        return _dealt(nodes, "node", F.ceil(F.col("m") / max(LEAF * 3 // 4, 1)).cast("int"), (LEAF // 4) / F.col("m"))
 
     def confirmed(self, leaves: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Confirmed links of what leaves (gid, cls) hold, and the classes of families too large for one block, if any."""
@@ -382,48 +374,37 @@ class _Join:
         blocks_ = in_blocks.join(sets, "cls").select("gid", "cls", "members").repartition("gid").sortWithinPartitions("gid", "cls")
         return scratch.save(blocks_.mapInArrow(_confirm_blocks, LINKS), "confirmed"), of_huge
 
-    def leaves_and_dense(self) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-        """(node, cls) of all leaves, those of nodes too large at the last depth with their m, and links confirmed on the way."""
+    def leaves_and_dense(self) -> tuple[DataFrame, DataFrame | None]:
+        """(node, cls) of all leaves, and (node, cls, m) of dense nodes."""
         scratch = self.scratch
-        first = self.classes.select("cls", F.posexplode("keys").alias("at", "node"))
-        now = self.live(first)
-        large = now.where(F.col("m") > LEAF)
-        comps = links = None
-        if not large.isEmpty():
-            links, _ = self.confirmed(self.hubbed(large.where(F.col("at") < HUB_KEYS)))
-            comps = connected_components(links, scratch)
-            now = self.mixed(now, comps)
-        leaves, dense = [], None
+        now = self.live(self.classes.select(F.explode("keys").alias("node"), "cls", F.lit(None).cast("bigint").alias("of")))
+        leaves, dense = [], []
         for depth in range(1, DEPTH + 1):
             leaves.append(now.where(F.col("m") <= LEAF).select("node", "cls"))
-            large = now.where(F.col("m") > LEAF).select("node", "cls", "m")
+            large = now.where(F.col("m") > LEAF)
             if large.isEmpty():
                 break
-            if depth == DEPTH:
-                dense = large
-                break
-            more = large.join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_children, "node bigint, cls bigint").distinct()
+            stays = F.lit(True) if depth == DEPTH else F.coalesce(F.col("m") > SHRINK * F.col("of"), F.lit(False))
+            dense.append(large.where(stays).select("node", "cls", "m"))
+            more = large.where(~stays).join(self.classes.select("cls", "sig"), "cls").select("node", "cls", "sig", "m").mapInArrow(_children, "node bigint, cls bigint, of bigint")
             more = scratch.save(more, "nodes")
+            if more.isEmpty():
+                break
             now = self.live(more)
             scratch.drop(more)
-            if comps is not None:
-                now = self.mixed(now, comps)
-        out = leaves[0]
-        for more in leaves[1:]:
-            out = out.unionByName(more)
-        return out, dense, links
+        every = None if not dense else functools.reduce(DataFrame.unionByName, dense)
+        return functools.reduce(DataFrame.unionByName, leaves), None if every is None or every.isEmpty() else every
 
     def components(self) -> DataFrame:
         """(node, comp) of classes that link with others."""
         scratch = self.scratch
-        leaves, dense, sound = self.leaves_and_dense()
+        leaves, dense = self.leaves_and_dense()
         met = leaves.withColumnRenamed("node", "gid")
         if dense is not None:
             met = met.unionByName(self.hubbed(dense))
-        links, of_huge = self.confirmed(met)
-        sound = links if sound is None else sound.unionByName(links)
+        sound, of_huge = self.confirmed(met)
         comps = connected_components(sound, scratch)
-        # what hubs left apart: in the leaves of large families and in larger nodes
+        # what hubs left apart: in the leaves of large families and in dense nodes
         rest = [] if dense is None else [dense.select("node", "cls")]
         if of_huge is not None:
             rest.append(leaves.join(of_huge, "cls", "left_semi").select("node", "cls"))
