@@ -6,22 +6,25 @@ least among ``WINDOW`` running ones.  Equal passages have equal minimisers, and
 passage of ``PASSAGE`` words has one among its first ``WINDOW`` words, with at least
 ``ROOT`` words behind it.
 
-Kept suffixes are sorted in all partitions together by their first ``ROOT`` words; only
-those that share these words with another suffix go on.  A passage belongs to the
-minimiser of its first ``WINDOW`` words, so equal passages belong to suffixes of
-equal roots.  Each suffix that went on brings the 64-bit hashes of all passages of
-``PASSAGE`` words that belong to it, sorted by root, and those with a hash that occurs
-at another place are repeated passages.  Longer ones are covered by the passages in them.
+A passage belongs to the minimiser of its first ``WINDOW`` words, so equal passages
+belong to suffixes of equal roots, a root being the first ``ROOT`` words.  Roots are
+counted first; a bitmap of those that occur more than once, of ``bitmaps.BITS`` bits at most,
+tells which suffixes go on.  It never misses one, and what it lets through in vain only costs
+sorting.  Each suffix that goes on brings the 64-bit hashes of all passages of
+``PASSAGE`` words that belong to it.  Suffixes are sorted in all partitions together by
+root, and passages with a hash that occurs at another place of the root are repeated.
+Longer ones are covered by the passages in them.
 
 Sorting is by range and ranges are cut within groups of equal roots, so no
 passage is too common for a task.  The first and last root of a range, and those of
 more than ``HELD`` rows, may not be whole in a task: one place of each of their hashes
 goes to a second step, which finds those that several tasks have.
 
-Texts of equal words form a class and are sorted once; a class of several rows and of
+Texts of equal words form a class and one of them is sorted; a class of several rows and of
 ``PASSAGE`` words or more is repeated as a whole.  Null and empty texts have no words.
-Rows with a null id are reported with a null id.  Repeated rows are copies of each other.  Other columns
-are ignored.  An empty table gives none.
+Rows with a null id are reported with a null id; rows of one id are told apart by their texts.
+Repeated rows are copies of each other.  A long text is read as a whole; what it needs grows
+with its words.  Other columns are ignored.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chomeflow.llm.arrow_text import blocks, mix, randoms, word_hashes
-from chomeflow.llm.tables import Scratch
+from chomeflow.llm.bitmaps import Bitmap, bitmap
+from chomeflow.llm.tables import Scratch, bounded
 
 PASSAGE = 50
 GRAM = 6
@@ -58,116 +62,89 @@ def _running(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimisers(words: np.ndarray) -> np.ndarray:
-    """The minimiser position of each run of WINDOW grams, in order."""
-    view = np.lib.stride_tricks.sliding_window_view(_running(words, GRAM), WINDOW)
-    return np.argmin(view, 1) + np.arange(len(view))
-
-
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Minimiser positions with ROOT words or more from there on."""
-    if len(words) < ROOT:
+    """The minimiser position of each run of WINDOW grams, in order: the least hash, of equal ones the first."""
+    grams = _running(words, GRAM)
+    if len(grams) < WINDOW:
         return np.zeros(0, np.int64)
-    if len(words) < GRAM + WINDOW:
-        at = np.array([int(np.argmin(_running(words, GRAM)))])
-    else:
-        at = np.unique(minimisers(words))
-    return at[at + ROOT <= len(words)]
-
-
-def text_class(words: np.ndarray) -> int:
+    low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while 2 * span <= WINDOW:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if WINDOW > span:
+        low = np.minimum(low[: span - WINDOW], low[WINDOW - span :])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def text_classes(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text."""
+    n = np.diff(ends)
+    some = np.flatnonzero(n)
+    total = np.zeros(len(n), np.uint64)
     with np.errstate(over="ignore"):
-        place = mix(np.arange(1, len(words) + 1, dtype=np.uint64))
-        h = mix(words ^ place).sum(dtype=np.uint64) + np.uint64(len(words))
-        return int(mix(np.array([h], np.uint64)).view(np.int64)[0])
-
-
-def _texts(column: pa.Array) -> Iterator[np.ndarray]:
-    for _, _, data, off in blocks(column):
-        words, at = word_hashes(data, off)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield words[a:b]
-
-
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(1, len(words) + 1) - np.repeat(ends[:-1], n)
+        if len(some):
+            total[some] = np.add.reduceat(mix(words ^ mix(place.astype(np.uint64))), ends[some])
+        return mix(total + n.astype(np.uint64)).view(np.int64)
+
+
+class _Owned:
+    """The passages of some texts, as runs of those that belong to one suffix: text, first passage's start in it, number, root."""
+
+    def __init__(self, words: np.ndarray, ends: np.ndarray):
+        n = np.maximum(np.diff(ends) - PASSAGE + 1, 0)
+        before = np.cumsum(n) - n
+        #: places in ``words`` of all passages
+        self.at = np.arange(n.sum()) - np.repeat(before, n) + np.repeat(ends[:-1], n)
+        text = np.repeat(np.arange(len(n)), n)
+        own = minimisers(words)[self.at]
+        cut = np.flatnonzero((np.diff(own) != 0) | (np.diff(text) != 0)) + 1
+        edge = np.concatenate([[0], cut, [len(own)]]) if len(own) else np.zeros(1, np.int64)
+        first = edge[:-1]
+        self.n = np.diff(edge)
+        self.text = text[first]
+        self.start = self.at[first] - ends[self.text]
+        self.root = _running(words, ROOT)[own[first]].view(np.int64) if len(own) else np.zeros(0, np.int64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of id, hash, text: id, hash, number of words, class and the roots of the text's suffixes."""
     for batch in batches:
-        n, cls = zip(*[(len(w), text_class(w)) for w in _texts(batch.column(1))], strict=True) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["_id", "n_words", "cls"])
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            root, cls, pos = [], [], []
-            for w in _texts(batch.slice(lo, 1000).column(0)):
-                at = anchors(w)
-                if len(at):
-                    root.append(_running(w, ROOT)[at].view(np.int64))
-                    cls.append(np.full(len(at), text_class(w)))
-                    pos.append(at.astype(np.int32))
-            if root:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (root, cls, pos)], ["root", "cls", "pos"])
-
-
-def _shared_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes, each once, those whose neighbour has the same root; also the outermost ones, whose neighbours aren't here."""
-    before = None
-    held = False
-    for batch in batches:
-        root, cls, pos = (c.to_numpy() for c in batch.columns)
-        if before is not None:
-            root, cls, pos = (np.concatenate([[b], x]) for b, x in zip(before, (root, cls, pos), strict=True))
-        fresh = np.ones(len(root), bool)
-        fresh[1:] = (root[1:] != root[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])
-        root, cls, pos = root[fresh], cls[fresh], pos[fresh]
-        same = root[1:] == root[:-1]
-        keep = np.zeros(len(root), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if before is None:
-            keep[0] = True
-        else:
-            keep[0] |= held
-        held = bool(keep[-1])
-        before = (root[-1], cls[-1], pos[-1])
-        keep[-1] = False  # told with the next batch
-        yield pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(cls[keep]), pa.array(pos[keep].astype(np.int32))], ["root", "cls", "pos"])
-    if before is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([before[0]], pa.int64()), pa.array([before[1]], pa.int64()), pa.array([before[2]], pa.int32())], ["root", "cls", "pos"])
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, cls, start, hashes) of each suffix: the successive passages that belong to it, and where the first starts."""
+        for i, j, data, off in blocks(batch.column(2)):
+            words, ends = word_hashes(data, off)
+            owned = _Owned(words, ends)
+            lists = np.searchsorted(owned.text, np.arange(j - i + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(ends)), pa.array(text_classes(words, ends)), pa.ListArray.from_arrays(lists, pa.array(owned.root))],
+                ["_id", "_h", "n_words", "cls", "roots"],
+            )
+
+
+def _passages(shared: Bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, cls, start, hashes) of each suffix of a shared root: the successive passages that belong to it, and where the first starts."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            classes, places = part.column(0).to_pylist(), part.column(1)
-            root, cls, start, hashes = [], [], [], []
-            for first, _, data, off in blocks(part.column(2)):
-                words, ends = word_hashes(data, off)
-                roots, whole = _running(words, ROOT), _running(words, PASSAGE)
-                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), first):
-                    if b - a < PASSAGE or text_class(words[a:b]) != classes[i]:
-                        continue
-                    own = minimisers(words[a:b])[: b - a - PASSAGE + 1]
-                    edge = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
-                    for k in np.flatnonzero(np.isin(own[edge[:-1]], np.array(places[i].as_py(), np.int64))).tolist():
-                        x, y = int(edge[k]), int(edge[k + 1])
-                        root.append(roots[a + own[x]])
-                        cls.append(classes[i])
-                        start.append(x)
-                        hashes.append(whole[a + x : a + y].tobytes())
-            if root:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(root, np.uint64).view(np.int64)), pa.array(cls, pa.int64()), pa.array(start, pa.int32()), pa.array(hashes, pa.binary())], ["root", "cls", "start", "hashes"]
-                )
+        for _, _, data, off in blocks(batch.column(0)):
+            words, ends = word_hashes(data, off)
+            owned = _Owned(words, ends)
+            hit = shared.has(owned.root)
+            if not hit.any():
+                continue
+            hashes = _running(words, PASSAGE)[owned.at[np.repeat(hit, owned.n)]]
+            edge = np.concatenate([[0], np.cumsum(8 * owned.n[hit])]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge), pa.py_buffer(hashes)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owned.root[hit]), pa.array(text_classes(words, ends)[owned.text[hit]]), pa.array(owned.start[hit].astype(np.int32)), packed], ["root", "cls", "start", "hashes"]
+            )
 
 
 def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, cls, start) of each passage of the rows."""
-    packed = rows.column(3).to_pylist()
-    n = np.array([len(x) // 8 for x in packed], np.int64)
+    packed = rows.column(3).combine_chunks()
+    _, off, data = packed.buffers()
+    off = np.frombuffer(off, np.int32)[packed.offset : packed.offset + len(packed) + 1] // 8
+    n = np.diff(off).astype(np.int64)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.frombuffer(b"".join(packed), np.int64), np.repeat(rows.column(1).to_numpy(), n), np.repeat(rows.column(2).to_numpy(), n) + place
+    return np.frombuffer(data, np.int64)[off[0] : off[-1]], np.repeat(rows.column(1).to_numpy(), n), np.repeat(rows.column(2).to_numpy(), n) + place
 
 
 def _spans(cls: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,53 +209,49 @@ def _matches(rows: DataFrame, scratch: Scratch) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_repeats, "cls bigint, start int, stop int, h bigint")
     found = scratch.save(found, "matches")
-    single = found.where("h IS NOT NULL")
-    place = F.struct("cls", "start")
-    common = single.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    return found.where("h IS NULL").drop("h").unionByName(single.join(common, "h", "left_semi").drop("h"))
+    # a task tells a hash once for each piece of a root, so a list here is no longer than the pieces
+    told = found.where("h IS NOT NULL").groupBy("h").agg(F.collect_set(F.struct("cls", "start", "stop")).alias("places")).where(F.size("places") > 1)
+    return found.where("h IS NULL").drop("h").unionByName(told.select(F.inline("places")))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of cls and sorted spans (start, stop): overlapping and touching ones as one, counted, and as text."""
+    for batch in batches:
+        n, words, shown = [], [], []
+        for spans in batch.column(1):
+            start, stop = (spans.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            reach = np.maximum.accumulate(stop)
+            first = np.concatenate([[0], np.flatnonzero(start[1:] > reach[:-1]) + 1])
+            a, b = start[first], reach[np.concatenate([first[1:] - 1, [len(reach) - 1]])]
+            n.append(len(a))
+            words.append(int((b - a).sum()))
+            shown.append(",".join(f"{x}:{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(shown, pa.string())], ["cls", "n_spans", "repeated_words", "spans"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_spans, repeated_words, spans ("start:stop" in words, joined by commas) of each row with a repeated passage."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(docs.sparkSession, "suffixes")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.save(docs.select(id_col, text_col).mapInArrow(_classes, f"_id {kind}, n_words bigint, cls bigint"), "classes")
-    classes = rows.groupBy("cls").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"))
-    classes = scratch.save(classes, "copies")
-
-    order = ["root", "cls", "pos"]
-    suffixes = docs.select(text_col).mapInArrow(_suffixes, "root bigint, cls bigint, pos int")
-    kept = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_shared_roots, "root bigint, cls bigint, pos int")
-    kept = scratch.save(kept.select("cls", "pos"), "kept")
-    places = kept.groupBy("cls").agg(F.collect_set("pos").alias("at"))
-    places = scratch.save(places.join(classes.select("cls", F.col("rep").alias("_rep")), "cls"), "places")
-    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text"))
-    found = texts.join(places, texts["_rep"].eqNullSafe(places["_rep"])).select("cls", "at", "_text")
-    found = scratch.save(found.mapInArrow(_passages, "root bigint, cls bigint, start int, hashes binary"), "suffixes")
+    read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
+    sketches = scratch.save(read.mapInArrow(_sketch, f"_id {kind}, _h bigint, n_words bigint, cls bigint, roots array<bigint>"), "sketches")
+    rows = scratch.save(sketches.drop("roots"), "rows")
+    one = sketches.groupBy("cls").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("roots").alias("roots"))
+    classes = scratch.save(one, "classes")
+    shared = classes.select(F.explode("roots").alias("root")).groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    shared = scratch.save(shared, "shared-roots")
+    scratch.drop(sketches)
+
+    # copies of a text are left out where they have an id; others are told apart while sorting
+    several = classes.where("copies > 1").select("cls", "rep")
+    surplus = rows.where("_id IS NOT NULL").join(several, "cls").where((F.col("rep._id") != F.col("_id")) | (F.col("rep._h") != F.col("_h"))).select("_id", "_h").distinct()
+    texts = read.join(bounded(scratch.save(surplus, "surplus")), ["_id", "_h"], "left_anti").select("_text")
+    marked = bitmap(shared, "root")
+    found = texts.mapInArrow(lambda batches: _passages(marked, batches), "root bigint, cls bigint, start int, hashes binary")
+    found = scratch.save(found, "suffixes")
     matches = _matches(found, scratch)
     whole = classes.where((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE)).select("cls", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))
     spans = matches.unionByName(whole).distinct().groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
-    # overlapping and touching spans become one
-    last = lambda a: F.element_at(a, -1)
-    merged = F.aggregate(
-        "s",
-        F.slice("s", 1, 1),
-        lambda acc, x: F.when(
-            x["start"] <= last(acc)["stop"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    spans = scratch.save(spans.select("cls", merged.alias("s")), "spans")
-    scratch.drop(kept, places, found)
-    return (
-        rows.join(spans, "cls")
-        .select(
-            F.col("_id").alias(id_col),
-            "n_words",
-            F.size("s").cast("long").alias("n_spans"),
-            F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"])).alias("repeated_words"),
-            F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("spans"),
-        )
-    )
+    spans = scratch.save(spans.mapInArrow(_merged, "cls bigint, n_spans bigint, repeated_words bigint, spans string"), "spans")
+    scratch.drop(classes, shared, found)
+    return rows.join(spans, "cls").select(F.col("_id").alias(id_col), "n_words", "n_spans", "repeated_words", "spans")
