@@ -1,27 +1,36 @@
 """Personal data: keyed, type-consistent surrogates, in SQL functions only.
 
-Entities are e-mail addresses, IPv4 addresses, phone numbers, payment card
-numbers and names after a title.  Mentions of an entity are normalised (case,
-spacing, punctuation, country prefix), and the normalised value is what gets a
-surrogate, so all its mentions in the whole corpus refer to one surrogate.
+Entities are e-mail addresses, IPv4 and IPv6 addresses, phone numbers, payment card
+numbers, IBANs, US social security numbers, and names after a title.  Mentions of an entity
+are normalised (case, spacing, punctuation, country and trunk prefix, compressed zeros), and
+the normalised value is what gets a surrogate, so all its mentions in the whole
+corpus refer to one surrogate.
+
+A full name that stands after a title somewhere in a document is replaced in the rest of the
+document too, without a title or after one that tells no gender (Dr, Prof); there it
+takes the surrogate of the mention that tells it, of several the first by value.
 
 Surrogates come from SHA-512 of key, type, value and attempt:
 
 * e-mail: each letter a letter, each digit a digit, the rest and the top-level
   domain as they are; the case of each character follows the mention;
-* phone and card: digits only change, in the mention's own punctuation; a card
-  number that satisfies the Luhn check keeps satisfying it;
-* IPv4: four octets from 1 to 254;
+* phone, card and social security number: digits only change, in the mention's own punctuation;
+  a card number that satisfies the Luhn check keeps satisfying it;
+* IBAN: country, letters and digits stay what they are; one with right check digits gets right ones;
+* IPv4: four octets from 1 to 254; IPv6: hex digits, groups of zero and leading zeros stay;
 * name: a given name of the title's gender and a surname of syllables in the
   mention's script, of as many words as the mention, capitalised like it.
 
 Collision checks: a surrogate must differ from all other surrogates of its type
 and from every real value of its type in the corpus.  Values that fail take the
-next attempt (of equal surrogates the smallest value stays), until none fail.
+next attempt (of equal surrogates the smallest value stays), until none fail.  Later attempts
+have more room, so this ends: a longer local part or surname, and from attempt ``ROOMY`` on
+more digits behind a number or address.
 
 Null texts stay null, empty ones empty.  Texts without entities are untouched and
-aren't shuffled.  Repeated rows and rows with a null id are masked like all
-others; other columns are kept.  An empty table gives none.
+aren't shuffled.  Long texts are read as a whole.  Repeated rows and rows with a null id are masked
+like all others; rows are told apart by id and text, so those without an id are spread.
+Other columns are kept.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,27 +43,46 @@ from chomeflow.llm.tables import Scratch, free_name
 #: For tests and examples; production passes its own.
 DEMONSTRATION_KEY = "demonstration key"
 
-#: Titles with the gender that they tell.
+#: From this attempt on surrogates of a fixed length get longer.
+ROOMY = 24
+
+#: Titles with the gender that they tell; the last tell none.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Г-жа"]
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Г-н"]
+OTHER_TITLES = ["Dr", "Prof"]
+
+#: Country calling codes of one and of two digits; all others have three.
+CALLING_1 = ["1", "7"]
+CALLING_2 = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58"]
+CALLING_2 += ["60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![0-9A-Za-z:.])(?:{_HEX}(?::{_HEX}){{7}}|{_HEX}(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![0-9A-Za-z:])"
+PHONE = (
+    r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])0[0-9]{1,4}[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9A-Za-z])"
+)
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9A-Za-z])"
-_TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + ")"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![0-9A-Za-z])"
+SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+_TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + ")"
 NAME = rf"(?<![\p{{L}}]){_TITLE}\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, PHONE, CARD, NAME))
+KINDS = {"email": EMAIL, "ipv4": IPV4, "ipv6": IPV6, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
+ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every entity contains; texts without it need no closer look.
-HINT = "[0-9@]|" + _TITLE
+HINT = "[0-9@:]|" + _TITLE
 
 #: Given names by script and gender, and syllables of surnames.
 GIVEN = {
     ("latin", "f"): ["Alma", "Berta", "Carla", "Delia", "Edith", "Flora", "Greta", "Hilda", "Irene", "Julia", "Klara", "Lydia", "Marta", "Nora", "Olga", "Paula"],
     ("latin", "m"): ["Albert", "Bruno", "Carlo", "Dario", "Edgar", "Felix", "Georg", "Hugo", "Ivo", "Jonas", "Karl", "Leo", "Marco", "Nils", "Oskar", "Paul"],
+    ("latin", "n"): ["Alex", "Chris", "Jamie", "Kim", "Luca", "Robin", "Sascha", "Toni"],
     ("cyrillic", "f"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Лидия"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Лев"],
+    ("cyrillic", "n"): ["Валя", "Женя", "Саша", "Шура"],
 }
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "ru", "sa", "te", "vi", "wo", "zu", "na"],
@@ -67,9 +95,10 @@ def _full(c: Column, pattern: str) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    return (
-        F.when(_full(mention, EMAIL), "email").when(_full(mention, IPV4), "ipv4").when(_full(mention, PHONE), "phone").when(_full(mention, CARD), "card").otherwise("name")
-    )
+    kind = F.lit("name")
+    for name, pattern in reversed(KINDS.items()):
+        kind = F.when(_full(mention, pattern), name).otherwise(kind)
+    return kind
 
 
 def digits_of(c: Column) -> Column:
@@ -81,26 +110,52 @@ def _untitled(c: Column) -> Column:
 
 
 def _gender(c: Column) -> Column:
-    return F.when(c.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "), "f").otherwise("m")
+    told = lambda titles: c.rlike("^(?:" + "|".join(titles) + r")\.? ")
+    return F.when(told(FEMALE_TITLES), "f").when(told(MALE_TITLES), "m").otherwise("n")
 
 
 def _script(c: Column) -> Column:
     return F.when(_untitled(c).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
 
+def _national(mention: Column) -> Column:
+    """The digits of a phone number without country and trunk prefix."""
+    d = digits_of(mention)
+    code = F.when(F.substring(d, 1, 1).isin(CALLING_1), 1).when(F.substring(d, 1, 2).isin(CALLING_2), 2).otherwise(3)
+    plain = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
+    bare = F.when(mention.startswith("+"), F.substr(d, code + 1, F.length(d))).otherwise(plain)
+    return F.when(F.length(bare) > 6, F.regexp_replace(bare, "^0", "")).otherwise(d)
+
+
+def _groups(mention: Column) -> Column:
+    """The eight groups of an IPv6 address, four hex digits each."""
+    side = lambda i: F.split(F.substring_index(F.lower(mention), "::", i), ":")
+    gap = F.array_repeat(F.lit("0"), F.lit(8) - F.size(side(1)) - F.size(side(-1)))
+    return F.transform(F.when(mention.contains("::"), F.concat(side(1), gap, side(-1))).otherwise(side(1)), lambda g: F.lpad(g, 4, "0"))
+
+
 def normal(mention: Column, kind: Column) -> Column:
     """The value that mentions of an entity share."""
     d = digits_of(mention)
-    phone = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "ipv4", mention)
-        .when(kind == "phone", phone)
-        .when(kind == "card", d)
+        .when(kind == "ipv6", F.array_join(_groups(mention), ":"))
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        .when(kind == "phone", _national(mention))
+        .when(kind.isin("card", "ssn"), d)
         .otherwise(F.concat_ws("|", _gender(mention), _script(mention), F.lower(_untitled(mention))))
     )
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder of an IBAN, its first four characters moved to the end and letters counted from 10."""
+    moved = F.concat(F.substr(iban, F.lit(5), F.length(iban)), F.substr(iban, F.lit(1), F.lit(4)))
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    each = F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: value(F.substr(moved, i, F.lit(1))))
+    return F.aggregate(each, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum mod 10 of a string of digits."""
     n = F.length(digits)
@@ -124,13 +179,32 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     letter = lambda i: F.chr(F.lit(97) + _byte(digest, i) % 26)
     digit = lambda i: (_byte(digest, i) % 10).cast("string")
     own = lambda i: F.substr(value, i + 1, F.lit(1))
+
+    def joined(each, places: Column = chars) -> Column:
+        return F.array_join(F.transform(places, each), "")
+
+    def more(n: Column, each) -> Column:
+        """n more characters, none for n of 0."""
+        return F.when(n > 0, joined(lambda i: each(i + 23), F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).otherwise("")
+
+    late = F.greatest(attempt - (ROOMY - 1), F.lit(0))
+    alike = joined(lambda i: F.when(own(i).rlike("[a-z]"), letter(i)).when(own(i).rlike("[0-9]"), digit(i)).otherwise(own(i)))
     top = F.length(value) - F.length(F.substring_index(value, ".", -1))
-    email = F.array_join(F.transform(chars, lambda i: F.when(i >= top, own(i)).when(own(i).rlike("[a-z]"), letter(i)).when(own(i).rlike("[0-9]"), digit(i)).otherwise(own(i))), "")
-    number = F.array_join(F.transform(chars, digit), "")
-    body = F.substr(number, F.lit(1), F.length(value) - 1)
+    at = F.locate("@", value)
+    email = F.concat(F.substr(alike, F.lit(1), at - 1), more(attempt, letter), F.substr(alike, at, top - at + 1), F.substr(value, top + 1, F.length(value)))
+    number = F.concat(joined(digit), more(late, digit))
+    body = F.substr(number, F.lit(1), F.length(number) - 1)
     checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
     card = F.when(_luhn(value) == 0, checked).otherwise(number)
-    ipv4 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
+    ipv4 = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), "."), F.when(late > 0, ":").otherwise(""), more(late, digit))
+    # a hex digit stays zero where only zeros stand before it in its group
+    hex_ = lambda i: F.lower(F.hex(_byte(digest, i) % 15 + 1))
+    ahead = lambda i: F.substr(value, i - i % 5 + 1, i % 5 + 1)
+    ipv6 = F.concat(joined(lambda i: F.when((own(i) == ":") | ahead(i).rlike("^0+$"), own(i)).otherwise(hex_(i))), F.when(late > 0, "%").otherwise(""), more(late, digit))
+    plain = joined(lambda i: F.when(i < 2, own(i)).when(own(i).rlike("[A-Z]"), F.upper(letter(i))).otherwise(digit(i)))
+    plain = F.concat(plain, more(late, digit))
+    head, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
+    iban = F.when(_mod97(value) == 1, F.concat(head, F.lpad((98 - _mod97(F.concat(head, F.lit("00"), rest))).cast("string"), 2, "0"), rest)).otherwise(plain)
     parts = F.split(value, r"\|")
     n_words = F.size(F.split(F.element_at(parts, 3), " "))
 
@@ -147,25 +221,50 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     )
     surname = F.array_join(syllables, "")
     name = F.concat_ws("|", F.element_at(parts, 1), F.element_at(parts, 2), F.when(n_words > 1, F.concat_ws(" ", given, surname)).otherwise(surname))
-    return F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", number).when(kind == "card", card).otherwise(name)
+    return (
+        F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "iban", iban)
+        .when(kind.isin("phone", "ssn"), number).when(kind == "card", card).otherwise(name)
+    )
+
+
+def _cased(like: Column, new: Column) -> Column:
+    """``new`` with upper case where ``like`` has it; what is longer stays."""
+    at = lambda c, i: F.substr(c, i, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), lambda i: F.when(at(like, i).rlike(r"\p{Lu}"), F.upper(at(new, i))).otherwise(at(new, i))), "")
+
+
+def _named(bare: Column, new: Column) -> Column:
+    name = F.element_at(F.split(new, r"\|"), 3)
+    return F.when((F.length(bare) > 1) & (bare == F.upper(bare)), F.upper(name)).otherwise(F.initcap(name))
 
 
 def rendered(mention: Column, kind: Column, value: Column, new: Column) -> Column:
     """A surrogate in the format of one mention."""
     places = F.sequence(F.lit(1), F.length(mention))
     at = lambda c, i: F.substr(c, i, F.lit(1))
-    cased = F.array_join(F.transform(places, lambda i: F.when(at(mention, i).rlike(r"\p{Lu}"), F.upper(at(new, i))).otherwise(at(new, i))), "")
-    # digits before the normalised ones (a country prefix) stay
-    ahead = F.length(digits_of(mention)) - F.length(value)
-    kept = F.concat(F.substr(digits_of(mention), F.lit(1), ahead), new)
+    part = lambda c, i: F.substring_index(c, "@", i)
+    email = F.concat(_cased(part(mention, 1), part(new, 1)), F.lit("@"), _cased(part(mention, -1), part(new, -1)))
+    # digits before the normalised ones (a country prefix) stay; what is longer than the mention follows it
+    digits = digits_of(mention)
+    ahead = F.length(digits) - F.length(value)
+    kept = F.concat(F.substr(digits, F.lit(1), ahead), new)
     seen = lambda i: F.length(digits_of(F.substr(mention, F.lit(1), i)))
     filled = F.array_join(F.transform(places, lambda i: F.when(at(mention, i).rlike("[0-9]"), at(kept, seen(i))).otherwise(at(mention, i))), "")
+    filled = F.concat(filled, F.substr(kept, F.length(digits) + 1, F.length(kept)))
+    shown = lambda i: F.length(F.replace(F.substr(mention, F.lit(1), i), F.lit(" "), F.lit("")))
+    spaced = F.array_join(F.transform(places, lambda i: F.when(at(mention, i) == " ", F.lit(" ")).otherwise(at(new, shown(i)))), "")
+    spaced = F.concat(spaced, F.substr(new, F.length(value) + 1, F.length(new)))
+    side = lambda i: F.split(F.substring_index(mention, "::", i), ":")
+    group = lambda i: F.element_at(F.split(F.substring_index(new, "%", 1), ":"), i)
+    like = lambda groups, first: F.array_join(F.transform(groups, lambda g, i: F.right(group(first + i), F.length(g))), ":")
+    ipv6 = F.when(mention.contains("::"), F.concat(like(side(1), 1), F.lit("::"), like(side(-1), 9 - F.size(side(-1))))).otherwise(like(side(1), 1))
+    ipv6 = F.concat(F.when(mention.rlike("[A-F]"), F.upper(ipv6)).otherwise(ipv6), F.substr(new, F.length(value) + 1, F.length(new)))
     bare = _untitled(mention)
     title = F.substr(mention, F.lit(1), F.length(mention) - F.length(bare))
-    name = F.element_at(F.split(new, r"\|"), 3)
-    upper = (F.length(bare) > 1) & (bare == F.upper(bare))
-    named = F.concat(title, F.when(upper, F.upper(name)).otherwise(F.initcap(name)))
-    return F.when(kind == "email", cased).when(kind == "ipv4", new).when(kind.isin("phone", "card"), filled).otherwise(named)
+    return (
+        F.when(kind == "email", email).when(kind == "ipv4", new).when(kind == "ipv6", ipv6).when(kind == "iban", spaced)
+        .when(kind.isin("phone", "card", "ssn"), filled).otherwise(F.concat(title, _named(bare, new)))
+    )
 
 
 def mentions(text: Column) -> Column:
@@ -194,31 +293,55 @@ def resolved(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         now = after
 
 
+def _bare_names(kind: Column, mention: Column, value: Column, new: Column) -> Column:
+    """(gender, name as it stands, its surrogate) of a full name after a title."""
+    bare = _untitled(mention)
+    name = F.struct(F.substring_index(value, "|", 1).alias("gender"), bare.alias("name"), _named(bare, new).alias("shown"))
+    return F.when((kind == "name") & bare.contains(" "), name)
+
+
+def _renamed(text: Column, names: Column) -> Column:
+    """``text`` with names that stand alone replaced."""
+    alone = lambda n: F.concat(F.lit(r"(?<![\p{L}])"), n, F.lit(r"(?![\p{L}])"))  # noqa: E731  names are letters and a space
+    return F.aggregate(names, text, lambda t, n: F.when(t.contains(n["name"]), F.regexp_replace(t, alone(n["name"]), n["shown"])).otherwise(t))
+
+
 def masked(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """The documents with all entities replaced; with ``count_col`` also the number of mentions of each."""
+    """The documents with all entities replaced; with ``count_col`` also the number of mentions of each, without names that stand alone."""
     scratch = Scratch(docs.sparkSession, "pii")
-    found = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(mentions(F.col(text_col)))).alias("mention"))
+    told = F.xxhash64(text_col)
+    found = docs.select(F.col(id_col).alias("_id"), told.alias("_h"), F.explode(F.array_distinct(mentions(F.col(text_col)))).alias("mention"))
     found = scratch.save(found.distinct(), "mentions")
     distinct = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
     distinct = scratch.save(distinct.withColumn("value", normal(F.col("mention"), F.col("kind"))), "values")
     entities = resolved(distinct.select("kind", "value").distinct(), key, scratch)
-    shown = distinct.join(entities, ["kind", "value"]).select("mention", rendered(F.col("mention"), F.col("kind"), F.col("value"), F.col("surrogate")).alias("shown"))
+    k, m, v, new = (F.col(c) for c in ("kind", "mention", "value", "surrogate"))
+    shown = distinct.join(entities, ["kind", "value"]).select("mention", rendered(m, k, v, new).alias("shown"), _bare_names(k, m, v, new).alias("bare"))
     shown = scratch.save(shown, "shown")
-    per_doc = found.join(shown, "mention").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("_shown"))
-    per_doc = scratch.save(per_doc, "by-document")
+    # names that tell a gender first, so that the others follow them
+    names = F.array_sort(F.collect_set("bare"))
+    per_doc = found.join(shown, "mention").groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("_shown"), names.alias("_names"))
+    by_name = F.aggregate(
+        "_names", F.create_map().cast("map<string,string>"), lambda acc, n: F.when(F.map_contains_key(acc, n["name"]), acc).otherwise(F.map_concat(acc, F.create_map(n["name"], n["shown"])))
+    )
+    per_doc = scratch.save(per_doc.select("_id", "_h", "_shown", by_name.alias("_names")), "by-document")
     scratch.drop(found, distinct, entities, shown)
 
     n = free_name(docs, count_col or "_n")
-    has = F.coalesce(F.size(mentions(F.col(text_col))) > 0, F.lit(False))
+    has = F.coalesce(F.col(text_col).rlike(HINT) & F.col(text_col).rlike(ANY), F.lit(False))
     clean = docs.where(~has).withColumn(n, F.lit(0).cast("long"))
-    own, shown_col = free_name(docs, "_own_id"), free_name(docs, "_own_shown")
-    per_doc = per_doc.withColumnsRenamed({"_id": own, "_shown": shown_col})
-    with_some = docs.where(has).join(per_doc, F.col(id_col).eqNullSafe(F.col(own)))
+    own, own_h, shown_col, names_col = (free_name(docs, c) for c in ("_own_id", "_own_hash", "_own_shown", "_own_names"))
+    per_doc = per_doc.withColumnsRenamed({"_id": own, "_h": own_h, "_shown": shown_col, "_names": names_col})
+    with_some = docs.where(has).join(per_doc, F.col(id_col).eqNullSafe(F.col(own)) & (told == F.col(own_h)))
     every = mentions(F.col(text_col))
-    gaps = F.split(F.col(text_col), ANY, -1)
-    new = F.array_join(
-        F.zip_with(gaps, F.transform(every, lambda m: F.coalesce(F.try_element_at(F.col(shown_col), m), m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""
+    named = F.transform(F.map_entries(F.col(names_col)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("shown")))
+    # a name after a title that tells no gender follows the one that does
+    bare = F.col(names_col)
+    put = lambda m: F.coalesce(
+        F.when(_gender(m) == "n", F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(_untitled(m))), F.try_element_at(bare, _untitled(m)))), F.try_element_at(F.col(shown_col), m), m
     )
-    dirty = with_some.withColumns({text_col: new, n: F.size(every).cast("long")}).select(*clean.columns)
+    gaps = F.transform(F.split(F.col(text_col), ANY, -1), lambda g: _renamed(g, named))
+    new_text = F.array_join(F.zip_with(gaps, F.transform(every, put), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    dirty = with_some.withColumns({text_col: new_text, n: F.size(every).cast("long")}).select(*clean.columns)
     out = clean.unionByName(dirty)
     return out.withColumnRenamed(n, count_col) if count_col else out.drop(n)
