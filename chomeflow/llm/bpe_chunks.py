@@ -8,11 +8,12 @@ Joins are repaired.  A lone space between two other characters always starts a
 pre-token, so text on both sides of one is encoded independently.  For each
 join the stretch from the last such space before it to the first such space
 behind it is encoded anew; where that agrees with what the two chunks have, it
-stays, else the new ids replace theirs, and a chunk without such a space is
-taken into the stretch, until both sides agree.
+stays, else the new ids replace theirs.  A chunk without such a space is
+taken into the stretch, which is encoded once, when it ends.
 
 Nulls count as empty texts; an empty text has no ids and decodes to an empty
-text; repeated rows give repeated results; other columns are ignored.  Memory is
+text; repeated rows give repeated results; other columns are ignored; an empty table gives none.
+A long text is encoded as a whole, in time that grows with its length.  Otherwise memory is
 bounded by the cache limits, whatever the input.
 """
 
@@ -73,21 +74,21 @@ class ChunkCoder:
             return self.fast.encode_ordinary(text)
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def chunk(self, text: str) -> tuple:
-        """(ids, head, number of its ids, tail, number of its ids); head and tail reach to the first and from the last safe space."""
-        if (got := self.chunks.get(text)) is None:
-            self.encoded += 1
+    def chunk(self, text: str) -> tuple | None:
+        """(ids, head, number of its ids, tail, number of its ids); head and tail reach to the first and from the last safe space. None without one."""
+        if (got := self.chunks.get(text, self)) is self:
             first, last = _FIRST_SAFE.search(text, 1), _LAST_SAFE.search(text)
             if first is None:
-                got = self.plain(text), text, 0, text, 0
+                got = None
             else:
+                self.encoded += 1
                 head, tail = text[: first.start()], text[last.start() :]
                 got = self.plain(text), head, len(self.plain(head)), tail, len(self.plain(tail))
             if len(text) <= KEPT_CHARS:
                 if len(self.chunks) >= CHUNK_CACHE:
                     self.chunks.clear()
                 self.chunks[text] = got
-        else:
+        elif got:
             self.reused += 1
         return got
 
@@ -108,27 +109,29 @@ class ChunkCoder:
     def segment(self, text: str) -> list[int]:
         """Ids of a text without special tokens, from its chunks."""
         edges = [0, *self.cuts(text), len(text)]
-        ids, head, n_head, tail, n_tail = self.chunk(text[edges[0] : edges[1]])
-        if len(edges) == 2:
-            return ids
-        ids = list(ids)
-        n_tail = n_tail or len(ids)
-        for a, b in zip(edges[1:-1], edges[2:], strict=True):
-            more, head, n_head, next_tail, next_n = self.chunk(text[a:b])
-            whole = not n_head  # no safe space within
-            n_head = n_head or len(more)
-            across = self.plain(tail + head)
-            if across != ids[len(ids) - n_tail :] + more[:n_head]:
-                self.repaired += 1
-            ids[len(ids) - n_tail :] = across
-            ids += more[n_head:]
-            if not whole:
-                tail, n_tail = next_tail, next_n
-            elif _safe_start(text, a):
-                tail, n_tail = head, len(self.plain(head))
+        ids: list[int] = []
+        stretch: list[str] = []  # from the last safe space on, not in ids yet
+        known: list[int] | None = None  # its ids, if it is one chunk's tail
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a and len(stretch) > 1 and _FIRST_SAFE.match(text, a):
+                ids += self.plain("".join(stretch))
+                stretch, known = [], []
+            got = self.chunk(text[a:b])
+            if got is None:
+                stretch.append(text[a:b])
+                known = None
+                continue
+            own, head, n_head, tail, n_tail = got
+            if a:
+                across = self.plain("".join([*stretch, head]))
+                if known is None or across != known + own[:n_head]:
+                    self.repaired += 1
             else:
-                tail, n_tail = tail + head, len(across)
-        return ids
+                across = own[:n_head]
+            ids += across
+            ids += own[n_head : len(own) - n_tail]
+            stretch, known = [tail], own[len(own) - n_tail :]
+        return ids + (known if known is not None else self.plain("".join(stretch)))
 
     def encode(self, text: str) -> list[int]:
         if SPECIAL not in text:
@@ -149,10 +152,6 @@ class ChunkCoder:
         return np.array(ids, "<u4").tobytes(), self.decode(ids)
 
 
-def _safe_start(text: str, at: int) -> bool:
-    return _FIRST_SAFE.match(text, at) is not None
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of each row, and with ``full`` the ids and the decoded text.
 
