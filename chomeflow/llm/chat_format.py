@@ -59,9 +59,9 @@ def _role_out(c: Column) -> Column:
 
 
 def _role_in(c: Column) -> Column:
-    # a doubled sign before n is an escaped sign, a single one is a line end
-    hidden = F.replace(F.replace(c, F.lit(2 * ESCAPE), F.lit("\x00")), F.lit(ESCAPE + "n"), F.lit("\n"))
-    return unescaped(F.replace(hidden, F.lit("\x00"), F.lit(2 * ESCAPE)))
+    # signs come in pairs but for the one before n, which is after all pairs of its run
+    pairs = F.split(c, r"\\\\", -1)
+    return unescaped(F.array_join(F.transform(pairs, lambda p: F.replace(p, F.lit(ESCAPE + "n"), F.lit("\n"))), 2 * ESCAPE))
 
 
 def final_state(roles: Column, template: Template = CHATML) -> Column:

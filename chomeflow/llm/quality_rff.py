@@ -13,7 +13,8 @@ the sums on the driver safe.  Everything else reads all rows and whole texts.
 A null text counts as empty.  Rows with a null id are scored but never fitted.  Several labels of an id
 count as the highest; null labels are ignored.  With no label, or labels of one
 kind only, every score is that share (0.5 without labels).  Repeated rows get
-equal scores.  Only the text is an input of a score.
+equal scores; equal raw scores are one point of the isotonic fit.  Only the text is an input of a
+score.  Long texts are measured as a whole.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             lines = [x for x in (column[r].as_py() or "").split("\n") if x]
             if lines:
                 out[r, 15] = 1 - len(set(lines)) / len(lines)
-                out[r, 16] = np.log1p(out[r, 10] / len(lines))
+                out[r, 16] = np.log1p(size[r - i] / len(lines))
     out[:, 14] = np.minimum(out[:, 14], 60)
     return out
 
