@@ -1,43 +1,48 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in SQL functions only.
 
 Texts are normalised (lower case, runs of other characters than letters and
-digits one space) and cut into shingles of 5 words.  Items are partitioned by
+digits one space) and cut into shingles of 5 words.  An item has ``HASHES`` minwise
+functions, each a hash of its own of the shingle's hash.  Items are partitioned by
 size: class W holds items of W/2 (not included) to W shingles.  For each class
 that occurs, documents are cut into windows of W/2 shingles, however long the
-document is, and each window has ``HASHES`` minwise values.  A passage equal to an
+document is, and each window has its minwise values.  A passage equal to an
 item fills at least a window's length; the shingle with the item's least value lies in
 some window, and is the least there too unless a foreign shingle at the passage's
 ends is less, so each value agrees with a chance of more than one half, and one of all
 agrees with a chance over 0.9999 (over 0.999 for an item of which three quarters are
 there).  Windows of larger classes take their minima from those of smaller ones.
 
-The index of items' minwise values is broadcast in blocks of ``INDEX_ROWS`` rows
-at most; a larger benchmark takes more passes, with the same result.  Every
+A window of fewer than ``LONG`` shingles would have nearly as many values as shingles.  For
+such classes each shingle is a window of its own: its one key is its hash, whatever the class, and
+the item's keys are the shingles that its functions choose.  A value then agrees if the
+chosen shingle is there, so an item of which three quarters are there is missed with
+a chance of 1/4 for each of its keys.
+
+The index of items' keys is broadcast if it has ``INDEX_ROWS`` rows at most; a larger one
+is joined by a shuffle of the documents' keys.  Either way documents are read once for it.  Every
 candidate is verified: the share of the item's distinct shingles that the whole
 document has, compared as text, must be ``CONTAINMENT`` or more.
 
 Null and empty texts and texts of fewer than five words have no shingles: such
 items are found nowhere, such documents hold nothing.  Rows with a null id
-aren't reported.  Rows of one id count as one document, or item.  Repeated rows
-and other columns change nothing.  Empty tables give no rows.
+aren't reported, but ``decontaminated`` judges them and tells rows of one id apart.  Rows of one id count as one document, or item.  Repeated rows
+and other columns change nothing.  Long texts are read as a whole.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chomeflow.llm.tables import Scratch
+from chomeflow.llm.tables import Scratch, bounded, free_name
 
 SHINGLE = 5
 CONTAINMENT = 0.75
 HASHES = 24
-INDEX_ROWS = 200_000
-
-_MASKS = [int(x) for x in np.random.default_rng(41).integers(-(1 << 62), 1 << 62, HASHES)]
+LONG = 48
+INDEX_ROWS = 500_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -73,9 +78,19 @@ def text_shingles(text: Column) -> Column:
     return let(words(text), shingle_texts)
 
 
+def _functions(each: Callable[[Column], Column]) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(HASHES)), each)
+
+
 def minwise(hashes: Column) -> Column:
     """The HASHES minwise values of an array of hashes."""
-    return F.transform(F.array(*[F.lit(m) for m in _MASKS]), lambda mask: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(mask))))
+    return _functions(lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
+
+
+def chosen(hashes: Column) -> Column:
+    """The hashes that have the HASHES minwise values, each once."""
+    least = lambda k: F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, k).alias("value"), h.alias("hash"))))
+    return F.array_distinct(_functions(lambda k: least(k)["hash"]))
 
 
 def _salt(size_class: int) -> int:
@@ -119,28 +134,23 @@ def contained_items(
     parts = q.select("_item", F.explode(text_shingles(F.col("_text"))).alias("shingle")).distinct()
     parts = scratch.save(parts, "item-shingles")
     sizes = parts.groupBy("_item").agg(F.count("*").alias("n"))
-    hashed = q.select("_item", let(text_hashes(F.col("_text")), minwise).alias("m"))
     size_class = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long")
-    signed = hashed.join(sizes, "_item").select("_item", size_class.alias("c"), "m")
-    index = scratch.save(signed.select("_item", "c", F.explode("m").alias("v")), "item-minima")
-    classes = sorted(r[0] for r in index.select("c").distinct().collect())  # at most 32 powers of two
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {items.schema[item_col].dataType.simpleString()}, shared bigint, item_shingles bigint, containment double"
-    if not classes:
-        return spark.createDataFrame([], schema)
-    salt = F.create_map(*[F.lit(x) for c in classes for x in (c, _salt(c))])
-    index = index.select("_item", F.col("v").bitwiseXOR(F.element_at(salt, F.col("c"))).alias("key"))
-
-    probes = d.select("_doc", F.explode(let(text_hashes(F.col("_text")), lambda h: window_keys(h, classes))).alias("key"))
-    passes = -(-index.count() // INDEX_ROWS)
-    pairs = None
-    for i in range(passes):
-        block = index.where(F.pmod(F.xxhash64("_item", F.lit(12)), F.lit(passes)) == i) if passes > 1 else index
-        found = probes.join(F.broadcast(block), "key").select("_doc", "_item")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = scratch.save(pairs.distinct(), "candidates")
+    c, h = F.col("c"), F.col("h")
+    hashed = q.select("_item", text_hashes(F.col("_text")).alias("h")).join(sizes, "_item").select("_item", size_class.alias("c"), "h")
+    signed = scratch.save(hashed.select("_item", "c", F.when(c < 2 * LONG, chosen(h)).otherwise(minwise(h)).alias("m")), "item-minima")
+    classes = sorted(r[0] for r in signed.where(c >= 2 * LONG).select("c").distinct().collect())  # at most 32 powers of two
+    salt = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for w in classes for x in (w, _salt(w))]), c), F.lit(0).cast("bigint")) if classes else F.lit(0).cast("bigint")
+    index = scratch.save(signed.select("_item", F.explode(F.transform("m", lambda v: v.bitwiseXOR(salt))).alias("key")).distinct(), "index")
+
+    def probe(hashes: Column) -> Column:
+        return F.array_distinct(F.concat(hashes, window_keys(hashes, classes)) if classes else hashes)
+
+    probes = d.select("_doc", F.explode(let(text_hashes(F.col("_text")), probe)).alias("key"))
+    small = index.count() <= INDEX_ROWS
+    pairs = scratch.save(probes.join(F.broadcast(index) if small else index, "key").select("_doc", "_item").distinct(), "candidates")
 
     some = scratch.save(pairs.select("_doc").distinct(), "candidate-documents")
-    texts = d.join(some, "_doc", "left_semi")
+    texts = d.join(bounded(some), "_doc", "left_semi")
     held = texts.select("_doc", F.explode(text_shingles(F.col("_text"))).alias("shingle")).distinct()
     wanted = pairs.join(parts, "_item")
     shared = wanted.join(held, ["_doc", "shingle"]).groupBy("_doc", "_item").agg(F.count("*").alias("shared"))
@@ -152,6 +162,15 @@ def contained_items(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns; rows with a null id stay."""
-    bad = contained_items(docs, items, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    """The documents that hold no item, with all their columns.
+
+    Rows are told apart by id and text, so rows without an id or with a repeated one
+    are judged by their own text.
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    names = [free_name(docs, f"_k{i}") for i in range(3)]
+    marked = docs.withColumns(dict(zip(names, [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), F.xxhash64(text_col)], strict=True)))
+    key = free_name(marked, "_key")
+    keyed = marked.select(F.struct(*names).alias(key), text_col)
+    bad = contained_items(keyed, items, key, text_col).select(key).distinct().select(*(F.col(key)[c].alias(c) for c in names))
+    return marked.join(bounded(scratch.save(bad, "bad")), names, "left_anti").select(*docs.columns)

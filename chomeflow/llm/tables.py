@@ -7,13 +7,13 @@ executor costs no more than a reread.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT = "spark.checkpoint.dir"
+from chomeflow.sources.shared import shared_dir
+
 #: Rows of a few short columns that a broadcast may have: some 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -22,19 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a local session may lack one and gets a temporary folder."""
-    at = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if at:
-        return at.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError(f"{CHECKPOINT} must name a folder that driver and executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="chomeflow-")
-    spark.conf.set(CHECKPOINT, at)
-    return at
-
-
 class Scratch:
     """Written tables of one operator run."""
 

@@ -116,7 +116,10 @@ def test_licences_wrapped_inside_longer_texts(spark):
 # --- 3 -------------------------------------------------------------------------------------------
 
 
-def test_contained_items_against_brute_force(spark):
+@pytest.mark.parametrize(("long", "rows"), [(48, 500_000), (2, 0)])
+def test_contained_items_against_brute_force(spark, long, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LONG", long)
+    monkeypatch.setattr(decontaminate, "INDEX_ROWS", rows)
     df = documents(spark)
     source = [t for _, t in sorted((i, t) for i, t in _rows(df) if i is not None) if t and len(t.split()) > 60]
     items = [(i, " ".join(t.split()[5 : 5 + n])) for i, (t, n) in enumerate(zip(source * 3, (5, 7, 9, 14, 20, 33, 50, 55, 12, 18, 27, 40), strict=False))]
@@ -134,12 +137,40 @@ def test_contained_items_against_brute_force(spark):
                 want.add((d, i))
     got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(df, q).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) >= 12
-    kept = {r["doc_id"] for r in decontaminate.decontaminated(df, q).collect()}
-    assert kept == {d for d, _ in _rows(df)} - {d for d, _ in want}
+    clean = decontaminate.decontaminated(df, q)
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {d for d, _ in _rows(df)} - {d for d, _ in want}
     assert decontaminate.contained_items(no_documents(spark), q).count() == 0
     assert decontaminate.contained_items(df, q.where("false")).count() == 0
 
 
+def test_decontaminated_judges_rows_by_their_own_text(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    rows = [(1, f"a b {item} c"), (1, "clean " * 9), (None, f"x {item}"), (None, "also clean"), (2, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, _key string, _k0 int")
+    got = decontaminate.decontaminated(df, spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))
+    assert sorted(map(str, _rows(got))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]])) and got.columns == df.columns
+
+
+@pytest.mark.parametrize("long", [48, 2])
+def test_recall_at_the_threshold(spark, long, monkeypatch):
+    """Items of 40 to 300 shingles of which 75 to 84 in a hundred are there, in pieces."""
+    monkeypatch.setattr(decontaminate, "LONG", long)
+    r = np.random.default_rng(2)
+    items, docs = [], []
+    for i in range(300):
+        w = [f"i{i}x{k}" for k in range(int(r.integers(44, 304)))]
+        n = len(w) - 4
+        gone = list(w)
+        # one changed word loses five shingles
+        for k in range(int(0.25 * n / 5)):
+            gone[int((k + 0.5) * len(w) / int(0.25 * n / 5))] = f"z{i}x{k}"
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([*(f"a{i}x{k}" for k in range(int(r.integers(0, 200)))), *gone, *(f"b{i}x{k}" for k in range(100))])))
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(q["doc_id"], q["item_id"]) for q in got} <= {(i, i) for i in range(300)} and all(0.75 <= q["containment"] < 0.85 for q in got)
+    assert len(got) >= 0.995 * 300
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
