@@ -1,146 +1,17 @@
-"""The bundled registry: all prefectures, and a partial list of municipalities.
+"""The bundled registry: all prefectures, and a partial list of municipalities, in two CSV files.
 
 The list holds every administrative ward of the designated cities, the special
 wards, the prefectural capitals and some more; it isn't the whole statutory
 register.  Load that with ``chomeflow.sources.registry.municipalities(spark, path)``.
-Codes are public (JIS X 0402); every one must satisfy its check digit.
+Codes are public (JIS X 0402); the check digit is computed from the base code.
 """
 
 from __future__ import annotations
 
-#: Code, stem, suffix, kana, romaji of each prefecture.
-PREFECTURES = """
-01 北海 道 ホッカイドウ Hokkaido
-02 青森 県 アオモリケン Aomori
-03 岩手 県 イワテケン Iwate
-04 宮城 県 ミヤギケン Miyagi
-05 秋田 県 アキタケン Akita
-06 山形 県 ヤマガタケン Yamagata
-07 福島 県 フクシマケン Fukushima
-08 茨城 県 イバラキケン Ibaraki
-09 栃木 県 トチギケン Tochigi
-10 群馬 県 グンマケン Gunma
-11 埼玉 県 サイタマケン Saitama
-12 千葉 県 チバケン Chiba
-13 東京 都 トウキョウト Tokyo
-14 神奈川 県 カナガワケン Kanagawa
-15 新潟 県 ニイガタケン Niigata
-16 富山 県 トヤマケン Toyama
-17 石川 県 イシカワケン Ishikawa
-18 福井 県 フクイケン Fukui
-19 山梨 県 ヤマナシケン Yamanashi
-20 長野 県 ナガノケン Nagano
-21 岐阜 県 ギフケン Gifu
-22 静岡 県 シズオカケン Shizuoka
-23 愛知 県 アイチケン Aichi
-24 三重 県 ミエケン Mie
-25 滋賀 県 シガケン Shiga
-26 京都 府 キョウトフ Kyoto
-27 大阪 府 オオサカフ Osaka
-28 兵庫 県 ヒョウゴケン Hyogo
-29 奈良 県 ナラケン Nara
-30 和歌山 県 ワカヤマケン Wakayama
-31 鳥取 県 トットリケン Tottori
-32 島根 県 シマネケン Shimane
-33 岡山 県 オカヤマケン Okayama
-34 広島 県 ヒロシマケン Hiroshima
-35 山口 県 ヤマグチケン Yamaguchi
-36 徳島 県 トクシマケン Tokushima
-37 香川 県 カガワケン Kagawa
-38 愛媛 県 エヒメケン Ehime
-39 高知 県 コウチケン Kochi
-40 福岡 県 フクオカケン Fukuoka
-41 佐賀 県 サガケン Saga
-42 長崎 県 ナガサキケン Nagasaki
-43 熊本 県 クマモトケン Kumamoto
-44 大分 県 オオイタケン Oita
-45 宮崎 県 ミヤザキケン Miyazaki
-46 鹿児島 県 カゴシマケン Kagoshima
-47 沖縄 県 オキナワケン Okinawa
-"""
-
-#: Base code of a designated city, its name, and its wards in code order; a number skips to that code.
-DESIGNATED = """
-01100 札幌市 中央区 北区 東区 白石区 豊平区 南区 西区 厚別区 手稲区 清田区
-04100 仙台市 青葉区 宮城野区 若林区 太白区 泉区
-11100 さいたま市 西区 北区 大宮区 見沼区 中央区 桜区 浦和区 南区 緑区 岩槻区
-12100 千葉市 中央区 花見川区 稲毛区 若葉区 緑区 美浜区
-14100 横浜市 鶴見区 神奈川区 西区 中区 南区 保土ケ谷区 磯子区 金沢区 港北区 戸塚区 港南区 旭区 緑区 瀬谷区 栄区 泉区 青葉区 都筑区
-14130 川崎市 川崎区 幸区 中原区 高津区 多摩区 宮前区 麻生区
-14150 相模原市 緑区 中央区 南区
-15100 新潟市 北区 東区 中央区 江南区 秋葉区 南区 西区 西蒲区
-22100 静岡市 葵区 駿河区 清水区
-22130 浜松市 22138 中央区 浜名区 天竜区
-23100 名古屋市 千種区 東区 北区 西区 中村区 中区 昭和区 瑞穂区 熱田区 中川区 港区 南区 守山区 緑区 名東区 天白区
-26100 京都市 北区 上京区 左京区 中京区 東山区 下京区 南区 右京区 伏見区 山科区 西京区
-27100 大阪市 27102 都島区 福島区 此花区 27106 西区 港区 大正区 天王寺区 27111 浪速区 27113 西淀川区 東淀川区 東成区 生野区 旭区 城東区 阿倍野区 住吉区 東住吉区 西成区 淀川区 鶴見区 住之江区 平野区 北区 中央区
-27140 堺市 堺区 中区 東区 西区 南区 北区 美原区
-28100 神戸市 東灘区 灘区 28105 兵庫区 長田区 須磨区 垂水区 北区 中央区 西区
-33100 岡山市 北区 中区 東区 南区
-34100 広島市 中区 東区 南区 西区 安佐南区 安佐北区 安芸区 佐伯区
-40100 北九州市 門司区 40103 若松区 40105 戸畑区 小倉北区 小倉南区 八幡東区 八幡西区
-40130 福岡市 東区 博多区 中央区 南区 西区 城南区 早良区
-43100 熊本市 中央区 東区 西区 南区 北区
-"""
+import csv
+from pathlib import Path
 
-#: The special wards in code order, from 13101.
-SPECIAL_WARDS = "千代田区 中央区 港区 新宿区 文京区 台東区 墨田区 江東区 品川区 目黒区 大田区 世田谷区 渋谷区 中野区 杉並区 豊島区 北区 荒川区 板橋区 練馬区 足立区 葛飾区 江戸川区"
-
-#: Base code, name and, if any, county of other municipalities.
-OTHERS = """
-01233 伊達市
-01303 当別町 石狩郡
-01332 福島町 松前郡
-01346 八雲町 二海郡
-01403 泊村 古宇郡
-01696 泊村 国後郡
-02201 青森市
-02203 八戸市
-03201 盛岡市
-05201 秋田市
-06201 山形市
-07201 福島市
-07202 会津若松市
-07213 伊達市
-08201 水戸市
-09201 宇都宮市
-10201 前橋市
-10424 長野原町 吾妻郡
-11324 三芳町 入間郡
-13206 府中市
-13305 日の出町 西多摩郡
-14341 大磯町 中郡
-16201 富山市
-17201 金沢市
-18201 福井市
-19201 甲府市
-20201 長野市
-20563 野沢温泉村 下高井郡
-21201 岐阜市
-23302 東郷町 愛知郡
-24201 津市
-24202 四日市市
-25201 大津市
-25425 愛荘町 愛知郡
-29201 奈良市
-30201 和歌山市
-31201 鳥取市
-32201 松江市
-34208 府中市
-35203 山口市
-36201 徳島市
-37201 高松市
-38201 松山市
-39201 高知市
-40621 苅田町 京都郡
-41201 佐賀市
-42201 長崎市
-44201 大分市
-45201 宮崎市
-46201 鹿児島市
-47201 那覇市
-47301 国頭村 国頭郡
-"""
+HERE = Path(__file__).parent
 
 
 def check_digit(base: str) -> str:
@@ -150,35 +21,21 @@ def check_digit(base: str) -> str:
     return str((11 - sum(int(d) * w for d, w in zip(base, (6, 5, 4, 3, 2), strict=True)) % 11) % 10)
 
 
+def _read(name: str) -> list[dict[str, str]]:
+    with (HERE / name).open(encoding="utf-8", newline="") as f:
+        return list(csv.DictReader(f))
+
+
 def prefecture_rows() -> list[tuple[str, ...]]:
     """(code, name, stem, suffix, kana, romaji) in code order."""
-    rows = [line.split() for line in PREFECTURES.strip().splitlines()]
-    return [(code, stem + suffix, stem, suffix, kana, romaji) for code, stem, suffix, kana, romaji in rows]
+    return [tuple(r.values()) for r in _read("prefectures.csv")]
 
 
 def municipality_rows() -> list[tuple[str | None, ...]]:
     """(prefecture_code, prefecture_name, base_code, check_digit, lg_code, name, city, ward, county, entity_type, kana) in lg_code order."""
     names = {r[0]: r[1] for r in prefecture_rows()}
     rows = []
-
-    def add(base: str, name: str, city: str, ward: str | None, county: str | None, kind: str) -> None:
-        d = check_digit(base)
-        rows.append((base[:2], names[base[:2]], base, d, base + d, name, city, ward, county, kind, None))
-
-    for line in DESIGNATED.strip().splitlines():
-        base, city, *wards = line.split()
-        add(base, city, city, None, None, "designated_city")
-        code = int(base)
-        for ward in wards:
-            if ward.isdigit():
-                code = int(ward) - 1
-                continue
-            code += 1
-            add(f"{code:05d}", city + ward, city, ward, None, "administrative_ward")
-    for i, name in enumerate(SPECIAL_WARDS.split()):
-        add(str(13101 + i), name, name, None, None, "special_ward")
-    kinds = {"市": "city", "町": "town", "村": "village"}
-    for line in OTHERS.strip().splitlines():
-        base, name, *county = line.split()
-        add(base, name, name, None, county[0] if county else None, kinds[name[-1]])
+    for r in _read("municipalities.csv"):
+        base, d = r["base_code"], check_digit(r["base_code"])
+        rows.append((base[:2], names[base[:2]], base, d, base + d, r["name"], r["city"], r["ward"] or None, r["county"] or None, r["entity_type"], None))
     return sorted(rows, key=lambda r: r[4])

@@ -116,6 +116,9 @@ def _sequence(text: Column) -> Column:
     return F.when(text.rlike(f"{FLAGS}{KANJI}-|-{KANJI}"), replace_each(text, whole, new)).otherwise(text)
 
 
+#: Where no step finds anything: a numeral stands before a mark or a dash, or behind a dash or 番地の.
+ANY_STEP = f"{KANJI}(?:丁目|番|号|-)|(?:-|番地の){KANJI}"
+
 #: In this order; each reads the text that the one before wrote.
 KANJI_STEPS: list[Callable[[Column], Column]] = [
     lambda t: _numeral_in(t, "丁目", "", "丁目"),

@@ -28,10 +28,11 @@ def sanitized(df: DataFrame, raw: str, out: str) -> DataFrame:
 
 
 def kanji_converted(df: DataFrame, text: str, out: str) -> DataFrame:
-    df = df.withColumn(out, F.col(text))
+    """Adds ``out``: kanji numerals in numbers as digits. Texts without one of the steps' marks beside a numeral pass by all of them."""
+    df = df.withColumn("_numeral", F.col(text).rlike(T.ANY_STEP)).withColumn(out, F.col(text))
     for step in T.KANJI_STEPS:
-        df = df.withColumn(out, step(F.col(out)))
-    return df
+        df = df.withColumn(out, F.when(F.col("_numeral"), step(F.col(out))).otherwise(F.col(out)))
+    return df.drop("_numeral")
 
 
 def _street_number(c: Column) -> Column:

@@ -7,6 +7,9 @@ inputs; their SQL states the values that are right for them.
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +20,12 @@ from chomeflow.data import seed
 from chomeflow.functions import codes
 from chomeflow.functions import text as T
 from chomeflow.operators import administrative, blocks, regional
-from chomeflow.operators.geocode import TableResolver, geocode, query_text
-from chomeflow.plans import formats
-from chomeflow.plans.normalize import kanji_converted, normalize, sanitized
+from chomeflow.operators.geocode import TableResolver, fetch, geocode, query_text
+from chomeflow.plans import formats, timings
+from chomeflow.plans.normalize import kanji_converted, normalize, parse, sanitized
 from chomeflow.plans.validate import exit_code, validate
 from chomeflow.sources import registry as R
+from chomeflow.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +41,9 @@ def query(sql: str):
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"))
+    """The keys of orders, spread: a table of few row groups would keep all work in few tasks."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"))
+    return keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i")
 
 
 def _quoted(x) -> str:
@@ -72,19 +78,58 @@ _MUNIS = _values(
 )
 
 
-@query(f"SELECT code, name, stem, suffix FROM ({_PREFS})")
+#: What isn't derived: the SQL makes codes, cities and types from these anew.
+_BASES = _values([(r[2], r[5], r[7], r[8]) for r in seed.municipality_rows()], "base, name, ward, county")
+_BASE_DIGIT = "((11 - (substr(base, 1, 1)::INT * 6 + substr(base, 2, 1)::INT * 5 + substr(base, 3, 1)::INT * 4 + substr(base, 4, 1)::INT * 3 + substr(base, 5, 1)::INT * 2) % 11) % 10)::VARCHAR"
+_DERIVED = f"""
+WITH b AS ({_BASES}), d AS (SELECT *, CASE WHEN ward IS NULL THEN name ELSE left(name, length(name) - length(ward)) END AS city FROM b)
+SELECT base || {_BASE_DIGIT} AS lg_code, name, city, ward, county,
+  CASE WHEN ward IS NOT NULL THEN 'administrative_ward' WHEN name IN (SELECT city FROM d WHERE ward IS NOT NULL) THEN 'designated_city'
+    WHEN starts_with(base, '13') AND ends_with(name, '区') THEN 'special_ward' WHEN ends_with(name, '市') THEN 'city' WHEN ends_with(name, '町') THEN 'town' ELSE 'village' END AS entity_type
+FROM d"""
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}/{name}"
+
+
+@query(f"SELECT code, name, left(name, length(name) - 1) AS stem, right(name, 1) AS suffix FROM ({_PREFS})")
 def registry_prefectures(spark, sf_dir):
-    return R.prefectures(spark).select("code", "name", "stem", "suffix")
+    at = _file(spark, "prefectures.json")
+    R.prefectures(spark).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(at)
+    return R.prefectures(spark, at).select("code", "name", "stem", "suffix")
 
 
-@query(f"SELECT lg_code, name, city, ward, county, entity_type FROM ({_MUNIS})")
+@query(_DERIVED)
 def registry_municipalities(spark, sf_dir):
-    return R.municipalities(spark).select("lg_code", "name", "city", "ward", "county", "entity_type")
+    at = _file(spark, "municipalities.json")
+    R.write(R.municipalities(spark), at)
+    return R.municipalities(spark, at).select("lg_code", "name", "city", "ward", "county", "entity_type")
 
 
-@query(f"SELECT base_code, county FROM ({_MUNIS}) WHERE county IS NOT NULL")
+@query(f"SELECT base AS base_code, county FROM ({_BASES}) WHERE county <> ''")
 def county_map(spark, sf_dir):
-    return R.county_map(spark)
+    at = _file(spark, "counties.json")
+    pairs = R.county_map(spark).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("base_code", "county")))).alias("value"))
+    pairs.write.text(at)
+    return R.county_map(spark, at)
+
+
+#: The first columns of two sheets, as a statutory workbook has them.
+_SHEET_1 = [("code", "prefecture", "municipality"), ("010006", "北海道", None), ("011002", "北海道", "札幌市"), ("013030", "北海道", "当別町"), ("131016", "東京都", "千代田区"), ("322024", "島根県", "浜田市"), ("105619", "群馬県", "上野村")]
+_SHEET_2 = [("code", "prefecture", "municipality"), ("011002", "北海道", "札幌市"), ("011011", "北海道", "札幌市中央区"), ("011029", "北海道", "札幌市北区")]
+
+
+@query(
+    f"""WITH s AS ({_values([r for r in _SHEET_1 if r[2]][1:], "code, prefecture, name")}), w AS ({_values(_SHEET_2[2:], "code, prefecture, name")})
+    SELECT code AS lg_code, left(code, 5) AS base_code, prefecture AS prefecture_name, name, name AS city, NULL AS ward, CASE code WHEN '013030' THEN '石狩郡' END AS county,
+      CASE code WHEN '011002' THEN 'designated_city' WHEN '131016' THEN 'special_ward' ELSE CASE right(name, 1) WHEN '市' THEN 'city' WHEN '町' THEN 'town' ELSE 'village' END END AS entity_type FROM s
+    UNION ALL SELECT code, left(code, 5), prefecture, name, '札幌市', substr(name, 4), NULL, 'administrative_ward' FROM w"""
+)
+def register_build(spark, sf_dir):
+    sheet = lambda rows: R.sheet_frame(spark, [dict(zip("ABC", r, strict=True)) for r in rows])
+    counties = spark.createDataFrame([("01303", "石狩郡")], "base_code string, county string")
+    return R.build(sheet(_SHEET_1), sheet(_SHEET_2), counties, records=None).select("lg_code", "base_code", "prefecture_name", "name", "city", "ward", "county", "entity_type")
 
 
 _KEYS = f"""
@@ -126,6 +171,21 @@ def find_municipalities(spark, sf_dir):
     return r.find_municipalities("泊村").select("lg_code", "name").unionByName(r.find_municipalities("中央区").select("lg_code", "name"))
 
 
+@query(f"SELECT lg_code, name, 'last of the name' AS how FROM (SELECT * FROM ({_MUNIS}) WHERE prefecture_code = '01' AND name = '泊村' ORDER BY lg_code DESC LIMIT 1) UNION ALL SELECT lg_code, name, 'by code' FROM ({_MUNIS}) WHERE lg_code = '131032'")
+def municipality_lookup(spark, sf_dir):
+    r = R.registry(spark)
+    last = r.find_municipalities("泊村", "01").select("lg_code", "name", F.lit("last of the name").alias("how"))
+    return last.unionByName(r.municipality_by_code("131032").select("lg_code", "name", F.lit("by code").alias("how")))
+
+
+@query(f"SELECT code, name, 'code' AS how FROM ({_PREFS}) WHERE code = '26' UNION ALL SELECT code, name, 'name' FROM ({_PREFS}) WHERE name = '大阪府' UNION ALL SELECT code, name, 'stem' FROM ({_PREFS}) WHERE stem = '北海'")
+def prefecture_by_each_key(spark, sf_dir):
+    r = R.registry(spark)
+    found = [(r.prefecture_by_code("26"), "code"), (r.prefecture_by_name("大阪府"), "name"), (r.prefecture_by_stem("北海"), "stem")]
+    a, b, c = (df.select("code", "name", F.lit(how).alias("how")) for df, how in found)
+    return a.unionByName(b).unionByName(c)
+
+
 # --- codes ---------------------------------------------------------------------------------------
 
 _DIGIT = """(11 - (substr({b}, 1, 1)::INT * 6 + substr({b}, 2, 1)::INT * 5 + substr({b}, 3, 1)::INT * 4 + substr({b}, 4, 1)::INT * 3 + substr({b}, 5, 1)::INT * 2) % 11) % 10"""
@@ -477,3 +537,97 @@ def geojson_resolve(spark, sf_dir):
     g = F.col("geocoded")
     got = geocode(spark.createDataFrame([(r[0],) for r in _GEO], "address string"), answers)
     return got.select("address", g["status"].alias("status"), g["coordinates"]["latitude"].alias("latitude"), g["coordinates"]["longitude"].alias("longitude"), g["candidate_count"].cast("string").alias("candidate_count"))
+
+
+_GEO_TEXTS = [
+    ("東京都港区六本木6-10-1", "Input:       東京都港区六本木6-10-1\nStatus:      SUCCESS\nProvider:    table\nCoordinates: 35.660206, 139.729202 (Lat, Lon)\nMatched:     東京都港区六本木六丁目\nCandidates:\n  • 東京都港区六本木六丁目"),
+    ("東京タワー", "Input:       東京タワー\nStatus:      NO_MATCH\nProvider:    table"),
+]
+
+
+@query(_values(_GEO_TEXTS, "address, shown").replace("SELECT *", "SELECT address, shown"))
+def format_geocode(spark, sf_dir):
+    answers = TableResolver(spark.createDataFrame(_ANSWERS, "query string, body string"))
+    got = geocode(spark.createDataFrame([(r[0],) for r in _GEO_TEXTS], "address string"), answers)
+    return got.select("address", F.regexp_replace(formats.geocoded_text(F.col("geocoded")), "\nMessage:.*", "").alias("shown"))
+
+
+_PARSE_TEXTS = [
+    (
+        "東京都港区六本木6-10-1",
+        "Input: 東京都港区六本木6-10-1\n\n\n[Administrative]\n  Prefecture:    東京都 (Code: 13)\n  City:          港区\n  LG Code:       131032\n  Town:          六本木\n\n"
+        "[Block & Lot]\n  Chome:         6\n  Ban:           10\n  Go:            1\n  Regime:        gaiku_hoshiki\n\n[Classification]\n  Confidence:    1.00\n  Ambiguous:     False",
+    ),
+    ("ランダム", "Input:        ランダム\nStatus:       Rejected (Confidence: 0.00)\nError:        Could not decompose input into Japanese address components."),
+]
+
+
+@query(_values(_PARSE_TEXTS, "address, shown"))
+def format_parse(spark, sf_dir):
+    return normalize(spark.createDataFrame([(r[0],) for r in _PARSE_TEXTS], "address string")).select("address", formats.parsed_text(_normal()).alias("shown"))
+
+
+_PARSED = [
+    ("東京都港区六本木6-10-1", "東京都", "港区", None, "六本木", "6", "10", "1"),
+    ("大阪府大阪市中央区大手前2丁目", "大阪府", "大阪市", "中央区", "大手前", "2", None, None),
+    ("ランダム", None, None, None, None, None, None, None),
+]
+
+
+@query(_values(_PARSED, "address, prefecture, city, ward, town, chome, ban, go"))
+def parse_components(spark, sf_dir):
+    c = parse(spark.createDataFrame([(r[0],) for r in _PARSED], "address string"))
+    return c.select("address", *[F.col("components")[k].cast("string").alias(k) for k in ("prefecture", "city", "ward", "town", "chome", "ban", "go")])
+
+
+class _Answer:
+    def __init__(self, code: int, body: bytes):
+        self.code, self.body = code, body
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+    def getcode(self):
+        return self.code
+
+    def read(self):
+        return self.body
+
+
+def _opener(outcome):
+    def ask(request, timeout):
+        if isinstance(outcome, Exception):
+            raise outcome
+        return outcome
+
+    return ask
+
+
+_FETCHED = [
+    ("answer", _Answer(200, b"[]"), "[]", None),
+    ("status", _Answer(204, b""), None, "GSI API responded with HTTP status 204."),
+    ("http", urllib.error.HTTPError("u", 503, "Busy", None, None), None, "GSI HTTP error: 503 Busy"),
+    ("connection", urllib.error.URLError("refused"), None, "GSI connection error: refused"),
+    ("timeout", TimeoutError(), None, "GSI request timed out after 5.0s."),
+    ("json", json.JSONDecodeError("Expecting value", "x", 0), None, "Failed to decode GSI JSON response: Expecting value: line 1 column 1 (char 0)"),
+    ("other", ValueError("odd"), None, "Unexpected error querying GSI: odd"),
+]
+
+
+@query(_values([(k, b, e) for k, _, b, e in _FETCHED], "outcome, body, error"))
+def fetch_outcomes(spark, sf_dir):
+    return spark.createDataFrame([(k, *fetch("http://localhost/", 5.0, "x", _opener(o))) for k, o, _, _ in _FETCHED], "outcome string, body string, error string")
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey % 5 AS corpus, ((o_orderkey * 37) % 1009)::DOUBLE AS us FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY us) - 1 AS k, count(*) OVER (PARTITION BY corpus) AS m FROM t)
+    SELECT corpus, count(*)::BIGINT AS n, sum(us) AS total_us, round(avg(us), 6) AS mean_us, median(us) AS p50_us, max(us) FILTER (WHERE k = m * 90 // 100) AS p90_us,
+      max(us) FILTER (WHERE k = m * 99 // 100) AS p99_us, min(us) AS min_us, max(us) AS max_us, round(count(*) * 1e6 / sum(us), 6) AS per_sec FROM r GROUP BY corpus"""
+)
+def latency_aggregates(spark, sf_dir):
+    times = _keys(spark, sf_dir).select((F.col("i") % 5).alias("corpus"), ((F.col("i") * 37) % 1009).alias("us"))
+    return timings.aggregates(times).withColumns({c: F.round(c, 6) for c in ("mean_us", "per_sec")})

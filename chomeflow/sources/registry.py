@@ -25,20 +25,27 @@ MOST_RECORDS = 10_000
 FULL_RECORDS = 1_918
 
 
+def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON array, or of lines with an object each."""
+    start = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
+    whole = start is None or start[0].lstrip("\ufeff \t").startswith("[")
+    return spark.read.schema(schema).option("multiLine", whole).option("mode", "FAILFAST").json(path)
+
+
 def prefectures(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Prefectures from a JSON array, or the bundled 47."""
+    """Prefectures from a JSON array or lines, or the bundled 47."""
     if path is None:
         return spark.createDataFrame(seed.prefecture_rows(), PREFECTURE)
-    return spark.read.schema(PREFECTURE).option("multiLine", True).json(path)
+    return _read_json(spark, path, PREFECTURE)
 
 
 def municipalities(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Municipalities from a JSON array or a Parquet table, or the bundled partial list. A missing path is an error."""
+    """Municipalities from a JSON array or lines, or a Parquet table, or the bundled partial list. A missing path is an error."""
     if path is None:
         return spark.createDataFrame(seed.municipality_rows(), MUNICIPALITY)
     if path.endswith(".parquet"):
         return spark.read.schema(MUNICIPALITY).parquet(path)
-    return spark.read.schema(MUNICIPALITY).option("multiLine", True).json(path)
+    return _read_json(spark, path, MUNICIPALITY)
 
 
 def county_map(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -123,7 +130,8 @@ def build(municipal: DataFrame, wards: DataFrame, counties: DataFrame, records:
 
     rows = lambda df: df.where("row > 0 AND municipality IS NOT NULL AND municipality <> ''")
     cities = rows(wards).where(F.col("municipality").endswith("市")).select(F.col("municipality").alias("designated")).distinct()
-    first = coded(rows(municipal)).join(F.broadcast(cities), F.col("municipality") == F.col("designated"), "left").join(F.broadcast(counties), "base_code", "left")
+    some_counties = F.broadcast(counties) if counties.count() <= MOST_RECORDS else counties
+    first = coded(rows(municipal)).join(F.broadcast(cities), F.col("municipality") == F.col("designated"), "left").join(some_counties, "base_code", "left")
     kind = entity_type(F.col("prefecture_name"), F.col("municipality"), F.col("designated").isNotNull())
     plain = first.select(
         "prefecture_code", "prefecture_name", "base_code", "check_digit", "lg_code", F.col("municipality").alias("name"), F.col("municipality").alias("city"),
@@ -148,9 +156,14 @@ def build_from_workbook(spark: SparkSession, workbook: str, counties_path: str |
 
 
 def write(register: DataFrame, path: str) -> None:
-    """One sorted file; JSON lines unless the path ends in .parquet."""
-    out = register.orderBy("lg_code").coalesce(1).write.mode("overwrite")
-    out.parquet(path) if path.endswith(".parquet") else out.json(path)
+    """One sorted file: a Parquet table if the path ends in .parquet, else a JSON array. For registers of bounded size."""
+    if path.endswith(".parquet"):
+        register.orderBy("lg_code").coalesce(1).write.mode("overwrite").parquet(path)
+        return
+    if (n := register.count()) > MOST_RECORDS:
+        raise ValueError(f"{n} records don't make a JSON array; write them to a .parquet path")
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("lg_code", F.struct("*").alias("r")))), lambda x: x["r"])
+    register.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 # --- key index -----------------------------------------------------------------------------------
@@ -190,8 +203,8 @@ def bucketed(keys: DataFrame) -> DataFrame:
 class Registry:
     """The two dimensions of a session and their indexes.
 
-    ``broadcastable`` is checked against the number of records; a larger table
-    is joined however Spark likes.
+    ``broadcastable`` is checked against the numbers of records; larger tables
+    are joined however Spark likes.  Tables of one's own without any code are an error.
     """
 
     def __init__(self, spark: SparkSession, municipalities_path: str | None = None, prefectures_path: str | None = None):
@@ -199,9 +212,17 @@ class Registry:
         self.prefectures = prefectures(spark, prefectures_path)
         self.municipalities = municipalities(spark, municipalities_path)
         self.complete = municipalities_path is not None
-        self.broadcastable = municipalities_path is None or self.municipalities.count() <= MOST_RECORDS
+        sizes = [self._checked(df, code) for df, code, path in ((self.prefectures, "code", prefectures_path), (self.municipalities, "lg_code", municipalities_path)) if path is not None]
+        self.broadcastable = max(sizes, default=0) <= MOST_RECORDS
         self._muni = self._pref = None
 
+    @staticmethod
+    def _checked(df: DataFrame, code: str) -> int:
+        rows, coded = df.agg(F.count("*"), F.count(code)).first()
+        if not rows or coded < rows:
+            raise ValueError(f"{rows - coded} of {rows} rows of a registry table have no {code}")
+        return rows
+
     def _pinned(self, df: DataFrame) -> DataFrame:
         """A small table without its lineage, so that each query doesn't build it anew."""
         return self.spark.createDataFrame(df.collect(), df.schema) if self.broadcastable else df

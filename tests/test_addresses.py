@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def _rows(spark, addresses, plan=normalize, out="normalized"):
     return [r[out] for r in plan(df).orderBy("i").collect()]
 
 
-#: address -> city, ward, town, chome, ban, go, banchi, edaban
+#: Fixed values. address -> city, ward, town, chome, ban, go, banchi, edaban
 PREFECTURAL = [
     ("青森県青森市新町1-1", "青森市", None, "新町", None, 1, 1, None, None),
     ("宮城県仙台市青葉区本町3-8-1", "仙台市", "青葉区", "本町", 3, 8, 1, None, None),
@@ -105,6 +106,44 @@ def test_registry_from_a_file(spark, tmp_path):
     assert n["components"]["lg_code"] == "131024" and not n["components"]["is_ambiguous"]
 
 
+def test_registry_json_comes_back_whole(spark, tmp_path):
+    at = f"{tmp_path}/m.json"
+    R.write(R.municipalities(spark), at)
+    back = R.municipalities(spark, at)
+    assert sorted(back.collect()) == sorted(R.municipalities(spark).collect())
+    R.municipalities(spark).write.json(f"{tmp_path}/lines.json")
+    assert R.municipalities(spark, f"{tmp_path}/lines.json").count() == len(seed.municipality_rows())
+    (tmp_path / "odd.json").write_text('[{"name": "no code"}]')
+    with pytest.raises(ValueError, match="1 of 1 rows"):
+        Registry(spark, f"{tmp_path}/odd.json")
+    (tmp_path / "c.json").write_text(json.dumps({"01303": "石狩郡", "01332": "松前郡"}))
+    assert {tuple(r) for r in R.county_map(spark, f"{tmp_path}/c.json").collect()} == {("01303", "石狩郡"), ("01332", "松前郡")}
+
+
+def _sheet_xml(rows, shared):
+    cells = lambda i, r: "".join(f'<c r="{c}{i}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>' for c, v in zip("ABC", r, strict=True) if v is not None)
+    body = "".join(f'<row r="{i}">{cells(i, r)}</row>' for i, r in enumerate(rows, 1))
+    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+
+
+def test_builds_the_register_from_a_workbook(spark, tmp_path):
+    shared = {}
+    sheets = [_sheet_xml(rows, shared) for rows in (queries._SHEET_1, queries._SHEET_2)]
+    # a reading over the text, and a text in runs
+    item = lambda v: f"<si><r><t>{v[:1]}</t></r><r><t>{v[1:]}</t></r><rPh><t>ヨミ</t></rPh></si>" if len(v) > 3 else f"<si><t>{v}</t></si>"
+    strings = f'<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{"".join(map(item, shared))}</sst>'
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", strings)
+        for i, xml in enumerate(sheets, 1):
+            book.writestr(f"xl/worksheets/sheet{i}.xml", xml)
+    (tmp_path / "c.json").write_text(json.dumps({"01303": "石狩郡"}))
+    got = R.build_from_workbook(spark, str(tmp_path / "book.xlsx"), f"{tmp_path}/c.json", records=7)
+    want = queries.QUERIES["register_build"](spark, "")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    R.write(got, f"{tmp_path}/register.json")
+    assert R.municipalities(spark, f"{tmp_path}/register.json").count() == 7
+
+
 def test_command_line(spark, capsys, monkeypatch):
     assert cli.main(["東京都港区六本木6-10-1", "-c"], spark) == 0
     assert capsys.readouterr().out.strip() == "東京都港区六本木6丁目10番1号"
