@@ -61,4 +61,52 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM steps GROUP BY conv_id
 """
 
-ORACLES = {"op2_license_scan": OP2, "op3_benchmark_decontamination": OP3, "op8_chat_format": OP8}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLAIN_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+#: Of ``nodes`` (id) and ``links`` (x, y), the smallest id that each id reaches.
+_COMPONENTS = """
+ends AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT id, id AS root FROM nodes UNION SELECT r.id, e.y FROM reach r JOIN ends e ON e.x = r.root),
+comps AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+"""
+
+OP4 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT w.doc_id, count(s.s)::BIGINT AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+nodes AS (SELECT doc_id AS id FROM n),
+links AS (SELECT x, y FROM p JOIN n n1 ON n1.doc_id = x JOIN n n2 ON n2.doc_id = y WHERE 100 * c >= 75 * (n1.n + n2.n - c)),
+{_COMPONENTS}
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comps ON id = doc_id
+"""
+
+OP6 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, v FROM v WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+nodes AS (SELECT vec_id AS id FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+{_COMPONENTS}
+SELECT id AS vec_id, (SELECT count(*) FROM ends WHERE x = id)::BIGINT AS n_links, component_id, id = component_id AS kept FROM comps
+"""
+
+OP9 = f"""
+WITH w AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, len(w)::BIGINT AS n_words, w, unnest(range(len(w) - 49)) AS p FROM w WHERE len(w) >= 50),
+hashed AS (SELECT doc_id, n_words, p, md5(array_to_string(w[p + 1:p + 50], ' ')) AS h FROM places),
+again AS (SELECT doc_id, n_words, p FROM hashed QUALIFY count(*) OVER (PARTITION BY h) > 1),
+steps AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS fresh FROM again),
+runs AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps),
+spans AS (SELECT doc_id, n_words, min(p) AS start, max(p) + 50 AS stop FROM runs GROUP BY doc_id, n_words, run)
+SELECT doc_id, n_words, count(*)::BIGINT AS n_spans, sum(stop - start)::BIGINT AS repeated_words, string_agg(start || ':' || stop, ',' ORDER BY start) AS spans
+FROM spans GROUP BY doc_id, n_words
+"""
+
+ORACLES = {
+    "op2_license_scan": OP2,
+    "op3_benchmark_decontamination": OP3,
+    "op4_minhash_near_dedup": OP4,
+    "op6_embedding_near_dedup": OP6,
+    "op8_chat_format": OP8,
+    "op9_suffix_dedup": OP9,
+}

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from chomeflow.llm import (
@@ -22,6 +23,7 @@ from chomeflow.llm import (
 )
 from chomeflow.llm.queries import tokenizer_path
 from tests.llm.cases import documents, no_documents
+from tests.llm.plain_surrogates import masked
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -82,6 +84,47 @@ def test_surrogates_stay_distinct(spark):
     assert len({r["surrogate"] for r in got}) == 3000 and not {r["surrogate"] for r in got} & {r["value"] for r in got}
 
 
+def test_surrogates_against_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = _rows(docs) + [
+        (10_001, "Mr John Smith wrote; John Smith answered Dr John Smith. SMITH, Johnny Smithers and John Smithson did not. Prof. Ann Lee, Ann Lee"),
+        (10_002, "+44 20 7946 0958 and 020 7946 0958, 123-45-6789. Frau ANNA MEYER, x@y.de X@Y.DE"),
+        (None, "Господин Иван Петров; Иван Петров. +1 743-555-3824"),
+        (None, "Mrs Ann Lee a@b.co"),
+        (10_003, "No title: John Smith, Ann Lee"),
+    ]
+    want = masked([t for _, t in rows], "k")
+    got = pii_surrogates.masked(spark.createDataFrame(rows, "doc_id long, text string"), key="k", count_col="n")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["text"], r["n"]) for r in got.collect()), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=key)
+    assert sum(n for _, n in want) > 30
+
+
+def test_surrogates_of_crowded_kinds_end(spark, monkeypatch):
+    """More values than forms of the first length: 400 of 676 addresses, all 100 numbers of two digits."""
+    letters = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnop"][:400]
+    monkeypatch.setattr(pii_surrogates, "ROOMY", 3)
+    rows = [("email", v) for v in letters] + [("phone", f"{i:02d}") for i in range(100)]
+    got = pii_surrogates.resolved(spark.createDataFrame(rows, "kind string, value string"), "k", pii_surrogates.Scratch(spark, "test")).collect()
+    new = {(r["kind"], r["surrogate"]) for r in got}
+    assert len(got) == len(new) == 500 and not new & set(rows)
+
+
+def test_surrogates_of_checked_and_compressed_forms(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432", "2001:db8::ff00:42:8329 and 2001:0DB8:0:0:0:FF00:0042:8329", "987-65-4321 (987-65-4321)", None, "", "x " * 60_000 + "a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii_surrogates.masked(df).collect()}
+    a, b = out[0].split(", ")
+    assert a.replace(" ", "") == b and regex.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", a) and b != "GB82WEST12345698765432"
+    assert int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+    import ipaddress
+
+    x, y = out[1].split(" and ")
+    assert ipaddress.ip_address(x) == ipaddress.ip_address(y) != ipaddress.ip_address("2001:db8::ff00:42:8329") and regex.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", x), out[1]
+    m = regex.fullmatch(r"(\d{3}-\d{2}-\d{4}) \((\d{3}-\d{2}-\d{4})\)", out[2])
+    assert m[1] == m[2] != "987-65-4321" and out[3] is None and out[4] == "" and out[5].startswith("x x") and "a@b.co" not in out[5]
+
+
 def test_surrogates_of_nothing(spark):
     assert pii_surrogates.masked(no_documents(spark)).count() == 0
 
