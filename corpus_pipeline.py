@@ -2,8 +2,9 @@
 
 Stages: documents that the quality classifier rejects go; one document of each
 group of near duplicates stays; documents that hold a benchmark item go; personal
-data is replaced by surrogates; texts are encoded.  All but the last return the
-columns of ``documents``.
+data is replaced by surrogates; texts are encoded, and the ids kept.  All but the last return the
+columns of ``documents``.  Every stage judges a row by its own text, whether its id is null or
+repeated; a null text counts as empty.  An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode_decode(docs, tokenizer_path(), full=False)
+    return bpe_chunks.encode_decode(docs, tokenizer_path()).drop("decoded")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]
