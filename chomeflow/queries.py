@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chomeflow import corpus
+from chomeflow import corpus, golden
 from chomeflow.data import seed
 from chomeflow.functions import codes
 from chomeflow.functions import text as T
@@ -388,6 +388,44 @@ def canonical(spark, sf_dir):
     return normalize(_golden(spark)).select("address", _normal()["canonical"].alias("canonical"), _normal()["confidence_score"].alias("confidence"))
 
 
+_DASHED = "string_split(number, '-')"
+
+
+@query(
+    f"""SELECT prefecture || city || coalesce(o.ward, '') || town || number AS address, prefecture, city, o.ward, town,
+    CASE len({_DASHED}) WHEN 3 THEN {_DASHED}[1] END AS chome, CASE len({_DASHED}) WHEN 3 THEN {_DASHED}[2] ELSE {_DASHED}[1] END AS ban,
+    CASE len({_DASHED}) WHEN 3 THEN {_DASHED}[3] WHEN 2 THEN {_DASHED}[2] END AS go, m.base || {_BASE_DIGIT} AS lg_code, 1.0::DOUBLE AS confidence
+    FROM ({_values(golden.OFFICES, "prefecture, city, ward, town, number")}) o JOIN ({_BASES}) m ON m.name = city || coalesce(o.ward, '')"""
+)
+def prefectural_offices(spark, sf_dir):
+    n = normalize(spark.createDataFrame([("".join(filter(None, r)),) for r in golden.OFFICES], "address string"))
+    numbers = [_parts()[k].cast("string").alias(k) for k in ("chome", "ban", "go")]
+    return n.select("address", *_c("prefecture", "city", "ward", "town"), *numbers, *_c("lg_code"), _normal()["confidence_score"].alias("confidence"))
+
+
+_COUNTY = f"SELECT *, {{left}} || county || city || town || number AS address, {{inferred}} AS inferred FROM ({_values(golden.COUNTIES, 'prefecture, county, city, town, number, lot')})"
+
+
+@query(
+    f"""SELECT address, prefecture, county, city, town, CASE WHEN NOT lot THEN number END AS ban, CASE WHEN lot THEN number END AS banchi, inferred
+    FROM ({_COUNTY.format(left="prefecture", inferred="false")} UNION ALL {_COUNTY.format(left="''", inferred="true")})"""
+)
+def county_addresses(spark, sf_dir):
+    rows = [("".join(r[k:5]),) for k in (0, 1) for r in golden.COUNTIES]
+    n = normalize(spark.createDataFrame(rows, "address string"))
+    return n.select("address", *_c("prefecture", "county", "city", "town"), *[_parts()[k].cast("string").alias(k) for k in ("ban", "banchi")], _parts()["prefecture_inferred"].alias("inferred"))
+
+
+_SHOWN = ["prefecture", "county", "city", "ward", "lg_code", "town", "oaza", "koaza", "chome", "ban", "go", "banchi", "edaban", "building", "floor", "unit", "address_regime"]
+
+
+@query(_values(golden.HARD, "address, candidates, parts"))
+def hard_addresses(spark, sf_dir):
+    n = normalize(spark.createDataFrame([(r[0],) for r in golden.HARD], "address string"))
+    parts = F.concat_ws(";", *[F.concat(F.lit(k + "="), _parts()[k].cast("string")) for k in _SHOWN])
+    return n.select("address", F.size(_parts()["ambiguous_candidates"]).alias("candidates"), parts.alias("parts"))
+
+
 _CODES = "CASE status WHEN 'ACCEPTED' THEN 0 WHEN 'MALFORMED' THEN 1 WHEN 'AMBIGUOUS' THEN 2 ELSE 3 END::INT AS exit_code"
 
 
