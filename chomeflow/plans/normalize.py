@@ -205,8 +205,10 @@ def normalize(df: DataFrame, address: str = "address", out: str = "normalized",
     )
     rows = [F.col("_row")[name].alias(name) for name in df.columns if name.lower() != out.lower()]
     # A generator of one row: the planner would push filters on results, and trace join
-    # keys, through all projections below, writing each into the next.
-    return x.select(*rows, F.explode_outer(F.array(result)).alias(out))
+    # keys, through all projections below, writing each into the next.  It interprets what it
+    # evaluates, so the struct is made before it, in generated code.
+    x = x.withColumn("_result", result)
+    return x.select(*rows, F.explode_outer(F.array("_result")).alias(out))
 
 
 def parse(df: DataFrame, address: str = "address", out: str = "components", registry: Registry | None = None) -> DataFrame:
