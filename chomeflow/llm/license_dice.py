@@ -17,7 +17,7 @@ of ``INLINE`` bigrams or more are searched; shorter notices must be the line.
 Every unit with a coefficient of ``threshold`` or more against some template is
 reported, with its best template; ties go to the template first by name.  Null
 and empty texts and units of fewer than two words match nothing.  Repeated rows
-give repeated results.  Templates are a bounded, documented list: they travel
+give repeated results; an empty table gives none; a long text is read as a whole.  Templates are a bounded, documented list: they travel
 with the task.
 """
 

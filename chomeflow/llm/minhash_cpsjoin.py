@@ -34,7 +34,8 @@ there on full sets.  So every candidate pair of a node is compared or joined alr
 
 Null and empty texts have an empty set and link with nothing.  Rows with a null id
 have a null component and aren't kept.  Repeated rows are of one class; each is
-returned.  Other columns are ignored.  An empty table gives none.
+returned.  Other columns are ignored.  A long text is read as a whole; what it needs grows with
+its words.  An empty table gives none.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ The method adds ``github`` and ``npm``: tokens whose last six characters are the
 base-62 CRC-32 of the 30 before; a token with another checksum isn't reported.
 
 A null text counts as empty.  Empty texts have no spans.  Repeated rows give
-repeated results; other columns are ignored.  Whole texts are scanned.
+repeated results; other columns are ignored; an empty table gives none.  Whole texts are scanned.
 """
 
 from __future__ import annotations

@@ -269,6 +269,30 @@ def test_near_duplicates_of_dense_nodes(spark, monkeypatch, depth):
     assert got == want
 
 
+def test_near_duplicates_in_a_template_group(spark, monkeypatch):
+    """500 documents 0.73 alike, and 60 near copies of some at 0.77 and 0.82: several leaves, families and blocks in size."""
+    for name, value in (("LEAF", 32), ("FAMILY", 64), ("HUBS", 4), ("BLOCK", 100)):
+        monkeypatch.setattr(minhash_cpsjoin, name, value)
+    r = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(427)]
+    own = [[f"d{k}x{i}" for i in range(75)] for k in range(500)]
+    texts = [" ".join([*common, *w]) for w in own]
+    for j in range(60):
+        k, changed = j * 8, 64 if j % 2 else 50
+        texts.append(" ".join([*common, *own[k][: 75 - changed], *(f"e{j}x{i}" for i in range(changed))]))
+    df = spark.createDataFrame([(int(i), t) for i, t in enumerate(texts)], "doc_id long, text string").orderBy(F.xxhash64("doc_id"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(_words, texts)]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    some = [alike(int(a), int(b)) for a, b in r.integers(0, 500, (50, 2)) if a != b]
+    assert 0.70 < min(some) and max(some) < 0.75
+    pairs = [(8 * j, 500 + j) for j in range(60)]
+    assert all(alike(a, b) >= 0.75 for a, b in pairs)
+    got = {x["doc_id"]: x["component_id"] for x in minhash_cpsjoin.near_duplicates(df).collect()}
+    others = [(a, b) for a in range(500, 560) for b in range(560) if a != b and (min(a, b), max(a, b)) not in set(pairs) and alike(a, b) >= 0.75]
+    want = _components(range(560), pairs + others)
+    assert np.mean([got[b] == want[b] for _, b in pairs]) >= 0.99 and sum(got[i] != want[i] for i in range(500)) <= 1
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 
