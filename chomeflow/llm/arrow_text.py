@@ -12,6 +12,12 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, what Arrow holds in reserve goes back, as idle workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -21,13 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from chomeflow.llm.arrow_text import released
+
 #: Fixed values of the vocabulary's format: the pattern that splits text before merges, and the special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
@@ -35,7 +37,7 @@ SPECIAL = "<|endoftext|>"
 WINDOW = 8
 #: One space in so many is a cut.
 SPACES = 128
-CHUNK_CACHE = 20_000
+CHUNK_CACHE = 8_000
 #: Longer chunks aren't kept, so the cache is bounded in bytes as well.
 KEPT_CHARS = 4_000
 
@@ -152,17 +154,18 @@ class ChunkCoder:
         return np.array(ids, "<u4").tobytes(), self.decode(ids)
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of each row, and with ``full`` the ids and the decoded text.
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: Sequence[str] = ("ids", "decoded")) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 of each row, and of ``outputs`` the ids and the decoded text.
 
     One narrow pass: no shuffle, so neither a hot source nor groups of copies weigh more than their rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
+    more = {"ids": "array<int>", "decoded": "string"}
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkCoder(tokenizer_path)
-        for batch in batches:
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 got = [coder.code(t or "") for t in part.column(1).to_pylist()]
@@ -171,9 +174,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string()),
                     pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in got], pa.string()),
                 ]
-                if full:
-                    cols += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.string())]
+                if "ids" in outputs:
+                    cols.insert(3 + outputs.index("ids"), pa.array([np.frombuffer(x, "<i4") for x, _ in got], pa.list_(pa.int32())))
+                if "decoded" in outputs:
+                    cols.insert(3 + outputs.index("decoded"), pa.array([s for _, s in got], pa.string()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, *names])
 
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+    schema = ", ".join([f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(f"{c} {more[c]}" for c in outputs)])
     return docs.select(id_col, text_col).mapInArrow(run, schema)

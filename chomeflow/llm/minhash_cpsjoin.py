@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chomeflow.llm.arrow_text import blocks, mix, randoms, shingle_sets, word_hashes
+from chomeflow.llm.arrow_text import blocks, mix, randoms, released, shingle_sets, word_hashes
 from chomeflow.llm.components import connected_components
 from chomeflow.llm.tables import Scratch, bounded, free_name
 
@@ -186,7 +186,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     types = {"n_shingles": pa.int64(), "cls": pa.int64(), "sig": pa.binary(), "keys": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 sets = list(_sets(part.column(1)))
@@ -318,7 +318,7 @@ def _full_sets(classes: DataFrame, docs: DataFrame, reps: DataFrame, scratch: Sc
     wanted = scratch.save(classes.join(reps.select("cls", F.col("rep").alias("_id")), "cls"), "wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 made = list(_sets(part.column(1)))

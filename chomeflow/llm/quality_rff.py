@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chomeflow.llm.arrow_text import blocks, randoms, word_hashes
+from chomeflow.llm.arrow_text import blocks, randoms, released, word_hashes
 from chomeflow.llm.tables import Scratch
 
 SAMPLE_ROWS = 20_000
@@ -212,7 +212,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     src = docs.select(*keep, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("_scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in released(batches):
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 s = model.scores(statistics(part.column(part.num_columns - 1)))

@@ -60,7 +60,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), full=False)
+    return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), outputs=())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chomeflow.llm.arrow_text import blocks, mix, randoms, word_hashes
+from chomeflow.llm.arrow_text import blocks, mix, randoms, released, word_hashes
 from chomeflow.llm.bitmaps import Bitmap, bitmap
 from chomeflow.llm.tables import Scratch, bounded
 
@@ -109,7 +109,7 @@ class _Owned:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of id, hash, text: id, hash, number of words, class and the roots of the text's suffixes."""
-    for batch in batches:
+    for batch in released(batches):
         for i, j, data, off in blocks(batch.column(2)):
             words, ends = word_hashes(data, off)
             owned = _Owned(words, ends)
@@ -122,7 +122,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _passages(shared: Bitmap, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(root, cls, start, hashes) of each suffix of a shared root: the successive passages that belong to it, and where the first starts."""
-    for batch in batches:
+    for batch in released(batches):
         for _, _, data, off in blocks(batch.column(0)):
             words, ends = word_hashes(data, off)
             owned = _Owned(words, ends)
@@ -182,7 +182,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["cls", "start", "stop", "h"],
         )
 
-    for batch in batches:
+    for batch in released(batches):
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
