@@ -39,7 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode_decode(docs, tokenizer_path()).drop("decoded")
+    return bpe_chunks.encode_decode(docs, tokenizer_path(), outputs=["ids"])
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]
