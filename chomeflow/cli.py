@@ -47,7 +47,7 @@ def _pretty(text: str) -> str:
 
 def run(spark: SparkSession, args: argparse.Namespace, resolver=None) -> tuple[str, int]:
     """(output, exit code) of a parsed command line."""
-    from chomeflow.operators.geocode import SUCCESS, HttpResolver, geocode
+    from chomeflow.operators.geocode import SUCCESS, geocode
     from chomeflow.plans import formats
     from chomeflow.plans.normalize import normalize
     from chomeflow.plans.validate import EXIT_CODES, validate
@@ -62,7 +62,7 @@ def run(spark: SparkSession, args: argparse.Namespace, resolver=None) -> tuple[s
         r = validate(one, registry=registry).select(F.col("validation.status").alias("s"), formats.to_json(F.col("validation")).alias("j"), formats.validation_text(F.col("validation")).alias("t")).first()
         return (_pretty(r["j"]) if args.json else r["t"]), EXIT_CODES[r["s"]]
     if args.command == "geocode":
-        g = geocode(one, resolver or HttpResolver(timeout=args.timeout), registry=registry)
+        g = geocode(one, resolver, registry=registry, timeout=args.timeout)
         r = g.select(F.col("geocoded.status").alias("s"), formats.to_json(F.col("geocoded")).alias("j"), formats.geocoded_text(F.col("geocoded")).alias("t")).first()
         return (_pretty(r["j"]) if args.json else r["t"]), 0 if r["s"] == SUCCESS else 1
     n = F.col("normalized")

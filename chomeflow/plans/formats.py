@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Labels and sentences of the text forms are fixed values.
+
 
 def to_json(c: Column) -> Column:
     """A struct as JSON, nulls kept."""

@@ -14,6 +14,8 @@ EXIT_CODES = {ACCEPTED: 0, MALFORMED: 1, AMBIGUOUS: 2, UNSUPPORTED: 3}
 
 _RULES = ["blank", "contradictory", "zero", "ambiguous", "tail", "accepted"]
 
+# Statuses and messages are fixed values.
+
 
 def validation(n: Column) -> Column:
     """The validation struct of a ``normalized`` struct."""

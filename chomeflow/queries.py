@@ -211,6 +211,7 @@ def pref_code_valid(spark, sf_dir):
 
 # --- cleaning and numerals -----------------------------------------------------------------------
 
+#: Inputs with what is right for them.
 _SANITIZE = [
     ("東京都千代田区１－２－３", "東京都千代田区1-2-3"), ("５０Ｆ", "50F"), ("1ー2ー3", "1-2-3"), ("六ー十ー一", "六-十-一"), ("タワー", "タワー"), ("センタービル", "センタービル"),
     ("1---2--3", "1-2-3"), ("〒106-0032", ""), ("東京都港区六本木1─2─3", "東京都港区六本木1-2-3"), ("1～2", "1-2"), ("ｾﾝﾀｰ", "センター"), ("a\r\nb", "a b"), ("", ""),
@@ -232,6 +233,7 @@ def sanitize_round_trip(spark, sf_dir):
     return sanitized(_keys(spark, sf_dir).select("i", raw.alias("raw")), "raw", "clean").select("i", "clean")
 
 
+#: Inputs with what is right for them.
 _KANJI = [("一", 1), ("十", 10), ("十二", 12), ("二十", 20), ("二十三", 23), ("百", 100), ("百五", 105), ("百二十三", 123), ("四百八十八", 488), ("千二百三十四", 1234), ("一二三", 123), ("〇", 0), ("零", 0), ("壱", 1), ("弐", 2), ("参", 3), ("拾", 10), ("拾弐", 12), ("五三十", 30), ("x", None), ("", None)]
 
 
@@ -267,6 +269,7 @@ def kanji_blocks(spark, sf_dir):
 
 # --- grammars ------------------------------------------------------------------------------------
 
+#: Inputs with what is right for them.
 _KYOTO = [
     ("烏丸通七条下ル東塩小路町721-1", "烏丸通", "七条", "下ル", "south", "東塩小路町721-1"),
     ("御池通烏丸西入る西横町123", "御池通", "烏丸", "西入る", "west", "西横町123"),
@@ -282,6 +285,7 @@ def kyoto_clause(spark, sf_dir):
     return df.select("text", *[k[c].alias(c) for c in ("street_1", "street_2", "direction", "cardinal")], F.when(k.isNotNull(), regional.around(F.col("f"), 6)).otherwise(F.col("text")).alias("rest"))
 
 
+#: Inputs with what is right for them.
 _GRIDS = [("南三条東四丁目5番", "南", 3, "東", 4, "5番"), ("北1条西2丁目1番地", "北", 1, "西", 2, "1番地"), ("函館市本町1-1", None, None, None, None, "函館市本町1-1")]
 
 
@@ -293,7 +297,7 @@ def hokkaido_grid(spark, sf_dir):
     return df.select("text", h["cardinal_ns"].alias("ns"), h["jo"].cast("string").alias("jo"), h["cardinal_ew"].alias("ew"), h["chome"].cast("string").alias("chome"), rest.alias("rest"))
 
 
-#: text -> state, town, chome, ban, go, banchi, edaban, regime, tail
+#: Fixed values. text -> state, town, chome, ban, go, banchi, edaban, regime, tail
 _FSM = [
     ("六本木6丁目10番1号", "chome_named", "六本木", 6, 10, 1, None, None, "gaiku_hoshiki", ""),
     ("六本木3丁目10番地の1", "chome_named", "六本木", 3, None, None, 10, 1, "chiban", ""),
@@ -323,6 +327,7 @@ def fsm_states(spark, sf_dir):
     return df.select("text", *[F.col("_b")[c].cast("string").alias(c) for c in ("state", "town", *_NUMBERS, "regime", "tail")])
 
 
+#: Inputs with what is right for them.
 _AZA = [("大字南長野字幅下", "南長野", "幅下"), ("大字豊郷", "豊郷", None), ("字辺土名", None, "辺土名"), ("一箕町大字亀賀字郷之原", "亀賀", "郷之原"), ("本町", None, None)]
 
 
@@ -331,6 +336,7 @@ def oaza_koaza(spark, sf_dir):
     return spark.createDataFrame([(r[0],) for r in _AZA], "town string").select("town", blocks.oaza(F.col("town")).alias("oaza"), blocks.koaza(F.col("town")).alias("koaza"))
 
 
+#: Inputs with what is right for them.
 _BUILDINGS = [
     ("森タワー50階", "森タワー", "50階", None), ("メゾン早稲田 301号室", "メゾン早稲田", None, "301号室"), ("グランドタワー 3階 302号室", "グランドタワー", "3階", "302号室"), ("飲食プラザ B1F", "飲食プラザ", "B1F", None),
     ("田町タワー 301", "田町タワー", None, "301"), ("地下1階101号室", None, "地下1階", "01号室"), ("", None, None, None),
@@ -345,7 +351,7 @@ def building_floor_unit(spark, sf_dir):
 
 # --- whole addresses -----------------------------------------------------------------------------
 
-#: address -> canonical, lg_code, confidence, status
+#: Fixed values. address -> canonical, lg_code, confidence, status
 GOLDEN = [
     ("東京都港区六本木6-10-1", "東京都港区六本木6丁目10番1号", "131032", 1.0, "ACCEPTED"),
     ("〒106-0032 東京都港区六本木６－１０－１", "東京都港区六本木6丁目10番1号", "131032", 1.0, "ACCEPTED"),
@@ -435,6 +441,7 @@ def validate_status(spark, sf_dir):
     return validate(_golden(spark)).select("address", v["lg_code"].alias("lg_code"), v["status"].alias("status"), v["valid"].alias("valid"), exit_code(v["status"]).alias("exit_code"))
 
 
+#: Inputs with what is right for them.
 _TIERS = [
     ("東京都港区六本木1-2-3", "ban=tier_2_conventional,chome=tier_2_conventional,go=tier_2_conventional,lg_code=tier_1_statutory,municipality=tier_1_statutory,prefecture=tier_1_statutory,town=tier_3_heuristic"),
     ("神奈川県南区1-1", "ban=tier_2_conventional,go=tier_2_conventional,prefecture=tier_1_statutory,ward=tier_3_heuristic"),
@@ -450,6 +457,7 @@ def tier_map(spark, sf_dir):
     return n.select("address", F.array_join(entries, ",").alias("tiers"))
 
 
+#: Inputs with what is right for them.
 _CANDIDATES = [
     ("府中市宮西町2-24", "東京都府中市 (132063);広島県府中市 (342084)"), ("伊達市鹿島町20-1", "北海道伊達市 (012335);福島県伊達市 (072133)"), ("北海道泊村1-1", "北海道泊村 (014036);北海道泊村 (016969)"),
     ("神奈川県南区1-1", "神奈川県横浜市南区 (141054);神奈川県相模原市南区 (141534)"), ("東京都港区1", ""),
@@ -516,6 +524,7 @@ def validate_rollup(spark, sf_dir):
 
 # --- output forms and geocoding ------------------------------------------------------------------
 
+#: Inputs with what is right for them.
 _TEXTS = [
     ("東京都港区六本木6-10-1", "Prefecture: 東京都\nCity:       港区\nTown:       六本木\nChome:      6\nBan:        10\nGo:         1\nRegime:     gaiku_hoshiki\nLG Code:    131032\nConfidence: 1.00\nCanonical:  東京都港区六本木6丁目10番1号"),
     ("ランダム", "Input:      ランダム\nStatus:     Rejected (unrecognized or malformed address)\nConfidence: 0.00\nCanonical:  "),
@@ -527,6 +536,7 @@ def format_normalize(spark, sf_dir):
     return normalize(spark.createDataFrame([(r[0],) for r in _TEXTS], "address string")).select("address", formats.normalized_text(_normal()).alias("shown"))
 
 
+#: Inputs with what is right for them.
 _VALID_TEXTS = [
     ("東京都港区六本木6-10-1", "Input:       東京都港区六本木6-10-1\nStatus:      ACCEPTED\nValid:       Yes\nConfidence:  1.00\nLG Code:     131032\nRegime:      gaiku_hoshiki\nMessage:     Local government entity verified against official statutory registry."),
     ("府中市宮西町2-24", "Input:       府中市宮西町2-24\nStatus:      AMBIGUOUS\nValid:       No\nConfidence:  0.50\nRegime:      unspecified\nMessage:     Omitted prefecture matches 2 statutory municipalities.\nCandidates:\n  • 東京都府中市 (132063)\n  • 広島県府中市 (342084)"),
@@ -546,6 +556,7 @@ def to_json_normalized(spark, sf_dir):
     return j.select(F.get_json_object("j", "$.components.chome").isNotNull().alias("whole"), text.alias("canonical"), F.contains("j", F.lit('"county":null')).alias("keeps_nulls"))
 
 
+#: Inputs with what is right for them.
 _GEO_QUERIES = [("東京都港区六本木6-10-1 六本木ヒルズ森タワー 50F 5001号室", "東京都港区六本木6丁目10番1号"), ("北海道札幌市中央区北1条西2丁目1番地", "北海道札幌市中央区北1条西2丁目1番地")]
 
 
@@ -558,6 +569,7 @@ _FEATURE = '{"geometry":{"coordinates":[%s,%s],"type":"Point"},"type":"Feature",
 _ONE = _FEATURE % ("139.729202", "35.660206", "東京都港区六本木六丁目")
 _OTHER = _FEATURE % ("139.5", "35.5", "別の場所")
 _ANSWERS = [("東京都港区六本木6丁目10番1号", f"[{_ONE}]"), ("東京都新宿区本町1丁目1番1号", f"[{_ONE},{_OTHER}]"), ("東京都港区六本木7丁目1番1号", f"[{_ONE},{_ONE}]"), ("東京都港区六本木1番", "[]")]
+#: Inputs with what is right for them.
 _GEO = [
     ("東京都港区六本木6-10-1", "SUCCESS", 35.660206, 139.729202, None),
     ("東京都新宿区本町1-1-1", "AMBIGUOUS", None, None, 2),
@@ -577,6 +589,7 @@ def geojson_resolve(spark, sf_dir):
     return got.select("address", g["status"].alias("status"), g["coordinates"]["latitude"].alias("latitude"), g["coordinates"]["longitude"].alias("longitude"), g["candidate_count"].cast("string").alias("candidate_count"))
 
 
+#: Inputs with what is right for them.
 _GEO_TEXTS = [
     ("東京都港区六本木6-10-1", "Input:       東京都港区六本木6-10-1\nStatus:      SUCCESS\nProvider:    table\nCoordinates: 35.660206, 139.729202 (Lat, Lon)\nMatched:     東京都港区六本木六丁目\nCandidates:\n  • 東京都港区六本木六丁目"),
     ("東京タワー", "Input:       東京タワー\nStatus:      NO_MATCH\nProvider:    table"),
@@ -590,6 +603,7 @@ def format_geocode(spark, sf_dir):
     return got.select("address", F.regexp_replace(formats.geocoded_text(F.col("geocoded")), "\nMessage:.*", "").alias("shown"))
 
 
+#: Inputs with what is right for them.
 _PARSE_TEXTS = [
     (
         "東京都港区六本木6-10-1",
@@ -605,6 +619,7 @@ def format_parse(spark, sf_dir):
     return normalize(spark.createDataFrame([(r[0],) for r in _PARSE_TEXTS], "address string")).select("address", formats.parsed_text(_normal()).alias("shown"))
 
 
+#: Inputs with what is right for them.
 _PARSED = [
     ("東京都港区六本木6-10-1", "東京都", "港区", None, "六本木", "6", "10", "1"),
     ("大阪府大阪市中央区大手前2丁目", "大阪府", "大阪市", "中央区", "大手前", "2", None, None),

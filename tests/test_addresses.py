@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chomeflow import Registry, cli, corpus, queries
 from chomeflow.data import seed
 from chomeflow.functions import codes
-from chomeflow.operators.geocode import fetch
+from chomeflow.operators.geocode import default_resolver, fetch, geocode
 from chomeflow.plans.normalize import normalize
 from chomeflow.plans.validate import validate
 from chomeflow.sources import registry as R
@@ -161,6 +161,12 @@ def test_http_errors_are_told():
     assert fetch("http://localhost/", 1.0, "x", refuse) == (None, "GSI request timed out after 1.0s.")
 
 
+def test_default_resolver_is_kept_and_not_asked_in_vain(spark):
+    assert default_resolver(5.0) is default_resolver(5.0) and default_resolver(3.0).timeout == 3.0
+    got = geocode(spark.createDataFrame([("",), ("東京タワー",)], "address string")).select("geocoded.status", "geocoded.provider").collect()
+    assert [tuple(r) for r in got] == [("NO_MATCH", "gsi")] * 2
+
+
 def test_stream_gives_the_same(spark, tmp_path):
     from chomeflow.streaming.normalize_stream import normalize_stream, write_stream
 
