@@ -41,7 +41,7 @@ its words.  An empty table gives none.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,23 +119,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def _candidates(size: np.ndarray, sigs: np.ndarray, comp: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(-agreeing minwise values, i, j) of pairs that may link, best first; with ``comp``, of different components and sides (a side under 0 is all)."""
+def _candidates(size: np.ndarray, sigs: np.ndarray, comp: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of pairs that may link, most agreeing minwise values first; with ``comp``, of different components and sides (a side under 0 is all)."""
     least = (PERCENT / 100 - SLACK) * HASHES
-    found: list[tuple[int, int, int]] = []
+    none = np.zeros(0, np.int32)
+    agree, first, second = [none], [none], [none]
     for i in range(len(size) - 1):
         same = (sigs[i + 1 :] == sigs[i]).sum(1)
         lo, hi = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
         may = (same >= least) & (100 * lo >= PERCENT * hi)
         if comp is not None:
             may &= (comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
-        found += [(-int(same[j]), i, i + 1 + j) for j in np.flatnonzero(may).tolist()]
-    return sorted(found)
+        at = np.flatnonzero(may).astype(np.int32)
+        agree.append(same[at].astype(np.int32))
+        first.append(np.full(len(at), i, np.int32))
+        second.append(at + np.int32(i + 1))
+    order = np.argsort(-np.concatenate(agree), kind="stable")
+    return np.concatenate(first)[order], np.concatenate(second)[order]
+
+
+def _forest(pairs: tuple[np.ndarray, np.ndarray], union: _Union, sure: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Of pairs in order, those that join two trees and are sure."""
+    for lo in range(0, len(pairs[0]), 10_000):
+        for i, j in zip(pairs[0][lo : lo + 10_000].tolist(), pairs[1][lo : lo + 10_000].tolist(), strict=True):
+            if union.find(i) != union.find(j) and sure(i, j):
+                union.join(i, j)
+                yield i, j
+        if union.trees == 1:
+            return
 
 
 class _Union:
     def __init__(self, n: int):
         self.root = list(range(n))
+        self.trees = n
 
     def find(self, x: int) -> int:
         root = self.root
@@ -147,13 +164,13 @@ class _Union:
     def join(self, x: int, y: int) -> bool:
         x, y = self.find(x), self.find(y)
         self.root[x] = y
+        self.trees -= x != y
         return x != y
 
 
 def leaf_links(cls: np.ndarray, size: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a leaf's candidate pairs."""
-    union = _Union(len(cls))
-    return [(int(cls[i]), int(cls[j])) for _, i, j in _candidates(size, sigs) if union.join(i, j)]
+    return [(int(cls[i]), int(cls[j])) for i, j in _forest(_candidates(size, sigs), _Union(len(cls)), lambda i, j: True)]
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -172,12 +189,8 @@ def block_links(cls: np.ndarray, sets: list[np.ndarray], comp: np.ndarray | None
         first: dict[int, int] = {}
         for i, c in enumerate(comp.tolist()):
             union.join(i, first.setdefault(c, i))
-    out = []
-    for _, i, j in _candidates(size, np.stack([signature(x) for x in sets]), comp, side):
-        if union.find(i) != union.find(j) and linked(sets[i], sets[j]):
-            union.join(i, j)
-            out.append((int(cls[i]), int(cls[j])))
-    return out
+    pairs = _candidates(size, np.stack([signature(x) for x in sets]), comp, side)
+    return [(int(cls[i]), int(cls[j])) for i, j in _forest(pairs, union, lambda i, j: linked(sets[i], sets[j]))]
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -250,10 +263,9 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of columns group, cls, component, side, size and signature, the first four of classes with a candidate of another component."""
     for groups in _grouped(batches, 2000):
         for g in groups:
-            found = _candidates(g.column(4).to_numpy(), _matrix(g.column(5)), g.column(2).to_numpy(), g.column(3).to_numpy())
-            if found:
-                some = g.select([0, 1, 2, 3]).take(pa.array(sorted({x for _, i, j in found for x in (i, j)}), pa.int64()))
-                yield from some.combine_chunks().to_batches()
+            found = np.unique(np.concatenate(_candidates(g.column(4).to_numpy(), _matrix(g.column(5)), g.column(2).to_numpy(), g.column(3).to_numpy())))
+            if len(found):
+                yield from g.select([0, 1, 2, 3]).take(pa.array(found.astype(np.int64))).combine_chunks().to_batches()
 
 
 def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
