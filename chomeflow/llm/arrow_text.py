@@ -38,6 +38,16 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def word_runs(data: bytes, table: bytes, most: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists from some ``most`` bytes each; ``table`` maps bytes, separators to spaces."""
+    data, at = data.translate(table), 0
+    while at < len(data):
+        end = data.find(b" ", at + most)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

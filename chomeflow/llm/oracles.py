@@ -102,6 +102,64 @@ SELECT doc_id, n_words, count(*)::BIGINT AS n_spans, sum(stop - start)::BIGINT A
 FROM spans GROUP BY doc_id, n_words
 """
 
+_TARGET_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_BIT = "CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+
+OP11 = f"""
+WITH RECURSIVE bits AS (SELECT range AS byte, range::UBIGINT AS c, 0 AS k FROM range(256) UNION ALL SELECT byte, {_BIT}, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, {_TARGET_WORDS} AS w FROM documents),
+b AS (SELECT unnest({_TARGET_WORDS}) AS w FROM benchmark),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT unnest(w) AS w FROM d UNION SELECT w FROM b)),
+hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
+    lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295) % 10000 AS bucket FROM words, steps),
+each AS MATERIALIZED (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) JOIN hashed USING (w) GROUP BY doc_id, bucket),
+s AS (SELECT bucket, sum(n) AS s FROM each GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (w) GROUP BY bucket),
+sums AS (SELECT (SELECT sum(s) FROM s)::DOUBLE AS all_s, (SELECT sum(t) FROM t)::DOUBLE AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM each JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN places USING (doc_id)
+"""
+
+OP12 = """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+v AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM w),
+failed AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM v),
+docs AS MATERIALIZED (
+  SELECT part, {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS f, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+    a::INT + b::INT + c::INT + d::INT + e::INT AS n_failed FROM failed LEFT JOIN labels l USING (doc_id)),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS letters(x) WHERE NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, unnest(range(1, 6))::INT AS step FROM orders WHERE length(o) = 5),
+named AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS before FROM steps),
+told AS (
+  SELECT part, good, toxic, n_failed, count(*) AS n,
+    (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS fs
+  FROM docs GROUP BY ALL),
+seen AS (
+  SELECT part, filter_order, step, x, n, good, toxic, n_failed, contains(fs, x) AS fails, len(list_intersect(string_split(fs, ''), string_split(before, ''))) > 0 AND before <> '' AND fs <> '' AS gone
+  FROM told, named),
+counts AS (
+  SELECT part, filter_order, step, x,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails AND n_failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM counts
+"""
+
 ORACLES = {
     "op2_license_scan": OP2,
     "op3_benchmark_decontamination": OP3,
@@ -109,4 +167,6 @@ ORACLES = {
     "op6_embedding_near_dedup": OP6,
     "op8_chat_format": OP8,
     "op9_suffix_dedup": OP9,
+    "op11_importance_resampling": OP11,
+    "op12_filter_audit": OP12,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chomeflow.llm import bpe_chunks, chat_format, decontaminate, embedding_rabitq, license_dice, minhash_cpsjoin, pii_surrogates, quality_rff, secret_scan, sparse_suffix
+from chomeflow.llm import bpe_chunks, chat_format, decontaminate, embedding_rabitq, filter_audit, importance_crc, license_dice, minhash_cpsjoin, pii_surrogates, quality_rff, secret_scan, sparse_suffix, token_count
 from chomeflow.llm.oracles import ORACLES
 from chomeflow.llm.tables import table
 
@@ -63,6 +63,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), outputs=())
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_crc.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_suffix_dedup,
         op10_bpe,
+        op11_importance_resampling,
+        op12_filter_audit,
+        op13_token_counts,
     )
 }
 
