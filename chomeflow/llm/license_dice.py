@@ -7,12 +7,12 @@ coefficient of 2i/(a+b) for i shared bigrams, at most 2 min(a, b)/(a+b); so a
 template can reach ``threshold`` only for sizes within t/(2-t) and (2-t)/t of
 its own.  These bounds prune templates before any bigram is compared.
 
-Licences also stand inside longer texts, wrapped over lines.  A template of which a text
-holds enough bigrams is searched in it: a run of words scores best if it begins and
-ends at the edges of runs of the template's bigrams, so all pairs of such edges within the
-size bounds are tried.  Of overlapping passages the one of most shared bigrams is reported,
-unless a line or whole text reported there shares as many.  Within one line only templates
-of ``INLINE`` bigrams or more are searched; shorter notices must be the line.
+Licences also stand inside lines and texts, wrapped over lines.  A passage is a run of a text's bigrams that begins
+where a run of a template's bigrams begins (or behind an earlier passage), ends on one of them, and has at
+most (2-t)/t times the template's bigrams, repeats counted.  For each template the best passage at or over the threshold is taken,
+of equals the earliest and then the shortest, and again the best of those that overlap none taken.  A heap of each
+beginning's best does that in one pass, so the work grows with the text.  Of overlapping passages of different templates
+the one of most shared bigrams is reported, unless a line or whole text reported there shares as many.
 
 Every unit with a coefficient of ``threshold`` or more against some template is
 reported, with its best template; ties go to the template first by name.  Null
@@ -24,16 +24,18 @@ with the task.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 THRESHOLD = 0.8
-INLINE = 16
+#: So that no size bound prunes what reaches the threshold exactly.
+ROUNDING = 1e-9
 
 #: Public licence notices and texts.
 TEMPLATES = {
@@ -91,105 +93,132 @@ TEXTS = {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(_
 _WORD = re.compile(r"[^\W_]+")
 
 
-def bigrams(text: str, most: float = float("inf")) -> set[tuple[str, str]]:
-    """The set of word bigrams; reading stops once there are more than ``most``, as no template is of that size."""
-    out: set[tuple[str, str]] = set()
-    before = None
-    for m in _WORD.finditer(text.lower()):
-        if before is not None:
-            out.add((before, m[0]))
-            if len(out) > most:
-                break
-        before = m[0]
-    return out
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 class Matcher:
+    """Templates as sets of numbered bigrams; one per task."""
+
     def __init__(self, templates: Mapping[str, str], threshold: float):
         self.threshold = threshold
-        self.sets = {k: bigrams(v) for k, v in sorted(templates.items())}
-        self.holders: dict[tuple[str, str], list[str]] = {}
-        for k, grams in self.sets.items():
-            for g in grams:
-                self.holders.setdefault(g, []).append(k)
-        sizes = [len(s) for s in self.sets.values() if s]
-        self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
-
-    def best(self, unit: str) -> tuple[str, float, int] | None:
-        """(template, coefficient, shared bigrams) of a unit's best template at or over the threshold."""
-        grams = bigrams(unit, self.most)
-        n = len(grams)
-        if not self.least <= n <= self.most:
-            return None
-        t = self.threshold
-        shared: Counter[str] = Counter()
-        for g in self.holders.keys() & grams:
-            shared.update(k for k in self.holders[g] if t / (2 - t) * len(self.sets[k]) <= n <= (2 - t) / t * len(self.sets[k]))
-        found = [(-(2.0 * i / (n + len(self.sets[k]))), k, i) for k, i in shared.items()]
-        if found and -(top := min(found))[0] >= t:
-            return top[1], -top[0], top[2]
-        return None
-
-    def passages(self, text: str, units: list[tuple[int, str, float, int]]) -> list[tuple[int, str, float, int]]:
-        """(-2 - first line, template, coefficient, shared bigrams) of passages inside a text, given its reported units."""
-        t = self.threshold
-        distinct = bigrams(text)
-        shared: Counter[str] = Counter()
-        for g in self.holders.keys() & distinct:
-            shared.update(self.holders[g])
-        may = [k for k, i in shared.items() if i >= t / (2 - t) * len(self.sets[k])]
-        if not may:
+        self.names = sorted(templates)
+        words = [words_of(templates[k]) for k in self.names]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+        pairs = [[self.vocabulary[a] * len(self.vocabulary) + self.vocabulary[b] for a, b in zip(ws, ws[1:], strict=False)] for ws in words]
+        self.keys = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(p, np.int64) for p in pairs)]))
+        self.holds = np.zeros((len(self.keys) + 1, len(self.names)), bool)  # the last row is for bigrams of no template
+        for k, p in enumerate(pairs):
+            self.holds[np.searchsorted(self.keys, p), k] = True
+        self.sizes = self.holds.sum(0)
+        self.least, self.most = threshold / (2 - threshold) - ROUNDING, (2 - threshold) / threshold + ROUNDING
+        self.needed = np.maximum(1, self.least * self.sizes)
+        self.spans = [int(self.most * len(p)) for p in pairs]  # bigrams that a passage may have, repeats counted
+
+    def scan(self, text: str) -> list[tuple[int, str, float, int]]:
+        """(unit, template, coefficient, shared bigrams) of each reported unit and passage of a text, read once."""
+        of_line = [_WORD.findall(x) for x in text.lower().split("\n")]
+        words = [w for ws in of_line for w in ws]
+        if len(words) < 2:
             return []
-        ends = [m.start() for m in re.finditer("\n", text)]
-        words, line = [], []
-        start = 0
-        for no, stop in enumerate([*ends, len(text)]):
-            found = _WORD.findall(text[start:stop].lower())
-            words += found
-            line += [no] * len(found)
-            start = stop + 1
-        grams = list(zip(words, words[1:], strict=False))
-        found = [x for k in may for x in self._best_runs(grams, self.sets[k], k)]
-        told = [(0, len(words), i) if no == -1 else (bisect_right(line, no - 1), bisect_right(line, no), i) for no, _, _, i in units]
-        taken: list[tuple[int, int]] = []
+        number = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+        key = np.where((number[:-1] >= 0) & (number[1:] >= 0), number[:-1] * len(self.vocabulary) + number[1:], -1)
+        at = np.searchsorted(self.keys, key)
+        at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] != key)] = len(self.keys)
+        hits = np.concatenate([[0], np.cumsum(at < len(self.keys))])
+        least = self.needed.min()
+        if hits[-1] < least:
+            return []
+        ends = np.cumsum([len(ws) for ws in of_line])
+        starts = np.minimum(ends - [len(ws) for ws in of_line], len(key))
+        last = np.maximum(starts, ends - 1)  # behind the last bigram of a line
+        told = [(no, int(starts[no]), int(last[no])) for no in np.flatnonzero(hits[last] - hits[starts] >= least).tolist()]
+        told += [(-1, 0, len(key))] * (len(of_line) > 1)
+        units, shared = [], np.zeros(len(key), np.int64)
+        for no, a, b in told:
+            if got := self._best(words, at, a, b):
+                units.append((no, *got))
+                shared[a:b] = np.maximum(shared[a:b], got[2])
+        found = self._passages(words, at)
+        taken = np.zeros(len(key), bool)
         out = []
-        for i, dice, k, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-            if line[a] == line[b] and len(self.sets[k]) < INLINE:
+        for i, dice, name, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            if shared[a:b].max() < i and not taken[a:b].any():
+                taken[a:b] = True
+                out.append((-2 - int(np.searchsorted(ends, a, side="right")), name, dice, i))
+        return units + sorted(out)
+
+    def _best(self, words: list[str], at: np.ndarray, a: int, b: int) -> tuple[str, float, int] | None:
+        """(template, coefficient, shared bigrams) of the best template at or over the threshold for the bigrams from a to b."""
+        shared = self.holds[np.unique(at[a:b])].sum(0)
+        may = np.flatnonzero(shared >= self.needed)
+        if not len(may):
+            return None
+        n = len(set(zip(words[a:b], words[a + 1 : b + 1], strict=True)))
+        found = []
+        for k in may.tolist():
+            size = int(self.sizes[k])
+            if self.least * size <= n <= self.most * size and (dice := 2.0 * int(shared[k]) / (n + size)) >= self.threshold:
+                found.append((-dice, self.names[k], int(shared[k])))
+        return (min(found)[1], -min(found)[0], min(found)[2]) if found else None
+
+    def _passages(self, words: list[str], at: np.ndarray) -> list[tuple[int, float, str, int, int]]:
+        """(shared, coefficient, template, first bigram, bigram behind the last) of each template's best passages."""
+        shared = self.holds[np.unique(at)].sum(0)
+        jobs = []
+        for k in np.flatnonzero(shared >= self.needed).tolist():
+            hit = self.holds[at, k]
+            within = np.concatenate([[0], np.cumsum(hit)])
+            before = np.concatenate([[False], hit[:-1]])
+            starts = np.flatnonzero(hit & ~before)
+            starts = starts[within[np.minimum(starts + self.spans[k], len(hit))] - within[starts] >= self.needed[k]]
+            if len(starts):
+                jobs.append((k, hit, within, starts.tolist()))
+        if not jobs:
+            return []
+        number: dict[str, int] = {}
+        code = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        code = code[:-1] * len(number) + code[1:]
+        order = np.argsort(code, kind="stable")
+        earlier = np.full(len(code), -1)  # the same bigram's place before
+        same = code[order[1:]] == code[order[:-1]]
+        earlier[order[1:][same]] = order[:-1][same]
+        return [x for job in jobs for x in self._best_runs(earlier, *job)]
+
+    def _best_runs(self, earlier: np.ndarray, k: int, hit: np.ndarray, within: np.ndarray, starts: list[int]) -> list[tuple[int, float, str, int, int]]:
+        """Best first, passages of one template that don't overlap."""
+        size, span, need = int(self.sizes[k]), self.spans[k], self.needed[k]
+        todo: list[tuple[float, int, int, int]] = []
+
+        def offer(s: int, limit: int) -> None:
+            """The best passage from s on that ends before the limit, the shortest of equals."""
+            e = min(s + span, limit)
+            if within[e] - within[s] < need:
+                return
+            fresh = earlier[s:e] < s
+            i = np.cumsum(fresh & hit[s:e])
+            dice = np.where(hit[s:e], 2.0 * i / (np.cumsum(fresh) + size), 0.0)
+            best = int(np.argmax(dice))
+            if dice[best] >= self.threshold:
+                heappush(todo, (-float(dice[best]), s, s + best + 1, int(i[best])))
+
+        for s in starts:
+            offer(s, len(hit))
+        taken, firsts, out = np.zeros(len(hit), bool), [], []
+        while todo:
+            negative, s, e, i = heappop(todo)
+            if taken[s]:
                 continue
-            if any(x <= b and a < y and n >= i for x, y, n in told) or any(x <= b and a <= y for x, y in taken):
+            p = bisect_left(firsts, s)
+            if p < len(firsts) and firsts[p] < e:
+                offer(s, firsts[p])
                 continue
-            taken.append((a, b))
-            out.append((-2 - line[a], k, dice, i))
-        return sorted(out)
-
-    def _best_runs(self, grams: list[tuple[str, str]], template: set[tuple[str, str]], name: str) -> list[tuple[int, float, str, int, int]]:
-        """(shared, coefficient, template, first word, last word) of the best passages of a template that don't overlap."""
-        t, size, out = self.threshold, len(template), []
-        hit = [g in template for g in grams]
-        todo = [(0, len(grams))]
-        while todo:
-            lo, hi = todo.pop()
-            best: tuple[float, int, int, int] | None = None
-            for s in range(lo, hi):
-                if not hit[s] or (s > lo and hit[s - 1]):
-                    continue
-                seen: set[tuple[str, str]] = set()
-                i = 0
-                for e in range(s, hi):
-                    g = grams[e]
-                    if g not in seen:
-                        seen.add(g)
-                        i += hit[e]
-                        if len(seen) > (2 - t) / t * size:
-                            break
-                    if hit[e] and (e + 1 == hi or not hit[e + 1] or len(seen) + 1 > (2 - t) / t * size):
-                        dice = 2.0 * i / (len(seen) + size)
-                        if dice >= t and (best is None or dice > best[0]):
-                            best = (dice, i, s, e)
-            if best is not None:
-                dice, i, s, e = best
-                out.append((i, dice, name, s, e + 1))
-                todo += [(lo, s), (e + 1, hi)]
+            out.append((i, -negative, self.names[k], s, e))
+            taken[s:e] = True
+            insort(firsts, s)
+            if e < len(hit) and hit[e] and not taken[e]:
+                p = bisect_left(firsts, e)
+                offer(e, firsts[p] if p < len(firsts) else len(hit))
         return out
 
 
@@ -208,10 +237,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES | TE
             for place, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                lines = text.split("\n")
-                units = list(enumerate(lines)) + [(-1, text)] * (len(lines) > 1)
-                told = [(no, *got) for no, unit in units if (got := matcher.best(unit))]
-                told += matcher.passages(text, told)
+                told = matcher.scan(text)
                 rows += told
                 ids += [place] * len(told)
             no, name, dice, shared = zip(*rows, strict=True) if rows else ((), (), (), ())

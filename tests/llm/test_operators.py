@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -156,6 +158,83 @@ def test_licences_wrapped_inside_longer_texts(spark):
     assert got == {(i, -3, k) for i, k in enumerate(names)} | {(8, -9, "ISC"), (8, -2 - second, "ISC"), (9, -2, "MIT-grant")}
 
 
+def _licences_by_force(text, templates, t=0.8):
+    """Units by their definition; passages by trying every run of bigrams, the best first, again and again."""
+    grams_of = lambda ws: list(zip(ws, ws[1:], strict=False))
+    split = lambda x: re.findall(r"[^\W_]+", x.lower())
+    bodies = {k: grams_of(split(v)) for k, v in templates.items()}
+    lines = [split(x) for x in text.split("\n")]
+    words = [w for ws in lines for w in ws]
+    line = [no for no, ws in enumerate(lines) for _ in ws]
+    grams = grams_of(words)
+    units, shared = [], [0] * len(grams)
+    for no, a, b in [(no, sum(map(len, lines[:no])), sum(map(len, lines[: no + 1])) - 1) for no in range(len(lines))] + [(-1, 0, len(grams))] * (len(lines) > 1):
+        own = set(grams[a : max(a, b)])
+        best = min(((-2.0 * len(own & set(g)) / (len(own) + len(set(g))), k) for k, g in bodies.items() if own), default=(0, ""))
+        if -best[0] >= t:
+            units.append((no, best[1], -best[0], i := len(own & set(bodies[best[1]]))))
+            shared[a:b] = [max(x, i) for x in shared[a:b]]
+    found = []
+    for k, g in bodies.items():
+        size, span, taken = len(set(g)), int((2 - t) / t * len(g) + 1e-6), [False] * len(grams)
+        hit = [x in set(g) for x in grams]
+        while True:
+            best = None
+            for s in range(len(grams)):
+                if not hit[s] or taken[s] or (s and hit[s - 1] and not taken[s - 1]):
+                    continue
+                for e in range(s + 1, min(s + span, len(grams)) + 1):
+                    if taken[e - 1]:
+                        break
+                    i = len(set(grams[s:e]) & set(g))
+                    dice = 2.0 * i / (len(set(grams[s:e])) + size)
+                    if hit[e - 1] and dice >= t and (best is None or (-dice, s, e) < best[:3]):
+                        best = (-dice, s, e, i)
+            if best is None:
+                break
+            taken[best[1] : best[2]] = [True] * (best[2] - best[1])
+            found.append((-best[3], best[0], k, best[1], best[2]))
+    used, out = [False] * len(grams), []
+    for i, dice, k, s, e in sorted(found):
+        if max(shared[s:e]) < -i and not any(used[s:e]):
+            used[s:e] = [True] * (e - s)
+            out.append((-2 - line[s], k, -dice, -i))
+    return sorted(units + out)
+
+
+def test_licences_and_passages_against_brute_force():
+    small = {k: license_dice.TEMPLATES[k] for k in ("MIT-notice", "CC-BY-SA-4.0-notice", "CC-BY-NC-4.0-notice", "Proprietary-notice", "Apache-2.0-notice", "ISC")} | {"loop": "a b a b c a b"}
+    matcher = license_dice.Matcher(small, 0.8)
+    r = random.Random(8)
+    pool = [w for v in small.values() for w in v.split()]
+    for n in range(400):
+        text = ""
+        for _ in range(r.randint(1, 7)):
+            body = r.choice(list(small.values())).split()
+            at = r.randint(0, 2)
+            body = [w for w in body[at : len(body) - r.randint(0, 2)] if r.random() > 0.06]
+            body = [x for w in body for x in ([w, r.choice(pool)] if r.random() < 0.06 else [w])]
+            text += " ".join(body) + r.choice([" ", "\n", " // see more ", "\n\nint x = 1;\n", " a b "])
+        assert sorted(matcher.scan(text)) == _licences_by_force(text, small), (n, text)
+
+
+def test_licences_inside_a_line_and_notices_repeated_often():
+    matcher = license_dice.Matcher(license_dice.TEMPLATES | license_dice.TEXTS, license_dice.THRESHOLD)
+    inline = lambda x: [(no, k) for no, k, _, _ in matcher.scan(x)]
+    assert inline("int x = 1; // Released under the MIT License. See LICENSE for more details of what may be done") == [(-2, "MIT-notice")]
+    assert inline("This project: licensed under CC BY-SA 4.0. Thanks to all who took part in it over so many years") == [(-2, "CC-BY-SA-4.0-notice")]
+    # the whole text, of five distinct bigrams, is reported as well; if it is one line, it stands for its passages
+    for gap, n in (("\n", 4001), (" and again ", 4000), (" ", 1)):
+        began = time.process_time()
+        assert len(matcher.scan(gap.join(["Released under the MIT License."] * 4000))) == n
+        assert time.process_time() - began < 2
+    name = next(k for k in license_dice.TEXTS if k.startswith("GPL-3"))
+    whole = "\n".join(f"{license_dice.TEXTS[name]}\n{' '.join(f'v{i}x{j}' for j in range(900))}" for i in range(10))
+    began = time.process_time()
+    assert sum(k == name and no < -1 for no, k, _, _ in matcher.scan(whole)) == 10
+    assert time.process_time() - began < 10
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
