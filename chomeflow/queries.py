@@ -19,7 +19,7 @@ from chomeflow import corpus, golden
 from chomeflow.data import seed
 from chomeflow.functions import codes
 from chomeflow.functions import text as T
-from chomeflow.operators import administrative, blocks, regional
+from chomeflow.operators import blocks, prefixes, regional
 from chomeflow.operators.geocode import TableResolver, fetch, geocode, query_text
 from chomeflow.plans import formats, timings
 from chomeflow.plans.normalize import kanji_converted, normalize, parse, sanitized
@@ -155,10 +155,31 @@ SELECT i, key, length(key)::INT AS n FROM j WHERE r = 1"""
 )
 def longest_prefix_join(spark, sf_dir):
     df = _keys(spark, sf_dir).select("i", F.concat(corpus.pick([c for _, c in corpus.PLACES], F.col("i")), F.lit("本町"), F.col("i").cast("string")).alias("text"))
-    found = administrative.longest_prefix_join(df, "text", R.registry(spark).municipality_index, "hit")
+    found = prefixes.longest_prefix_join(df, "text", R.registry(spark).municipality_ladder, "hit")
     return found.where("hit IS NOT NULL").select("i", F.col("hit.key").alias("key"), F.col("hit.n").alias("n"))
 
 
+#: Keys of one to five digits; texts are looked up at their beginning, behind it, and behind a digit of more than one byte.
+_DIGIT_KEYS = "(o_orderkey::BIGINT * 7919 % 99991 % (10 ** (1 + o_orderkey % 5))::BIGINT)::VARCHAR"
+_DIGIT_TEXT = "'番' || (o_orderkey::BIGINT * 104729 % 1000003)::VARCHAR || '１' || (o_custkey * 31 % 1009)::VARCHAR"
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT {_DIGIT_KEYS} AS key FROM orders), t AS (SELECT o_orderkey AS i, {_DIGIT_TEXT} AS text FROM orders),
+    s AS (SELECT i, text, unnest([0, 1, 3, 9, 40])::INT AS start FROM t),
+    c AS (SELECT i, start, substr(text, start + 1, n) AS key, n FROM s, range(1, 6) AS r(n) WHERE length(text) >= start + n),
+    best AS (SELECT i, start, key, n FROM c SEMI JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY i, start ORDER BY n DESC) = 1)
+    SELECT s.i, s.start, key, (s.start + n)::INT AS next FROM s LEFT JOIN best USING (i, start)"""
+)
+def prefix_ladder_offsets(spark, sf_dir):
+    """The longest of some thousand keys, at several offsets of each text."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("i"), "o_custkey")
+    ladder = prefixes.bounded(prefixes.prefix_ladder(o.select((F.col("i") * 7919 % 99991 % F.pow(F.lit(10), 1 + F.col("i") % 5).cast("long")).cast("string").alias("key"))))
+    text = F.concat(F.lit("番"), (F.col("i") * 104729 % 1000003).cast("string"), F.lit("１"), (F.col("o_custkey") * 31 % 1009).cast("string"))
+    df = o.select("i", text.alias("text")).withColumn("start", F.explode(F.array(*map(F.lit, (0, 1, 3, 9, 40)))))
+    return prefixes.longest_prefix_join(df, "text", ladder, "hit", F.col("start")).select("i", "start", "hit.key", "hit.next")
+
+
 @query(f"SELECT c_custkey AS k, p.code, p.name FROM customer JOIN ({_PREFS}) p ON p.code = lpad((c_nationkey + 1)::VARCHAR, 2, '0')")
 def prefecture_lookup(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0").alias("code"))
