@@ -6,7 +6,7 @@ have: Unicode digits and spaces, and only a line feed ends a line.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +21,13 @@ POWERS = {"十": 10, "拾": 10, "百": 100, "千": 1000}
 KANJI = f"[{DIGITS}{''.join(POWERS)}]"
 NUMBER = rf"(?:\d+|{KANJI}+)"
 #: What makes a numeral with 番 a proper noun, and a sequence part of a building's name.
-NOT_BLOCK = "(?!町|丁|街|館|割|組|場|屋|通|筋)"
+BLOCK_NAMES = "町丁街館割組場屋通筋"
 NOT_BUILDING = "(?!ビル|号館|館|マンション|アパート|ハイツ|レジデンス|タワー)"
 
+#: The decimal digits of all scripts but ASCII, and their values in the same order.
+_DECIMALS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd"]
+DECIMALS, DECIMAL_VALUES = "".join(_DECIMALS), "".join(str(unicodedata.digit(c)) for c in _DECIMALS)
+
 #: Characters that compatibility composition leaves alone in any company of each other.
 _COMPOSED = r"^[\x00-\x7f、-〃々-〇ぁ-ゖァ-ヺー一-鿿]*$"
 _BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                　\xa0"
@@ -67,68 +71,82 @@ def sanitize(raw: Column) -> Column:
     return clean_composed(compose_input(raw))
 
 
-def kanji_number(token: Column) -> Column:
-    """The value of a kanji numeral, positional or with powers; null for any other text."""
-    digit = lambda c: F.instr(F.lit(DIGITS), c)
-    power = F.create_map(*[F.lit(x) for p, n in POWERS.items() for x in (p, n)])
-    value = lambda c: F.substring(F.lit(VALUES), digit(c), F.lit(1)).cast("long")
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("total"), zero.alias("digit"))
+def pattern_sql(pattern: str) -> str:
+    """A pattern as a raw string literal, with the flags."""
+    return f'r"{FLAGS}{pattern}"'
+
 
-    def step(acc: Column, c: Column) -> Column:
-        by_power = acc["total"] + F.when(acc["digit"] == 0, F.lit(1)).otherwise(acc["digit"]) * F.try_element_at(power, c)
-        return F.when(digit(c) > 0, F.struct(acc["total"].alias("total"), value(c).alias("digit"))).otherwise(F.struct(by_power.alias("total"), zero.alias("digit")))
+def kanji_number_sql(token: str) -> str:
+    """SQL of the value of a kanji numeral, positional or with powers; null for any other text."""
+    power = "CASE c " + " ".join(f"WHEN '{p}' THEN {n}L" for p, n in POWERS.items()) + " END"
+    digit = f"CAST(substr('{VALUES}', instr('{DIGITS}', c), 1) AS BIGINT)"
+    summed = (
+        f"aggregate(split({token}, ''), named_struct('total', 0L, 'digit', 0L), (acc, c) -> CASE WHEN instr('{DIGITS}', c) > 0 THEN named_struct('total', acc.total, 'digit', {digit}) "
+        f"ELSE named_struct('total', acc.total + IF(acc.digit = 0L, 1L, acc.digit) * {power}, 'digit', 0L) END, acc -> acc.total + acc.digit)"
+    )
+    return f"CASE WHEN {token} RLIKE '^[{DIGITS}]+$' THEN try_cast(translate({token}, '{DIGITS}', '{VALUES}') AS BIGINT) WHEN {token} RLIKE '^{KANJI}+$' THEN {summed} END"
 
-    summed = F.aggregate(F.split(token, ""), start, step, lambda acc: acc["total"] + acc["digit"])
-    return F.when(token.rlike(f"^[{DIGITS}]+$"), F.translate(token, DIGITS, VALUES).try_cast("long")).when(token.rlike(f"^{KANJI}+$"), summed)
 
+def number_sql(token: str) -> str:
+    """SQL of the value of decimal digits of any script, or of a kanji numeral."""
+    other = f"try_cast(translate({token}, '{DECIMALS}', '{DECIMAL_VALUES}') AS BIGINT)"
+    return f"CASE WHEN {token} RLIKE '^[0-9]+$' THEN try_cast({token} AS BIGINT) WHEN {token} RLIKE {pattern_sql('^[^' + KANJI[1:-1] + ']*$')} THEN {other} ELSE {kanji_number_sql(token)} END"
 
-def number(token: Column) -> Column:
-    """The value of Arabic digits or of a kanji numeral."""
-    return F.when(token.rlike("^[0-9]+$"), token.try_cast("long")).otherwise(kanji_number(token))
 
+def kanji_number(token: str) -> Column:
+    """The value of a column of kanji numerals."""
+    return F.expr(kanji_number_sql(token))
 
-def replace_each(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """``text`` with ``new(match)`` for each match, from left to right without overlaps."""
-    found = F.regexp_extract_all(text, F.lit(f"{FLAGS}{pattern}|[\\s\\S]"), F.lit(0))
-    return F.when(text.rlike(FLAGS + pattern), F.array_join(F.transform(found, new), "")).otherwise(text)
 
+def number(token: str) -> Column:
+    """The value of an SQL text's decimal digits or kanji numeral."""
+    return F.expr(number_sql(token))
 
-def _part(token: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(token, f"{FLAGS}^{pattern}$", group)
 
+#: Tokens that a numeral may stand beside; everything else is left in runs.
+_TOKEN = rf"{KANJI}+|\d+|丁目|番地の|番地|番|号|-|(?:(?!丁目)[^{KANJI[1:-1]}\d番号-])+"
 
-def _numeral_in(text: Column, context: str, before: str, after: str, ahead: str = "") -> Column:
-    """Kanji numerals between ``before`` and ``after`` as Arabic digits; ``context`` must be cheap to rule out."""
-    whole = f"({before})({KANJI}+)({after})"
+#: Where nothing is to be done: a numeral stands before a mark or a dash, or behind a dash or 番地の.
+ANY_STEP = f"{KANJI}(?:丁目|番|号|-)|(?:-|番地の){KANJI}"
 
-    def new(token: Column) -> Column:
-        told = F.concat(_part(token, whole, 1), kanji_number(_part(token, whole, 2)).cast("string"), _part(token, whole, 3))
-        return F.when(token.rlike(f"{FLAGS}^{whole}$"), told).otherwise(token)
 
-    return F.when(text.contains(context), replace_each(text, whole + ahead, new)).otherwise(text)
+def _as_digits(token: str) -> str:
+    """A numeral as digits without leading zeros; a positional one may be longer than a number."""
+    positional = f"regexp_replace(translate({token}, '{DIGITS}', '{VALUES}'), '^0+(?=.)', '')"
+    return f"CASE WHEN {token} RLIKE '^[{DIGITS}]+$' THEN {positional} ELSE CAST({kanji_number_sql(token)} AS STRING) END"
 
 
-def _sequence(text: Column) -> Column:
-    whole = f"(?<!第){NUMBER}(?:-{NUMBER})+{NOT_BUILDING}"
-    part = lambda p: F.when(p.rlike(f"^{KANJI}+$"), kanji_number(p).cast("string")).otherwise(p)
-    new = lambda token: F.when(token.contains("-") & token.rlike(KANJI), F.array_join(F.transform(F.split(token, "-"), part), "-")).otherwise(token)
-    return F.when(text.rlike(f"{FLAGS}{KANJI}-|-{KANJI}"), replace_each(text, whole, new)).otherwise(text)
+def _is_kanji(token: str) -> str:
+    return f"instr('{KANJI[1:-1]}', substr(coalesce(nullif({token}, ''), '-'), 1, 1)) > 0"
 
 
-#: Where no step finds anything: a numeral stands before a mark or a dash, or behind a dash or 番地の.
-ANY_STEP = f"{KANJI}(?:丁目|番|号|-)|(?:-|番地の){KANJI}"
+def numerals_sql(tokens: str) -> str:
+    """SQL of the text of a column of tokens, with kanji numerals as digits where the tokens around make them numbers."""
+    before, before_2, behind, behind_2 = (f"get({tokens}, i {k})" for k in ("- 1", "- 2", "+ 1", "+ 2"))
+    is_digits = f"coalesce({before_2}, '') RLIKE {pattern_sql(chr(94) + chr(92) + 'd')}"
+    number_if = " OR ".join(
+        f"({x})"
+        for x in (
+            f"{behind} IN ('丁目', '番地', '番地の')",
+            f"{behind} = '番' AND {behind_2} = '号'",
+            f"{behind} = '番' AND {before} = '丁目' AND ({is_digits} OR {_is_kanji(before_2)}) AND instr('{BLOCK_NAMES}', substr(coalesce({behind_2}, '-'), 1, 1)) = 0",
+            f"{behind} = '号' AND ({before} = '番' OR ({before} = '-' AND {is_digits}))",
+            f"{before} = '番地の'",
+        )
+    )
+    return f"array_join(transform({tokens}, (t, i) -> CASE WHEN {_is_kanji('t')} AND ({number_if}) THEN {_as_digits('t')} ELSE t END), '')"
+
+
+def tokens_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, {pattern_sql(_TOKEN)}, 0)"
+
 
-#: In this order; each reads the text that the one before wrote.
-KANJI_STEPS: list[Callable[[Column], Column]] = [
-    lambda t: _numeral_in(t, "丁目", "", "丁目"),
-    lambda t: _numeral_in(t, "番地", "", "番地"),
-    lambda t: _numeral_in(t, "番", "", "番(?:地の|号)"),
-    lambda t: _numeral_in(t, "丁目", r"\d+丁目", "番", NOT_BLOCK),
-    lambda t: _numeral_in(t, "号", r"番|\d+-", "号"),
-    lambda t: _numeral_in(t, "番地の", "番地の", ""),
-    _sequence,
-]
+def sequences_sql(text: str) -> str:
+    """SQL of a text with kanji numerals as digits in sequences of numbers joined by hyphens."""
+    sequence = rf"(?<!第){NUMBER}(?:-{NUMBER})+{NOT_BUILDING}|[^\d{KANJI[1:-1]}]+|[\s\S]"
+    part = f"CASE WHEN p RLIKE '^{KANJI}+$' THEN {_as_digits('p')} ELSE p END"
+    told = f"CASE WHEN contains(t, '-') AND t RLIKE '{KANJI}' THEN array_join(transform(split(t, '-'), p -> {part}), '-') ELSE t END"
+    return f"CASE WHEN {text} RLIKE '{KANJI}-|-{KANJI}' THEN array_join(transform(regexp_extract_all({text}, {pattern_sql(sequence)}, 0), t -> {told}), '') ELSE {text} END"
 
 
 def captures(text: Column, pattern: str, n: int) -> Column:

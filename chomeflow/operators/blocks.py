@@ -1,11 +1,13 @@
-"""Block and lot numbers: the states in order, the first that matches wins; then building, floor and unit."""
+"""Block and lot numbers by one pattern with a branch for each state; then building, floor and unit."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chomeflow.functions.text import FLAGS, NOT_BLOCK, NUMBER, captures, group, matched, number, strip
+from chomeflow.functions.text import BLOCK_NAMES, FLAGS, KANJI, NUMBER, captures, group, matched, number, strip
 
 GAIKU, CHIBAN, UNSPECIFIED = "gaiku_hoshiki", "chiban", "unspecified"
 
@@ -15,25 +17,46 @@ BASEMENTS, FLOORS, ROOM = ["B", "地下"], ["階", "F", "f"], "室"
 #: Large and small sections of a village.
 LARGE, SMALL = "大字", "小?字"
 
-# The grammar: what comes before, numbers with their marks, what comes after. Capturing groups go by position.
-_HEAD, _TAIL, _ANY = "^(.*?)", "(.*)$", r"([\s\S]*"
-_N, _DIGITS = f"({NUMBER})", r"(\d+)"
-_SECOND = rf"(?:[の-]?{_N}{HOUSE}?)?"
-
-
-def _one_of(*marks: str) -> str:
-    return "(" + "|".join(marks) + ")"
-
-
-_CHOME = _HEAD + _N + CHOME + _TAIL
-_CHOME_NAMED = "^" + _N + _one_of(LOT_OF, LOT, BLOCK) + _SECOND + _TAIL
-_CHOME_HYPHEN = f"^{_N}-{_N}" + _TAIL
-_CHOME_SINGLE = f"^{_N}{HOUSE}?" + _TAIL
-_HYPHEN = _HEAD + f"{_DIGITS}-{_DIGITS}(?:-{_DIGITS})?" + _TAIL
-_NAMED = _HEAD + _N + _one_of(LOT_OF, LOT, BLOCK + NOT_BLOCK) + _SECOND + _TAIL
-_MARKED = _HEAD + _N + _one_of(LOT, BLOCK + NOT_BLOCK, HOUSE) + _TAIL
-_BARE = _HEAD + _DIGITS + _TAIL
-
+#: A number and what may stand behind it, as groups by name; ``first`` and ``second`` are numbers, ``mark`` their kind.
+_N = NUMBER
+_SECOND = f"(?:[の-]?(<second>{_N}){HOUSE}?)?"
+_NOT_NAME = f"(?![{BLOCK_NAMES}])"
+#: Behind a kanji numeral and 番 alone, which are the name of a place.
+_PLACE = f"(?<={KANJI}{BLOCK})"
+#: The states in order, and what each takes behind a town; the first that finds its numbers wins, at the first place it finds them.
+_STATES = {
+    "chome": rf"(<chome>{_N}){CHOME}\s*(?:(<first>{_N})(<mark>{LOT_OF}|{LOT}|{BLOCK}){_SECOND}|(<from>{_N})-(<to>{_N})|(<single>{_N}){HOUSE}?)?",
+    "hyphen": r"(<first>\d+)-(<second>\d+)(?:-(<third>\d+))?",
+    "named": f"(<first>{_N})(<mark>{LOT_OF}|{LOT}|{BLOCK}{_NOT_NAME}){_SECOND}",
+    "marked": f"(<first>{_N})(<mark>{LOT}|{BLOCK}{_NOT_NAME}|{HOUSE})",
+    "bare": r"(<first>\d+)",
+}
+_NO_PLACES = {"named", "marked"}
+
+
+def _automaton() -> tuple[str, dict[tuple[str, str], int]]:
+    """One pattern with a branch for each state, and the number of each state's groups."""
+    groups: dict[tuple[str, str], int] = {}
+
+    def numbered(state: str, pattern: str) -> str:
+        def number(m: re.Match) -> str:
+            groups[state, m[1]] = len(groups) + 1
+            return "("
+
+        return re.sub(r"\(<(\w+)>", number, pattern)
+
+    branches = []
+    for state, taken in _STATES.items():
+        # what is found first is held to be no place's name; if it is one, the next state has its turn
+        first = re.sub(r"\(<\w+>", "(?:", taken)
+        guard = f"(?!(?>.*?{first}){_PLACE})" if state in _NO_PLACES else ""
+        branches.append(guard + numbered(state, f"(<town>.*?){taken}(<tail>.*)"))
+    return f"^(?:{'|'.join([*branches, numbered('default', '(<town>.*)')])})$", groups
+
+
+_PATTERN, _GROUPS = _automaton()
+
+_ANY = r"([\s\S]*"
 _STOREY = rf"((?:{'|'.join(BASEMENTS)})?\d+\s*[{''.join(FLOORS)}])"
 _FLOOR = f"^{_ANY}?)" + _STOREY + r"(?:[\sA-Za-z0-9]|$)?" + f"{_ANY})$"
 _UNIT = f"^{_ANY}?)" + rf"(\d+\s*{HOUSE}{ROOM}?|(?:^|\s)\d{{3,4}}(?:\s|$))" + f"{_ANY})$"
@@ -57,70 +80,52 @@ def _if(condition: Column, found: Column) -> Column:
     return F.when(condition, found).otherwise(F.array(F.lit("")))
 
 
-def _pure_kanji(token: Column) -> Column:
-    return ~token.rlike(r"(?U)\d")
-
-
 def parse_blocks(df: DataFrame, text: str, has_chome: Column) -> DataFrame:
-    """Adds ``_b``: town, chome, ban, go, banchi, edaban, oaza, koaza, regime, tail."""
-    df = df.withColumn("_s", strip(F.col(text))).withColumn("_has_chome", has_chome)
-    s = F.col("_s")
-    df = df.withColumn("_c1", _if(s.contains("丁目"), captures(s, _CHOME, 3)))
-    c1 = F.col("_c1")
-    df = df.withColumn("_rest", F.when(matched(c1), strip(F.get(c1, F.lit(3)))))
-    df = df.withColumn("_c1a", _if(matched(c1), captures(F.col("_rest"), _CHOME_NAMED, 4)))
-    df = df.withColumn("_c1b", _if(matched(c1) & ~matched(F.col("_c1a")), captures(F.col("_rest"), _CHOME_HYPHEN, 3)))
-    df = df.withColumn("_c1c", _if(matched(c1) & ~matched(F.col("_c1a")) & ~matched(F.col("_c1b")), captures(F.col("_rest"), _CHOME_SINGLE, 2)))
-    df = df.withColumn("_c2", _if(~matched(c1) & s.contains("-"), captures(s, _HYPHEN, 5)))
-    open_ = ~matched(c1) & ~matched(F.col("_c2"))
-    df = df.withColumn("_c3", _if(open_ & s.contains("番"), captures(s, _NAMED, 5)))
-    c3 = F.col("_c3")
-    proper = (group(c3, 3) == "番") & _pure_kanji(group(c3, 2)) & group(c3, 4).isNull()
-    df = df.withColumn("_c3", _if(matched(c3) & ~proper, c3))
-    open_ = open_ & ~matched(F.col("_c3"))
-    df = df.withColumn("_c4", _if(open_ & s.rlike("番|号"), captures(s, _MARKED, 4)))
-    c4 = F.col("_c4")
-    df = df.withColumn("_c4", _if(matched(c4) & ~((group(c4, 3) == "番") & _pure_kanji(group(c4, 2))), c4))
-    open_ = open_ & ~matched(F.col("_c4"))
-    df = df.withColumn("_c5", _if(open_, captures(s, _BARE, 3)))
-
-    c1a, c1b, c1c, c2, c3, c4, c5 = (F.col(c) for c in ("_c1a", "_c1b", "_c1c", "_c2", "_c3", "_c4", "_c5"))
-    kind = F.lit("default")
-    for name, c in reversed([("chome_named", c1a), ("chome_hyphen", c1b), ("chome_single", c1c), ("chome", c1), ("hyphen", c2), ("named", c3), ("marked", c4), ("bare", c5)]):
-        kind = F.when(matched(c), name).otherwise(kind)
-    df = df.withColumn("_kind", kind)
-    k = F.col("_kind")
-    by_chome = k.startswith("chome")
-    town = F.when(by_chome, F.get(c1, F.lit(1)))
-    for name, c in (("hyphen", c2), ("named", c3), ("marked", c4), ("bare", c5)):
-        town = town.when(k == name, F.get(c, F.lit(1)))
-    town = strip(town.otherwise(s))
-    tail = F.when(k == "chome", F.col("_rest"))
-    for name, c, i in (("chome_named", c1a, 4), ("chome_hyphen", c1b, 3), ("chome_single", c1c, 2), ("hyphen", c2, 5), ("named", c3, 5), ("marked", c4, 4), ("bare", c5, 3)):
-        tail = tail.when(k == name, strip(F.get(c, F.lit(i))))
-    df = df.withColumn("_town", town).withColumn("_tail", tail.otherwise(F.lit("")))
-    df = df.withColumn("_oaza", F.when(F.col("_town").contains("字"), oaza(F.col("_town")))).withColumn("_koaza", F.when(F.col("_town").contains("字"), koaza(F.col("_town"))))
-
-    three = group(c2, 4).isNotNull()
-    first = F.when(k == "chome_named", group(c1a, 1)).when(k == "chome_hyphen", group(c1b, 1)).when(k == "chome_single", group(c1c, 1))
-    first = first.when(k == "hyphen", F.when(three, group(c2, 3)).otherwise(group(c2, 2))).when(k == "named", group(c3, 2)).when(k == "marked", group(c4, 2)).when(k == "bare", group(c5, 2))
-    second = F.when(k == "chome_named", group(c1a, 3)).when(k == "chome_hyphen", group(c1b, 2)).when(k == "hyphen", F.when(three, group(c2, 4)).otherwise(group(c2, 3))).when(k == "named", group(c3, 4))
-    suffix = F.when(k == "chome_named", group(c1a, 2)).when(k == "named", group(c3, 3)).when(k == "marked", group(c4, 3))
-    aza = F.col("_oaza").isNotNull() | F.col("_koaza").isNotNull()
-    lot = F.coalesce(suffix.contains("番地"), F.lit(False)) | (aza & ~by_chome & ~((k == "hyphen") & three))
-    df = df.withColumn("_first", number(first)).withColumn("_second", number(second)).withColumn("_lot", lot & (k != "default"))
-    chome = F.when(by_chome, number(group(c1, 2))).when((k == "hyphen") & three, number(group(c2, 2)))
-    lot, n1, n2 = F.col("_lot"), F.col("_first"), F.col("_second")
-    regime = (
-        F.when(lot, CHIBAN)
-        .when(by_chome | ((k == "hyphen") & (three | F.col("_has_chome"))) | ((k == "named") & n2.isNotNull()), GAIKU)
-        .otherwise(UNSPECIFIED)
+    """Adds ``_b``: town, chome, ban, go, banchi, edaban, oaza, koaza, regime, tail, state.
+
+    One pass of one pattern finds the state and its parts; lines are not read across.
+    """
+    df = df.withColumns({"_s": strip(F.col(text)), "_has_chome": has_chome})
+    df = df.withColumn("_c", captures(F.col("_s"), _PATTERN, len(_GROUPS)))
+    got = lambda state, name: f"get(_c, {_GROUPS[state, name]})"
+    told = lambda state, name: f"nullif({got(state, name)}, '')"
+    sign = {"chome": "chome", "hyphen": "first", "named": "first", "marked": "first", "bare": "first"}
+    found = " ".join(f"WHEN {got(state, name)} <> '' THEN '{state}'" for state, name in sign.items())
+    df = df.withColumn("_kind", F.expr(f"CASE {found} ELSE 'default' END"))
+    each = lambda name, *states: " ".join(f"WHEN '{x}' THEN {got(x, name)}" for x in states)
+    states = list(_STATES)
+    three = f"{got('hyphen', 'third')} <> ''"
+    df = df.withColumns(
+        {
+            "_town": strip(F.expr(f"CASE _kind {each('town', *states)} ELSE _s END")),
+            "_tail": strip(F.expr(f"CASE _kind {each('tail', *states)} ELSE '' END")),
+            "_mark": F.expr(f"CASE _kind {each('mark', 'chome', 'named', 'marked')} END"),
+            "_three": F.expr(f"_kind = 'hyphen' AND {three}"),
+            "_t0": F.expr(f"CASE WHEN _kind = 'chome' THEN {got('chome', 'chome')} WHEN {three} THEN {got('hyphen', 'first')} END"),
+            "_t1": F.expr(
+                f"CASE _kind WHEN 'chome' THEN coalesce({told('chome', 'first')}, {told('chome', 'from')}, {told('chome', 'single')}) "
+                f"WHEN 'hyphen' THEN IF({three}, {got('hyphen', 'second')}, {got('hyphen', 'first')}) {each('first', 'named', 'marked', 'bare')} END"
+            ),
+            "_t2": F.expr(
+                f"CASE _kind WHEN 'chome' THEN coalesce({told('chome', 'second')}, {told('chome', 'to')}) "
+                f"WHEN 'hyphen' THEN IF({three}, {got('hyphen', 'third')}, {got('hyphen', 'second')}) WHEN 'named' THEN {told('named', 'second')} END"
+            ),
+            "_state": F.expr(
+                f"CASE WHEN _kind <> 'chome' THEN _kind WHEN {got('chome', 'first')} <> '' THEN 'chome_named' WHEN {got('chome', 'from')} <> '' THEN 'chome_hyphen' "
+                f"WHEN {got('chome', 'single')} <> '' THEN 'chome_single' ELSE 'chome' END"
+            ),
+        }
+    )
+    section = F.col("_town").contains("字")
+    df = df.withColumns({"_oaza": F.when(section, oaza(F.col("_town"))), "_koaza": F.when(section, koaza(F.col("_town")))})
+    village = "(_oaza IS NOT NULL OR _koaza IS NOT NULL) AND _kind NOT IN ('default', 'chome') AND NOT _three"
+    df = df.withColumns({"_lot": F.expr(f"coalesce(startswith(_mark, '{LOT}'), false) OR ({village})"), "_n0": number("_t0"), "_n1": number("_t1"), "_n2": number("_t2")})
+    gaiku = "_kind = 'chome' OR (_kind = 'hyphen' AND (_three OR _has_chome)) OR (_kind = 'named' AND _n2 IS NOT NULL)"
+    b = F.expr(
+        f"""named_struct('town', _town, 'chome', _n0, 'ban', IF(_lot, NULL, _n1), 'go', IF(_lot, NULL, _n2), 'banchi', IF(_lot, _n1, NULL), 'edaban', IF(_lot, _n2, NULL),
+        'oaza', _oaza, 'koaza', _koaza, 'regime', CASE WHEN _lot THEN '{CHIBAN}' WHEN {gaiku} THEN '{GAIKU}' ELSE '{UNSPECIFIED}' END, 'tail', _tail, 'state', _state)"""
     )
-    b = F.struct(
-        F.col("_town").alias("town"), chome.alias("chome"), F.when(~lot, n1).alias("ban"), F.when(~lot, n2).alias("go"), F.when(lot, n1).alias("banchi"), F.when(lot, n2).alias("edaban"),
-        F.col("_oaza").alias("oaza"), F.col("_koaza").alias("koaza"), regime.alias("regime"), F.col("_tail").alias("tail"), k.alias("state"),
-    )
-    return df.withColumn("_b", b).drop("_s", "_has_chome", "_c1", "_rest", "_c1a", "_c1b", "_c1c", "_c2", "_c3", "_c4", "_c5", "_kind", "_town", "_tail", "_oaza", "_koaza", "_first", "_second", "_lot")
+    return df.withColumn("_b", b).drop("_s", "_has_chome", "_c", "_kind", "_town", "_tail", "_mark", "_three", "_t0", "_t1", "_t2", "_state", "_oaza", "_koaza", "_lot", "_n0", "_n1", "_n2")
 
 
 def parse_building(df: DataFrame, tail: Column) -> DataFrame:

@@ -28,11 +28,14 @@ def sanitized(df: DataFrame, raw: str, out: str) -> DataFrame:
 
 
 def kanji_converted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: kanji numerals in numbers as digits. Texts without one of the steps' marks beside a numeral pass by all of them."""
-    df = df.withColumn("_numeral", F.col(text).rlike(T.ANY_STEP)).withColumn(out, F.col(text))
-    for step in T.KANJI_STEPS:
-        df = df.withColumn(out, F.when(F.col("_numeral"), step(F.col(out))).otherwise(F.col(out)))
-    return df.drop("_numeral")
+    """Adds ``out``: kanji numerals in numbers as digits.
+
+    The text becomes tokens once, and each numeral is judged by its neighbours; a second step
+    reads sequences with hyphens.  Texts without a numeral beside a mark pass by both.
+    """
+    df = df.withColumn("_tokens", F.expr(f"CASE WHEN `{text}` RLIKE '{T.ANY_STEP}' THEN {T.tokens_sql(f'`{text}`')} END"))
+    df = df.withColumn("_told", F.expr(f"CASE WHEN _tokens IS NULL THEN `{text}` ELSE {T.numerals_sql('_tokens')} END"))
+    return df.withColumn(out, F.expr(T.sequences_sql("_told"))).drop("_tokens", "_told")
 
 
 def _street_number(c: Column) -> Column:
@@ -106,7 +109,7 @@ def normalize(df: DataFrame, address: str = "address", out: str = "normalized",
     r1 = F.col("_r1")
     gate = _is(a["pref_code"] == "01") | (a["pref"].isNull() & r1.contains("条") & r1.contains("丁目") & r1.rlike("北|南"))
     x = x.withColumn("_hc", F.when(gate, regional.grid_capture(r1)).otherwise(F.array(r1)))
-    x = x.withColumn("_h", regional.grid_clause(F.col("_hc")))
+    x = x.withColumn("_h", regional.grid_clause("_hc"))
     h = F.col("_h")
     x = x.withColumn("_r2", F.when(h.isNotNull(), regional.around(F.col("_hc"), 7)).otherwise(r1))
     sapporo = h.isNotNull() & F.col("_amb") & _is(a["matched"] == "中央区")

@@ -260,7 +260,7 @@ _KANJI = [("一", 1), ("十", 10), ("十二", 12), ("二十", 20), ("二十三",
 
 @query(_values(_KANJI, "token, value").replace("SELECT *", "SELECT token, value::VARCHAR AS value"))
 def kanji_number(spark, sf_dir):
-    return spark.createDataFrame(_KANJI, "token string, expected long").select("token", T.kanji_number(F.col("token")).cast("string").alias("value"))
+    return spark.createDataFrame(_KANJI, "token string, expected long").select("token", T.kanji_number("token").cast("string").alias("value"))
 
 
 _D = "一二三四五六七八九"
@@ -274,7 +274,7 @@ def kanji_number_round_trip(spark, sf_dir):
         d = F.floor(n / power) % 10
         digit = F.when((d == 1) & F.lit(power > 1), "").otherwise(F.substring(F.lit(_D), d.cast("int"), F.lit(1)))
         token = F.concat(token, F.when(d > 0, F.concat(digit, F.lit(sign))).otherwise(""))
-    return _keys(spark, sf_dir).select("i", token.alias("t")).select("i", T.kanji_number(F.col("t")).alias("value"))
+    return _keys(spark, sf_dir).select("i", token.alias("t")).select("i", T.kanji_number("t").alias("value"))
 
 
 _BLOCKS = [
@@ -313,7 +313,7 @@ _GRIDS = [("南三条東四丁目5番", "南", 3, "東", 4, "5番"), ("北1条
 @query(_values(_GRIDS, "text, ns, jo, ew, chome, rest").replace("SELECT *", "SELECT text, ns, jo::VARCHAR AS jo, ew, chome::VARCHAR AS chome, rest"))
 def hokkaido_grid(spark, sf_dir):
     df = spark.createDataFrame([(r[0],) for r in _GRIDS], "text string").withColumn("f", regional.grid_capture(F.col("text")))
-    h = regional.grid_clause(F.col("f"))
+    h = regional.grid_clause("f")
     rest = F.when(h.isNotNull(), regional.around(F.col("f"), 7)).otherwise(F.col("text"))
     return df.select("text", h["cardinal_ns"].alias("ns"), h["jo"].cast("string").alias("jo"), h["cardinal_ew"].alias("ew"), h["chome"].cast("string").alias("chome"), rest.alias("rest"))
 

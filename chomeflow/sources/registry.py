@@ -6,7 +6,7 @@ import json
 import os
 import re
 import zipfile
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,8 +176,8 @@ def prefecture_keys(prefs: DataFrame) -> DataFrame:
     return full.unionByName(prefs.where(F.length("stem") >= 2).select(F.col("stem").alias("key"), "code", "name"))
 
 
-def _keyed(munis: DataFrame) -> DataFrame:
-    """(key, rec): all names that lead to each record."""
+def municipality_keys(munis: DataFrame) -> DataFrame:
+    """(key, cands): all names that lead to each record, with the records in code order."""
     wards = munis.where("ward IS NOT NULL").groupBy(F.col("city").alias("_city"), F.col("prefecture_code").alias("_pref")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("lg_code"), F.col("ward")))).alias("wards")
     )
@@ -192,31 +192,13 @@ def _keyed(munis: DataFrame) -> DataFrame:
         .unionByName(key(F.col("rec.city"), F.col("rec.entity_type") == "designated_city"))
         .unionByName(key(F.col("rec.ward"), F.col("rec.ward").isNotNull() & (F.col("rec.ward") != F.col("rec.name"))))
     )
-    return keys.where("key <> ''").dropDuplicates(["key", "rec"])
-
-
-def municipality_keys(munis: DataFrame) -> DataFrame:
-    """(key, cands): all names that lead to each record, with the records in code order."""
-    return _keyed(munis).groupBy("key").agg(F.sort_array(F.collect_list("rec")).alias("cands"))
-
+    return keys.where("key <> ''").dropDuplicates(["key", "rec"]).groupBy("key").agg(F.sort_array(F.collect_list("rec")).alias("cands"))
 
-def scoped(scope: Column, key: Column) -> Column:
-    """A key within a prefecture's code, or within all for an empty scope."""
-    return F.concat(scope, F.lit("|"), key)
 
-
-def municipality_matches(munis: DataFrame) -> DataFrame:
-    """What a key finds, within each prefecture and within all: ``scoped``, n_found, labels of more than one, and the columns of a single one."""
-    keyed = _keyed(munis)
-    both = keyed.withColumn("scope", F.lit("")).unionByName(keyed.withColumn("scope", F.col("rec.prefecture_code")))
-    found = both.groupBy(scoped(F.col("scope"), F.col("key")).alias("scoped")).agg(F.sort_array(F.collect_list("rec")).alias("cands"))
-    one = lambda c: F.when(F.size("cands") == 1, F.get("cands", F.lit(0))[c]).alias(c)
-    label = lambda c: F.concat(c["prefecture_name"], c["name"], F.lit(" ("), c["lg_code"], F.lit(")"))
-    wards = F.when((F.size("cands") == 1), F.map_from_entries(F.transform(F.get("cands", F.lit(0))["wards"], lambda w: F.struct(w["ward"], w["lg_code"])))).alias("wards")
-    return found.select(
-        "scoped", F.size("cands").alias("n_found"), F.when(F.size("cands") > 1, F.transform("cands", label)).alias("labels"),
-        *(one(c) for c in ("lg_code", "prefecture_code", "prefecture_name", "city", "ward", "county", "entity_type")), wards,
-    )
+def bucketed(keys: DataFrame) -> DataFrame:
+    """Keys by their first two characters, longest first: one equi-join then finds all candidates of a text."""
+    entry = F.struct(F.length("key").alias("n"), *keys.columns)
+    return keys.groupBy(F.substring("key", 1, 2).alias("bucket")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries"))
 
 
 class Registry:
@@ -233,7 +215,7 @@ class Registry:
         self.complete = municipalities_path is not None
         sizes = [self._checked(df, code) for df, code, path in ((self.prefectures, "code", prefectures_path), (self.municipalities, "lg_code", municipalities_path)) if path is not None]
         self.broadcastable = max(sizes, default=0) <= MOST_RECORDS
-        self._made: dict[str, object] = {}
+        self._muni = self._pref = self._ladder = None
 
     @staticmethod
     def _checked(df: DataFrame, code: str) -> int:
@@ -244,38 +226,30 @@ class Registry:
 
     def _pinned(self, df: DataFrame) -> DataFrame:
         """A small table without its lineage, so that each query doesn't build it anew."""
-        return F.broadcast(self.spark.createDataFrame(df.collect(), df.schema)) if self.broadcastable else df
+        return self.spark.createDataFrame(df.collect(), df.schema) if self.broadcastable else df
 
-    def _once(self, name: str, make: Callable[[], object]) -> object:
-        if name not in self._made:
-            self._made[name] = make()
-        return self._made[name]
-
-    def _ladder(self, keys: DataFrame) -> Ladder:
-        ladder = prefix_ladder(keys)
-        return Ladder(self._pinned(ladder.rungs), ladder.lengths, self.broadcastable)
+    def _hint(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.broadcastable else df
 
     @property
-    def prefecture_ladder(self) -> Ladder:
-        return self._once("prefecture_ladder", lambda: self._ladder(prefecture_keys(self.prefectures)))
+    def prefecture_index(self) -> DataFrame:
+        if self._pref is None:
+            self._pref = self._pinned(bucketed(prefecture_keys(self.prefectures)))
+        return self._hint(self._pref)
 
     @property
-    def prefecture_matches(self) -> DataFrame:
-        """key, code, name."""
-        return self._once("prefecture_matches", lambda: self._pinned(prefecture_keys(self.prefectures)))
+    def municipality_index(self) -> DataFrame:
+        if self._muni is None:
+            self._muni = self._pinned(bucketed(municipality_keys(self.municipalities)))
+        return self._hint(self._muni)
 
     @property
     def municipality_ladder(self) -> Ladder:
-        return self._once("municipality_ladder", lambda: self._ladder(municipality_keys(self.municipalities)))
-
-    @property
-    def municipality_matches(self) -> DataFrame:
-        return self._once("municipality_matches", lambda: self._pinned(municipality_matches(self.municipalities)))
-
-    @property
-    def ward_lengths(self) -> list[int]:
-        """The lengths of wards' names: a few numbers."""
-        return self._once("ward_lengths", lambda: sorted(r[0] for r in self.municipalities.where("ward <> ''").select(F.length("ward")).distinct().collect()))
+        """The keys of municipalities for lookups from any offset."""
+        if self._ladder is None:
+            made = prefix_ladder(municipality_keys(self.municipalities))
+            self._ladder = Ladder(self._pinned(made.rungs), made.lengths, self.broadcastable)
+        return self._ladder
 
     # lookups, each a filter on a dimension
 
