@@ -8,6 +8,7 @@ inputs; their SQL states the values that are right for them.
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 import uuid
 from collections.abc import Callable
@@ -266,15 +267,50 @@ def kanji_number(spark, sf_dir):
 _D = "一二三四五六七八九"
 
 
-@query("SELECT o_orderkey AS i, o_orderkey % 9999 + 1 AS value FROM orders")
-def kanji_number_round_trip(spark, sf_dir):
-    n = F.col("i") % 9999 + 1
+def _kanji(n: Column) -> Column:
+    """A number from 1 to 9999 as a kanji numeral with powers."""
     token = F.lit("")
     for power, sign in ((1000, "千"), (100, "百"), (10, "十"), (1, "")):
         d = F.floor(n / power) % 10
         digit = F.when((d == 1) & F.lit(power > 1), "").otherwise(F.substring(F.lit(_D), d.cast("int"), F.lit(1)))
         token = F.concat(token, F.when(d > 0, F.concat(digit, F.lit(sign))).otherwise(""))
-    return _keys(spark, sf_dir).select("i", token.alias("t")).select("i", T.kanji_number("t").alias("value"))
+    return token
+
+
+@query("SELECT o_orderkey AS i, o_orderkey % 9999 + 1 AS value FROM orders")
+def kanji_number_round_trip(spark, sf_dir):
+    return _keys(spark, sf_dir).select("i", _kanji(F.col("i") % 9999 + 1).alias("t")).select("i", T.kanji_number("t").alias("value"))
+
+
+#: Contexts that make a numeral {} a number, and two that don't, {0} staying as it is; {1} is always in digits.
+_CONTEXTS = ["本町{}丁目", "{}番地", "{}番号", "{1}丁目{}番", "{1}番{}号", "本町{1}-{}号", "{1}番地の{}", "{1}-{}-{}", "第{0}回", "{1}丁目{0}番館"]
+
+
+def _context_sql(pattern: str) -> str:
+    told = {"": "n::VARCHAR", "0": "k", "1": "m::VARCHAR"}
+    parts = [told[x[:-1][1:]] if x.startswith("{") else _quoted(x) for x in re.split(r"(\{[01]?\})", pattern) if x]
+    return " || ".join(parts)
+
+
+_KANJI_SQL = " || ".join(
+    f"CASE (o_orderkey % 9999 + 1) // {power} % 10 WHEN 0 THEN '' WHEN 1 THEN '{sign if power > 1 else '一'}' ELSE substr('{_D}', ((o_orderkey % 9999 + 1) // {power} % 10)::INT, 1) || '{sign}' END"
+    for power, sign in ((1000, "千"), (100, "百"), (10, "十"), (1, ""))
+)
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS i, o_orderkey % 9999 + 1 AS n, o_custkey % 30 + 1 AS m, {_KANJI_SQL} AS k FROM orders)
+    SELECT i, CASE i % {len(_CONTEXTS)} {' '.join(f"WHEN {j} THEN {_context_sql(c)}" for j, c in enumerate(_CONTEXTS))} END AS converted FROM o"""
+)
+def kanji_contexts(spark, sf_dir):
+    """Kanji numerals made from keys, in each context that makes them numbers or doesn't."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("i"), (F.col("o_custkey") % 30 + 1).cast("string").alias("m"))
+    k = _kanji(F.col("i") % 9999 + 1)
+    text = F.lit(None)
+    for j, pattern in enumerate(_CONTEXTS):
+        parts = [(F.col("m") if x == "{1}" else k) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{[01]?\})", pattern) if x]
+        text = F.when(F.col("i") % len(_CONTEXTS) == j, F.concat(*parts)).otherwise(text)
+    return kanji_converted(o.select("i", text.alias("text")), "text", "converted").select("i", "converted")
 
 
 _BLOCKS = [
@@ -348,6 +384,54 @@ def fsm_states(spark, sf_dir):
     return df.select("text", *[F.col("_b")[c].cast("string").alias(c) for c in ("state", "town", *_NUMBERS, "regime", "tail")])
 
 
+#: Texts of each state made of a, b and c, and what is right for them: state, town, chome, ban, go, banchi, edaban, regime, tail. K is a in kanji.
+_STATES = [
+    ("本町{a}丁目{b}番{c}号", "chome_named", "本町", "a", "b", "c", None, None, "gaiku_hoshiki", ""),
+    ("本町{K}丁目{b}番地の{c} 塔", "chome_named", "本町", "a", None, None, "b", "c", "chiban", "塔"),
+    ("本町{a}丁目{b}番館", "chome_named", "本町", "a", "b", None, None, None, "gaiku_hoshiki", "館"),
+    ("本町{a}丁目 {b}-{c}", "chome_hyphen", "本町", "a", "b", "c", None, None, "gaiku_hoshiki", ""),
+    ("本町{a}丁目{b}号 塔", "chome_single", "本町", "a", "b", None, None, None, "gaiku_hoshiki", "塔"),
+    ("本町{K}丁目東", "chome", "本町", "a", None, None, None, None, "gaiku_hoshiki", "東"),
+    ("本町{a}-{b}-{c} 塔", "hyphen", "本町", "a", "b", "c", None, None, "gaiku_hoshiki", "塔"),
+    ("本町{b}-{c}", "hyphen", "本町", None, "b", "c", None, None, "unspecified", ""),
+    ("大字本町字上{b}-{c}", "hyphen", "大字本町字上", None, None, None, "b", "c", "chiban", ""),
+    ("本町{K}番地{c}", "named", "本町", None, None, None, "a", "c", "chiban", ""),
+    ("本町{b}番の{c}号", "named", "本町", None, "b", "c", None, None, "gaiku_hoshiki", ""),
+    ("大字本町{b}番", "named", "大字本町", None, None, None, "b", None, "chiban", ""),
+    ("本町{K}号", "marked", "本町", None, "a", None, None, None, "unspecified", ""),
+    ("本町{b}番町", "bare", "本町", None, "b", None, None, None, "unspecified", "番町"),
+    ("字上{c}", "bare", "字上", None, None, None, "c", None, "chiban", ""),
+    ("本町{K}番", "default", "本町{K}番", None, None, None, None, None, "unspecified", ""),
+]
+
+
+def _filled(pattern: str, of: dict[str, object], join: Callable) -> object:
+    return join([of[x[1]] if x.startswith("{") else x for x in re.split(r"(\{[abcK]\})", pattern) if x])
+
+
+def _state_sql(column: int) -> str:
+    of = {"a": "a::VARCHAR", "b": "b::VARCHAR", "c": "c::VARCHAR", "K": f"({_KANJI_SQL})"}
+    text = lambda parts: " || ".join(p if p in of.values() else _quoted(p) for p in parts) or "''"
+    what = lambda v: "NULL" if v is None else f"{v}::VARCHAR" if column in range(3, 8) else _filled(v, of, text)
+    return f"CASE i % {len(_STATES)} " + " ".join(f"WHEN {j} THEN {what(r[column])}" for j, r in enumerate(_STATES)) + " END"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, o_orderkey // 4 AS i, o_orderkey % 9999 + 1 AS a, o_custkey % 400 + 1 AS b, o_orderkey % 37 + 1 AS c FROM orders)
+    SELECT o_orderkey AS i, {', '.join(f'{_state_sql(j)} AS {n}' for j, n in enumerate(("state", "town", *_NUMBERS, "regime", "tail"), 1))} FROM o"""
+)
+def block_states(spark, sf_dir):
+    """Every state, its texts made from keys."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("i"), "o_custkey")
+    i = F.col("i")
+    of = {"a": (i % 9999 + 1).cast("string"), "b": (F.col("o_custkey") % 400 + 1).cast("string"), "c": (i % 37 + 1).cast("string"), "K": _kanji(i % 9999 + 1)}
+    text = F.lit(None)
+    for j, row in enumerate(_STATES):
+        text = F.when(F.floor(i / 4) % len(_STATES) == j, _filled(row[0], of, lambda parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))).otherwise(text)
+    df = blocks.parse_blocks(o.select("i", text.alias("text")), "text", F.lit(False))
+    return df.select("i", *[F.col("_b")[c].cast("string").alias(c) for c in ("state", "town", *_NUMBERS, "regime", "tail")])
+
+
 #: Inputs with what is right for them.
 _AZA = [("大字南長野字幅下", "南長野", "幅下"), ("大字豊郷", "豊郷", None), ("字辺土名", None, "辺土名"), ("一箕町大字亀賀字郷之原", "亀賀", "郷之原"), ("本町", None, None)]
 
