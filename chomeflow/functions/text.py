@@ -59,7 +59,7 @@ def compose_input(raw: Column) -> Column:
 def clean_composed(composed: Column) -> Column:
     """The second half of cleaning, on composed text."""
     beside = r"[\d〇一二三四五六七八九十壱弐参拾]"
-    c = F.regexp_replace(composed, f"{FLAGS}(?<={beside})ー+(?={beside})", "-")
+    c = F.regexp_replace(composed, f"{FLAGS}ー(?<={beside}ー)ー*(?={beside})", "-")
     c = F.translate(c, DASHES, "-" * len(DASHES))
     c = F.regexp_replace(c, "-+", "-")
     c = F.regexp_replace(c, FLAGS + r"^(?:〒\s*(?:\d{3}[-ー]?\d{4}|\d{7})?|\d{3}[-ー]\d{4})\s*", "")
@@ -107,7 +107,8 @@ def number(token: str) -> Column:
 _TOKEN = rf"{KANJI}+|\d+|丁目|番地の|番地|番|号|-|(?:(?!丁目)[^{KANJI[1:-1]}\d番号-])+"
 
 #: Where nothing is to be done: a numeral stands before a mark or a dash, or behind a dash or 番地の.
-ANY_STEP = f"{KANJI}(?:丁目|番|号|-)|(?:-|番地の){KANJI}"
+#: (The marks come first in the pattern, as a class of many kanji is slow to test at each character.)
+ANY_STEP = f"(?:丁目|番|号|-)(?<={KANJI}(?:丁目|番|号|-))|(?:-|番地の){KANJI}"
 
 
 def _as_digits(token: str) -> str:

@@ -32,6 +32,8 @@ _STATES = {
     "bare": r"(<first>\d+)",
 }
 _NO_PLACES = {"named", "marked"}
+#: What a state can't do without: a text that lacks it passes the branch by, before any numeral is looked for.
+_NEEDED = {"chome": CHOME, "hyphen": r"\d-\d", "named": BLOCK, "marked": f"[{BLOCK}{HOUSE}]", "bare": r"\d"}
 
 
 def _automaton() -> tuple[str, dict[tuple[str, str], int]]:
@@ -50,7 +52,7 @@ def _automaton() -> tuple[str, dict[tuple[str, str], int]]:
         # what is found first is held to be no place's name; if it is one, the next state has its turn
         first = re.sub(r"\(<\w+>", "(?:", taken)
         guard = f"(?!(?>.*?{first}){_PLACE})" if state in _NO_PLACES else ""
-        branches.append(guard + numbered(state, f"(<town>.*?){taken}(<tail>.*)"))
+        branches.append(f"(?=.*?{_NEEDED[state]})" + guard + numbered(state, f"(<town>.*?){taken}(<tail>.*)"))
     return f"^(?:{'|'.join([*branches, numbered('default', '(<town>.*)')])})$", groups
 
 

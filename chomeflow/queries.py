@@ -208,6 +208,38 @@ def prefecture_by_each_key(spark, sf_dir):
     return a.unionByName(b).unionByName(c)
 
 
+_MUNI_NAMES = ["泊村", "中央区", "港区", "横浜市", "横浜市中区", "神戸市", "無い町"]
+_MUNI_PREFS = ["01", "", "13", "14", "28"]
+
+
+@query(
+    f"""WITH r AS (SELECT c_custkey AS k, {_list(_MUNI_NAMES, "c_custkey")} AS name, {_list(_MUNI_PREFS, "(c_custkey // 7)")} AS pref FROM customer), m AS ({_MUNIS}),
+    hits AS (SELECT k, lg_code, pref FROM r JOIN m ON CASE WHEN pref = '' THEN m.name = r.name OR m.ward = r.name ELSE m.name = r.name AND prefecture_code = pref END),
+    told AS (SELECT k, CASE WHEN any_value(pref) = '' THEN string_agg(lg_code, ',' ORDER BY lg_code) ELSE max(lg_code) END AS codes FROM hits GROUP BY k)
+    SELECT k, coalesce(codes, '') AS codes FROM r LEFT JOIN told USING (k)"""
+)
+def municipality_requests(spark, sf_dir):
+    """Municipalities by name, within a prefecture or without, for each customer."""
+    k = F.col("c_custkey")
+    r = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("long").alias("k"), corpus.pick(_MUNI_NAMES, k).alias("name"), corpus.pick(_MUNI_PREFS, F.floor(k / 7)).alias("pref"))
+    found = R.registry(spark).join_municipalities(r, "name", "pref")
+    return found.select("k", F.array_join(F.transform("found", lambda x: x["lg_code"]), ",").alias("codes"))
+
+
+@query(
+    f"""WITH r AS (SELECT c_custkey AS k, lpad((c_custkey % 50)::VARCHAR, 2, '0') AS code FROM customer),
+    q AS (SELECT k, CASE k % 3 WHEN 0 THEN code WHEN 1 THEN p.name ELSE p.stem END AS asked, p.code, p.romaji FROM r LEFT JOIN ({_PREFS}) p USING (code))
+    SELECT k, asked, code, romaji FROM q"""
+)
+def prefecture_requests(spark, sf_dir):
+    """Prefectures by code, name or stem, for each customer; codes over 47 and texts that are null find nothing."""
+    k = F.col("k")
+    r = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"), F.lpad((F.col("c_custkey") % 50).cast("string"), 2, "0").alias("code"))
+    named = R.registry(spark).join_prefectures(r, "code", "p")
+    asked = F.when(k % 3 == 0, F.col("code")).when(k % 3 == 1, F.col("p.name")).otherwise(F.col("p.stem"))
+    return R.registry(spark).join_prefectures(named.select("k", asked.alias("asked")), "asked", "q").select("k", "asked", F.col("q.code").alias("code"), F.col("q.romaji").alias("romaji"))
+
+
 # --- codes ---------------------------------------------------------------------------------------
 
 _DIGIT = """(11 - (substr({b}, 1, 1)::INT * 6 + substr({b}, 2, 1)::INT * 5 + substr({b}, 3, 1)::INT * 4 + substr({b}, 4, 1)::INT * 3 + substr({b}, 5, 1)::INT * 2) % 11) % 10"""

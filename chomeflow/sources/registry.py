@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,6 +202,32 @@ def bucketed(keys: DataFrame) -> DataFrame:
     return keys.groupBy(F.substring("key", 1, 2).alias("bucket")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries"))
 
 
+def prefecture_lookup(prefs: DataFrame) -> DataFrame:
+    """(key, rec): a prefecture by code, name and stem; a name goes before a stem."""
+    rec = F.struct(*prefs.columns).alias("rec")
+    ways = [prefs.select(F.col(c).alias("key"), F.lit(rank).alias("rank"), rec) for rank, c in enumerate(("code", "name", "stem"))]
+    return functools.reduce(DataFrame.unionByName, ways).where("key <> ''").groupBy("key").agg(F.min_by("rec", "rank").alias("rec"))
+
+
+def municipality_lookup(munis: DataFrame) -> DataFrame:
+    """(key, last, found): records by ``code|`` and code, by ``|`` and name or bare ward, and by prefecture, ``|`` and name: of these only the last."""
+    rec = F.struct("lg_code", *[c for c in munis.columns if c != "lg_code"]).alias("rec")
+    ways = [
+        munis.select(F.concat(F.lit("code|"), "lg_code").alias("key"), rec),
+        munis.select(F.concat(F.lit("|"), "name").alias("key"), rec),
+        munis.where("ward <> '' AND ward <> name").select(F.concat(F.lit("|"), "ward").alias("key"), rec),
+        munis.select(F.concat("prefecture_code", F.lit("|"), "name").alias("key"), rec),
+    ]
+    found = functools.reduce(DataFrame.unionByName, ways).groupBy("key").agg(F.max_by("rec", "rec.lg_code").alias("last"), F.sort_array(F.collect_list("rec")).alias("found"))
+    return found.withColumn("found", F.when(F.col("key").startswith("|"), F.col("found")).otherwise(F.array("last")))
+
+
+def _looked_up(df: DataFrame, key: Column, index: DataFrame, out: str, value: str, default: Column | None = None) -> DataFrame:
+    side = index.select(F.col("key").alias("_key"), F.col(value).alias("_value"))
+    got = F.col("_value") if default is None else F.coalesce("_value", default.cast(side.schema["_value"].dataType))
+    return df.join(side, key.eqNullSafe(F.col("_key")), "left").withColumn(out, got).drop("_key", "_value")
+
+
 class Registry:
     """The two dimensions of a session and their indexes.
 
@@ -216,6 +243,7 @@ class Registry:
         sizes = [self._checked(df, code) for df, code, path in ((self.prefectures, "code", prefectures_path), (self.municipalities, "lg_code", municipalities_path)) if path is not None]
         self.broadcastable = max(sizes, default=0) <= MOST_RECORDS
         self._muni = self._pref = self._ladder = None
+        self._indexes: dict[str, DataFrame] = {}
 
     @staticmethod
     def _checked(df: DataFrame, code: str) -> int:
@@ -251,7 +279,34 @@ class Registry:
             self._ladder = Ladder(self._pinned(made.rungs), made.lengths, self.broadcastable)
         return self._ladder
 
-    # lookups, each a filter on a dimension
+    # lookups of whole columns
+
+    def _index(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._indexes:
+            self._indexes[name] = self._pinned(make())
+        return self._hint(self._indexes[name])
+
+    def join_prefectures(self, df: DataFrame, key: str, out: str = "found") -> DataFrame:
+        """``out``: the prefecture whose code, name or stem ``key`` is, or null. Rows are kept."""
+        index = self._index("prefectures", lambda: prefecture_lookup(self.prefectures))
+        return _looked_up(df, F.col(key), index, out, "rec")
+
+    def join_municipality_by_code(self, df: DataFrame, lg_code: str, out: str = "found") -> DataFrame:
+        """``out``: the record of a code, or null. Rows are kept."""
+        return _looked_up(df, F.concat(F.lit("code|"), F.col(lg_code)), self._municipality_lookup(), out, "last")
+
+    def join_municipalities(self, df: DataFrame, name: str, prefecture: str | None = None, out: str = "found") -> DataFrame:
+        """``out``: all records of a name or a bare ward, in code order; where a column ``prefecture`` is given and not empty, the last record of exactly that name in it.
+
+        Always an array, empty where nothing is found. Rows are kept.
+        """
+        scope = F.coalesce(F.col(prefecture), F.lit("")) if prefecture else F.lit("")
+        return _looked_up(df, F.concat(scope, F.lit("|"), F.col(name)), self._municipality_lookup(), out, "found", F.array())
+
+    def _municipality_lookup(self) -> DataFrame:
+        return self._index("municipalities", lambda: municipality_lookup(self.municipalities))
+
+    # lookups of one value, each a filter on a dimension
 
     def prefecture_by_code(self, code: str) -> DataFrame:
         return self.prefectures.where(F.col("code") == code)
