@@ -8,16 +8,10 @@ that occurs, documents are cut into windows of W/2 shingles, however long the
 document is, and each window has its minwise values.  A passage equal to an
 item fills at least a window's length; the shingle with the item's least value lies in
 some window, and is the least there too unless a foreign shingle at the passage's
-ends is less, so each value agrees with a chance of more than one half, and one of all
+ends is less, so each value agrees with a chance of about one half, and one of all
 agrees with a chance over 0.9999 (over 0.999 for an item of which three quarters are
 there).  Windows of larger classes take their minima from those of smaller ones.
 
-A window of fewer than ``LONG`` shingles would have nearly as many values as shingles.  For
-such classes each shingle is a window of its own: its one key is its hash, whatever the class, and
-the item's keys are the shingles that its functions choose.  A value then agrees if the
-chosen shingle is there, so an item of which three quarters are there is missed with
-a chance of 1/4 for each of its keys.
-
 The index of items' keys is broadcast if it has ``INDEX_ROWS`` rows at most; a larger one
 is joined by a shuffle of the documents' keys.  Either way documents are read once for it.  Every
 candidate is verified: the share of the item's distinct shingles that the whole
@@ -40,8 +34,7 @@ from chomeflow.llm.tables import Scratch, bounded, free_name
 
 SHINGLE = 5
 CONTAINMENT = 0.75
-HASHES = 24
-LONG = 48
+HASHES = 16
 INDEX_ROWS = 500_000
 
 
@@ -87,12 +80,6 @@ def minwise(hashes: Column) -> Column:
     return _functions(lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
 
 
-def chosen(hashes: Column) -> Column:
-    """The hashes that have the HASHES minwise values, each once."""
-    least = lambda k: F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, k).alias("value"), h.alias("hash"))))
-    return F.array_distinct(_functions(lambda k: least(k)["hash"]))
-
-
 def _salt(size_class: int) -> int:
     return (size_class * 0x9E3779B97F4A7C15) % (1 << 62)
 
@@ -135,15 +122,15 @@ def contained_items(
     parts = scratch.save(parts, "item-shingles")
     sizes = parts.groupBy("_item").agg(F.count("*").alias("n"))
     size_class = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long")
-    c, h = F.col("c"), F.col("h")
+    c = F.col("c")
     hashed = q.select("_item", text_hashes(F.col("_text")).alias("h")).join(sizes, "_item").select("_item", size_class.alias("c"), "h")
-    signed = scratch.save(hashed.select("_item", "c", F.when(c < 2 * LONG, chosen(h)).otherwise(minwise(h)).alias("m")), "item-minima")
-    classes = sorted(r[0] for r in signed.where(c >= 2 * LONG).select("c").distinct().collect())  # at most 32 powers of two
-    salt = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for w in classes for x in (w, _salt(w))]), c), F.lit(0).cast("bigint")) if classes else F.lit(0).cast("bigint")
+    signed = scratch.save(hashed.select("_item", "c", minwise(F.col("h")).alias("m")), "item-minima")
+    classes = sorted(r[0] for r in signed.select("c").distinct().collect())  # at most 32 powers of two
+    salt = F.try_element_at(F.create_map(*[F.lit(x) for w in classes for x in (w, _salt(w))]), c) if classes else F.lit(0).cast("bigint")
     index = scratch.save(signed.select("_item", F.explode(F.transform("m", lambda v: v.bitwiseXOR(salt))).alias("key")).distinct(), "index")
 
     def probe(hashes: Column) -> Column:
-        return F.array_distinct(F.concat(hashes, window_keys(hashes, classes)) if classes else hashes)
+        return F.array_distinct(window_keys(hashes, classes)) if classes else F.array().cast("array<bigint>")
 
     probes = d.select("_doc", F.explode(let(text_hashes(F.col("_text")), probe)).alias("key"))
     small = index.count() <= INDEX_ROWS

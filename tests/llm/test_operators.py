@@ -238,9 +238,8 @@ def test_licences_inside_a_line_and_notices_repeated_often():
 # --- 3 -------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("long", "rows"), [(48, 500_000), (2, 0)])
-def test_contained_items_against_brute_force(spark, long, rows, monkeypatch):
-    monkeypatch.setattr(decontaminate, "LONG", long)
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_contained_items_against_brute_force(spark, rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_ROWS", rows)
     df = documents(spark)
     source = [t for _, t in sorted((i, t) for i, t in _rows(df) if i is not None) if t and len(t.split()) > 60]
@@ -273,14 +272,15 @@ def test_decontaminated_judges_rows_by_their_own_text(spark):
     assert sorted(map(str, _rows(got))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]])) and got.columns == df.columns
 
 
-@pytest.mark.parametrize("long", [48, 2])
-def test_recall_at_the_threshold(spark, long, monkeypatch):
-    """Items of 40 to 300 shingles of which 75 to 84 in a hundred are there, in pieces."""
-    monkeypatch.setattr(decontaminate, "LONG", long)
+@pytest.mark.parametrize("sizes", [None, (24, 64), (44, 304)])
+def test_recall_at_the_threshold(spark, sizes):
+    """Items of so many words, or those of the table, of which 75 to 87 in a hundred shingles are there, in pieces."""
+    real = [re.sub(r"[\W_]+", " ", x["text"].lower()).split() for x in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("text").distinct().collect()]
+    real = [w for w in real if len(w) >= 24]
     r = np.random.default_rng(2)
     items, docs = [], []
     for i in range(300):
-        w = [f"i{i}x{k}" for k in range(int(r.integers(44, 304)))]
+        w = real[i % len(real)] if sizes is None else [f"i{i}x{k}" for k in range(int(r.integers(*sizes)))]
         n = len(w) - 4
         gone = list(w)
         # one changed word loses five shingles
@@ -289,8 +289,9 @@ def test_recall_at_the_threshold(spark, long, monkeypatch):
         items.append((i, " ".join(w)))
         docs.append((i, " ".join([*(f"a{i}x{k}" for k in range(int(r.integers(0, 200)))), *gone, *(f"b{i}x{k}" for k in range(100))])))
     got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(q["doc_id"], q["item_id"]) for q in got} <= {(i, i) for i in range(300)} and all(0.75 <= q["containment"] < 0.85 for q in got)
-    assert len(got) >= 0.995 * 300
+    own = [q for q in got if q["doc_id"] == q["item_id"]]
+    assert (sizes is None or len(own) == len(got)) and all(0.75 <= q["containment"] < 0.9 for q in own)
+    assert len(own) >= 0.99 * 300
 
 
 # --- 4 -------------------------------------------------------------------------------------------
