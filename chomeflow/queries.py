@@ -133,6 +133,24 @@ def register_build(spark, sf_dir):
     return R.build(sheet(_SHEET_1), sheet(_SHEET_2), counties, records=None).select("lg_code", "base_code", "prefecture_name", "name", "city", "ward", "county", "entity_type")
 
 
+@query(
+    """WITH p AS (SELECT n_name || ' ' AS key FROM nation UNION SELECT left(n_name, 3) FROM nation),
+    t AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE left(n_name, 2 + (s_suppkey % 5)::INT) END || CASE WHEN s_suppkey % 3 = 0 THEN substr(n_name, 3 + (s_suppkey % 5)::INT) || ' ' ELSE '-' END || s_suppkey AS name
+      FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    j AS (SELECT k, key, row_number() OVER (PARTITION BY k ORDER BY length(key) DESC) AS r FROM t JOIN p ON starts_with(name, key))
+    SELECT t.k, name, key AS prefix, substr(name, length(key) + 1) AS remainder FROM t LEFT JOIN j ON j.k = t.k AND r = 1"""
+)
+def names_by_prefix(spark, sf_dir):
+    """Names of suppliers split behind the longest prefix, as the register splits wards behind their cities."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    keys = n.select(F.concat("n_name", F.lit(" ")).alias("key")).unionByName(n.select(F.substring("n_name", 1, 3).alias("key")))
+    k, at = F.col("s_suppkey"), (F.col("s_suppkey") % 5).cast("int")
+    head = F.when(k % 4 == 0, "").otherwise(F.substring(F.col("n_name"), F.lit(1), 2 + at))
+    tail = F.when(k % 3 == 0, F.concat(F.substring(F.col("n_name"), 3 + at, F.length("n_name")), F.lit(" "))).otherwise("-")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(n), "s_nationkey").select(k.cast("long").alias("k"), F.concat(head, tail, k.cast("string")).alias("name"))
+    return R.split_by_prefix(s, "name", keys, "prefix").select("k", "name", "prefix", F.expr("substr(name, length(prefix) + 1)").alias("remainder"))
+
+
 _KEYS = f"""
 WITH m AS ({_MUNIS}), k AS (
   SELECT name AS key, lg_code FROM m

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chomeflow.data import seed
 from chomeflow.functions import codes
-from chomeflow.operators.prefixes import Ladder, prefix_ladder
+from chomeflow.operators.prefixes import Ladder, bounded, longest_prefix_join, prefix_ladder
 
 PREFECTURE = "code string, name string, stem string, suffix string, kana string, romaji string"
 MUNICIPALITY = (
@@ -118,6 +118,11 @@ def entity_type(prefecture: Column, name: Column, designated: Column) -> Column:
     )
 
 
+def split_by_prefix(names: DataFrame, name: str, prefixes: DataFrame, out: str) -> DataFrame:
+    """``out``: the longest ``key`` of ``prefixes`` that a name begins with, or null; by equi-joins, not by comparing each pair."""
+    return longest_prefix_join(names, name, bounded(prefix_ladder(prefixes)), out).withColumn(out, F.col(out)["key"])
+
+
 def build(municipal: DataFrame, wards: DataFrame, counties: DataFrame, records: int | None = FULL_RECORDS) -> DataFrame:
     """The register from the two sheets of the statutory workbook and the county map, sorted by code."""
 
@@ -139,8 +144,7 @@ def build(municipal: DataFrame, wards: DataFrame, counties: DataFrame, records:
         "prefecture_code", "prefecture_name", "base_code", "check_digit", "lg_code", F.col("municipality").alias("name"), F.col("municipality").alias("city"),
         F.lit(None).cast("string").alias("ward"), "county", kind.alias("entity_type"), F.lit(None).cast("string").alias("kana"),
     )
-    # at most 20 designated cities: a nested-loop join over a table bounded by statute
-    below = coded(rows(wards).where(~F.col("municipality").endswith("市"))).join(F.broadcast(cities), F.expr("startswith(municipality, designated)"), "left")
+    below = split_by_prefix(coded(rows(wards).where(~F.col("municipality").endswith("市"))), "municipality", cities.select(F.col("designated").alias("key")), "designated")
     city = F.coalesce("designated", F.raise_error(F.concat(F.lit("no city for "), F.col("municipality"))).cast("string"))
     inner = below.select(
         "prefecture_code", "prefecture_name", "base_code", "check_digit", "lg_code", F.col("municipality").alias("name"), city.alias("city"),
