@@ -24,7 +24,7 @@ from chomeflow.operators import blocks, prefixes, regional
 from chomeflow.operators.geocode import TableResolver, fetch, geocode, query_text
 from chomeflow.plans import formats, timings
 from chomeflow.plans.normalize import kanji_converted, normalize, parse, sanitized
-from chomeflow.plans.validate import exit_code, validate
+from chomeflow.plans.validate import ACCEPTED, AMBIGUOUS, MALFORMED, exit_code, validate, validation
 from chomeflow.sources import registry as R
 from chomeflow.sources.shared import shared_dir
 
@@ -596,6 +596,45 @@ def validate_status(spark, sf_dir):
     return validate(_golden(spark)).select("address", v["lg_code"].alias("lg_code"), v["status"].alias("status"), v["valid"].alias("valid"), exit_code(v["status"]).alias("exit_code"))
 
 
+_TOTAL = len(seed.municipality_rows())
+
+
+@query(
+    _KEYS.replace("WITH m AS", "WITH p AS (" + _PREFS + "), m AS")
+    + f""", o AS (SELECT o_orderkey::BIGINT AS i, o_orderkey // 4 % {_TOTAL} AS place, o_custkey % 4 AS form FROM orders),
+    r AS (SELECT *, row_number() OVER (ORDER BY lg_code) - 1 AS place FROM m),
+    t AS (
+      SELECT i, form, CASE WHEN form = 1 THEN NULL WHEN form = 3 THEN lpad((prefecture_code::INT % 47 + 1)::VARCHAR, 2, '0') ELSE prefecture_code END AS scope,
+        CASE WHEN form = 2 THEN coalesce(county, '') || name ELSE name END AS key FROM o JOIN r USING (place)),
+    c AS (SELECT i, count(m.lg_code) AS n, max(m.lg_code) AS lg_code FROM t LEFT JOIN k ON k.key = t.key LEFT JOIN m ON m.lg_code = k.lg_code AND (scope IS NULL OR m.prefecture_code = scope) GROUP BY i)
+    SELECT i, coalesce(p.name, CASE WHEN n = 1 THEN m.prefecture_name END) AS prefecture, CASE WHEN n = 1 THEN m.lg_code END AS lg_code, CASE WHEN n = 1 THEN m.county END AS county,
+      CASE WHEN n = 1 THEN m.city WHEN n > 1 AND scope IS NULL THEN key END AS city, CASE WHEN n = 1 THEN m.ward WHEN n > 1 AND scope IS NOT NULL THEN key END AS ward,
+      CASE WHEN n = 0 THEN key ELSE '' END || '本町' AS town, i % 8 + 1 AS chome, i % 25 + 1 AS ban, i % 15 + 1 AS go, scope IS NULL AS inferred, CASE WHEN n > 1 THEN n ELSE 0 END::INT AS candidates,
+      n = 0 AS contradictory, CASE WHEN n = 0 THEN 0.0 WHEN n > 1 THEN 0.5 WHEN scope IS NULL THEN 0.85 ELSE 1.0 END::DOUBLE AS confidence,
+      CASE WHEN n = 0 THEN '{MALFORMED}' WHEN n > 1 THEN '{AMBIGUOUS}' ELSE '{ACCEPTED}' END AS status
+    FROM t JOIN c USING (i) LEFT JOIN m ON m.lg_code = c.lg_code LEFT JOIN p ON p.code = scope"""
+)
+def municipality_round_trip(spark, sf_dir):
+    """Every municipality of the register by its prefecture, without one, with its county, and by a wrong prefecture."""
+    reg = R.registry(spark)
+    prefs = reg.prefectures.select(F.col("code").alias("_code"), F.col("name").alias("_pref"))
+    ranked = sorted(reg.municipalities.select("lg_code", "prefecture_code", "county", "name").collect())
+    munis = spark.createDataFrame([(at, *row) for at, row in enumerate(ranked)], "at long, lg_code string, prefecture_code string, county string, name string")
+    i = F.col("i")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("i"), (F.col("o_custkey") % 4).alias("form"))
+    o = o.withColumn("at", F.floor(i / 4) % _TOTAL).join(F.broadcast(munis), "at")
+    scope = F.when(F.col("form") == 1, None).when(F.col("form") == 3, F.lpad((F.col("prefecture_code").cast("int") % 47 + 1).cast("string"), 2, "0")).otherwise(F.col("prefecture_code"))
+    o = o.withColumn("scope", scope).join(F.broadcast(prefs), F.col("scope") == F.col("_code"), "left")
+    number = F.concat((i % 8 + 1).cast("string"), F.lit("丁目"), (i % 25 + 1).cast("string"), F.lit("番"), (i % 15 + 1).cast("string"), F.lit("号"))
+    county = F.when(F.col("form") == 2, F.coalesce("county", F.lit(""))).otherwise("")
+    v = validation(F.col("normalized"))
+    o = o.select("i", F.concat(F.coalesce("_pref", F.lit("")), county, "name", F.lit("本町"), number).alias("address"))
+    return normalize(o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i")).select(
+        "i", *_c("prefecture", "lg_code", "county", "city", "ward", "town", "chome", "ban", "go"), _parts()["prefecture_inferred"].alias("inferred"),
+        F.size(_parts()["ambiguous_candidates"]).alias("candidates"), _parts()["is_contradictory"].alias("contradictory"), _normal()["confidence_score"].alias("confidence"), v["status"].alias("status"),
+    )
+
+
 #: Inputs with what is right for them.
 _TIERS = [
     ("東京都港区六本木1-2-3", "ban=tier_2_conventional,chome=tier_2_conventional,go=tier_2_conventional,lg_code=tier_1_statutory,municipality=tier_1_statutory,prefecture=tier_1_statutory,town=tier_3_heuristic"),
