@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +14,18 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system; a C library that can't is left alone."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after the last, what Arrow holds in reserve goes back, as idle workers live on."""
+    """The batches; before the first and after the last, what earlier tasks and Arrow hold in reserve goes back, as idle workers live on."""
+    _give_back()
     yield from batches
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
