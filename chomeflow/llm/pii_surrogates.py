@@ -6,9 +6,16 @@ are normalised (case, spacing, punctuation, country and trunk prefix, compressed
 the normalised value is what gets a surrogate, so all its mentions in the whole
 corpus refer to one surrogate.
 
-A full name that stands after a title somewhere in a document is replaced in the rest of the
-document too, without a title or after one that tells no gender (Dr, Prof); there it
-takes the surrogate of the mention that tells it, of several the first by value.
+A name after a title is up to four words with hyphens, apostrophes, initials and particles, and
+is taken apart: what stands before a particle is given names; without one the last word is the
+surname, of four words the last two.  Each word of a surname is an entity of its own, so
+``Mr Miller``, ``Dr. Miller`` and ``Mr John Miller`` share a surname's surrogate.  Given names are
+an entity together with gender and surname.  Initials and particles stay.
+
+A full name or a surname that stands after a title somewhere in a document is replaced in the rest
+of the document too where it has the same letters, without a title or after one that tells no
+gender (Dr, Prof); there a full name takes the surrogate of the mention that tells it, of several
+the first by value.  Names that stand after no title in a document aren't found.
 
 Surrogates come from SHA-512 of key, type, value and attempt:
 
@@ -18,13 +25,14 @@ Surrogates come from SHA-512 of key, type, value and attempt:
   a card number that satisfies the Luhn check keeps satisfying it;
 * IBAN: country, letters and digits stay what they are; one with right check digits gets right ones;
 * IPv4: four octets from 1 to 254; IPv6: hex digits, groups of zero and leading zeros stay;
-* name: a given name of the title's gender and a surname of syllables in the
-  mention's script, of as many words as the mention, capitalised like it.
+* name: given names of the title's gender, as many as the mention has, and surnames of syllables, in the
+  mention's script, capitalised and joined like it.
 
 Collision checks: a surrogate must differ from all other surrogates of its type
-and from every real value of its type in the corpus.  Values that fail take the
+and from every real value of its type in the corpus
+(a given name: from those with the same surname, so full names stay distinct).  Values that fail take the
 next attempt (of equal surrogates the smallest value stays), until none fail.  Later attempts
-have more room, so this ends: a longer local part or surname, and from attempt ``ROOMY`` on
+have more room, so this ends: a longer local part or name, and from attempt ``ROOMY`` on
 more digits behind a number or address.
 
 Null texts stay null, empty ones empty.  Texts without entities are untouched and
@@ -51,6 +59,9 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra",
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Г-н"]
 OTHER_TITLES = ["Dr", "Prof"]
 
+#: Small words inside surnames.
+PARTICLES = ["von", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "al", "el", "bin", "ibn"]
+
 #: Country calling codes of one and of two digits; all others have three.
 CALLING_1 = ["1", "7"]
 CALLING_2 = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58"]
@@ -69,7 +80,10 @@ CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + ")"
-NAME = rf"(?<![\p{{L}}]){_TITLE}\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+_PARTICLES = "(?:(?:" + "|".join(PARTICLES) + ") ){0,3}"
+_INITIAL = r"\p{Lu}\."
+_WORD = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}(?:['’]\p{{L}})?[\p{{L}}\p{{M}}]+(?:['’-]\p{{L}}[\p{{L}}\p{{M}}]+)*"
+NAME = rf"(?<![\p{{L}}]){_TITLE}\.? (?:{_INITIAL} ?){{0,3}}{_PARTICLES}{_WORD}(?:(?: {_INITIAL})? {_PARTICLES}{_WORD}){{0,3}}"
 KINDS = {"email": EMAIL, "ipv4": IPV4, "ipv6": IPV6, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every entity contains; texts without it need no closer look.
@@ -115,7 +129,47 @@ def _gender(c: Column) -> Column:
 
 
 def _script(c: Column) -> Column:
-    return F.when(_untitled(c).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+
+
+def _given_and_surname(bare: Column) -> tuple[Column, Column]:
+    """The given names (may be empty) and the surname of a name without its title."""
+    words = F.split(bare, " ")
+    particle = F.array_position(F.transform(words, lambda w: w.isin(PARTICLES)), True).cast("int")
+    n = (
+        F.when(particle > 0, particle - 1).when(F.size(words) == 1, 0)
+        .when((F.size(words) == 4) & ~F.element_at(words, -2).endswith("."), 2).otherwise(F.size(words) - 1)
+    )
+    return F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, n + 1, F.size(words)), " ")
+
+
+def _tokens(phrase: Column) -> Column:
+    """Runs of letters, and what stands between them."""
+    return F.regexp_extract_all(phrase, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
+
+
+def _replaced(token: Column) -> Column:
+    """Whether a token of a name is replaced: initials, particles and marks stay."""
+    return (F.length(token) > 1) & token.rlike(r"^\p{L}") & ~token.isin(PARTICLES)
+
+
+def _given_value(gender: Column, given: Column, surname: Column) -> Column:
+    words = F.array_join(F.filter(_tokens(given), _replaced), " ")
+    return F.when(words != "", F.concat_ws("|", gender, _script(given), F.lower(words), F.lower(surname)))
+
+
+def _surname_value(token: Column) -> Column:
+    return F.concat_ws("|", _script(token), F.lower(token))
+
+
+def entities(mention: Column) -> Column:
+    """(kind, value) of all that a mention holds: one, but for names their given names and each word of the surname."""
+    kind = kind_of(mention)
+    entity = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
+    given, surname = _given_and_surname(_untitled(mention))
+    first = F.filter(F.array(entity(F.lit("given"), _given_value(_gender(mention), given, surname))), lambda e: e["value"].isNotNull())
+    rest = F.transform(F.filter(_tokens(surname), _replaced), lambda t: entity(F.lit("surname"), _surname_value(t)))
+    return F.when(kind == "name", F.array_distinct(F.concat(first, rest))).otherwise(F.array(entity(kind, normal(mention, kind))))
 
 
 def _national(mention: Column) -> Column:
@@ -135,7 +189,7 @@ def _groups(mention: Column) -> Column:
 
 
 def normal(mention: Column, kind: Column) -> Column:
-    """The value that mentions of an entity share."""
+    """The value that mentions of an entity share, but for names."""
     d = digits_of(mention)
     return (
         F.when(kind == "email", F.lower(mention))
@@ -144,7 +198,6 @@ def normal(mention: Column, kind: Column) -> Column:
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "phone", _national(mention))
         .when(kind.isin("card", "ssn"), d)
-        .otherwise(F.concat_ws("|", _gender(mention), _script(mention), F.lower(_untitled(mention))))
     )
 
 
@@ -205,25 +258,29 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     plain = F.concat(plain, more(late, digit))
     head, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
     iban = F.when(_mod97(value) == 1, F.concat(head, F.lpad((98 - _mod97(F.concat(head, F.lit("00"), rest))).cast("string"), 2, "0"), rest)).otherwise(plain)
-    parts = F.split(value, r"\|")
-    n_words = F.size(F.split(F.element_at(parts, 3), " "))
+    part = lambda i: F.try_element_at(F.split(value, r"\|"), F.lit(i))
 
     def pick(options: list[str], i: Column) -> Column:
         return F.element_at(F.array(*[F.lit(x.lower()) for x in options]), _byte(digest, i) % len(options) + 1)
 
-    given = F.lit(None).cast("string")
-    for (script, gender), names in GIVEN.items():
-        given = F.when((F.element_at(parts, 2) == script) & (F.element_at(parts, 1) == gender), pick(names, F.lit(0))).otherwise(given)
-    # later attempts have longer surnames, so there are always enough
-    syllables = F.transform(
-        F.sequence(F.lit(1), F.lit(4) + attempt),
-        lambda i: F.when(F.element_at(parts, 2) == "cyrillic", pick(SYLLABLES["cyrillic"], i)).otherwise(pick(SYLLABLES["latin"], i)),
-    )
-    surname = F.array_join(syllables, "")
-    name = F.concat_ws("|", F.element_at(parts, 1), F.element_at(parts, 2), F.when(n_words > 1, F.concat_ws(" ", given, surname)).otherwise(surname))
+    def syllables(script: Column, n: Column, first: Column) -> Column:
+        each = lambda i: F.when(script == "cyrillic", pick(SYLLABLES["cyrillic"], first + i)).otherwise(pick(SYLLABLES["latin"], first + i))
+        return F.when(n > 0, joined(each, F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).otherwise("")
+
+    def given(i: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for (script, gender), names in GIVEN.items():
+            name = F.when((part(2) == script) & (part(1) == gender), pick(names, i)).otherwise(name)
+        return name
+
+    # later attempts have longer names, so there are always enough
+    n_words = F.size(F.split(part(3), " "))
+    all_given = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), n_words), given), " "), syllables(part(2), attempt, n_words))
+    given_names = F.concat_ws("|", part(1), part(2), all_given, part(4))
+    surname = F.concat_ws("|", part(1), syllables(part(1), attempt + 4, F.lit(0)))
     return (
         F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "iban", iban)
-        .when(kind.isin("phone", "ssn"), number).when(kind == "card", card).otherwise(name)
+        .when(kind.isin("phone", "ssn"), number).when(kind == "card", card).when(kind == "given", given_names).otherwise(surname)
     )
 
 
@@ -233,13 +290,24 @@ def _cased(like: Column, new: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), lambda i: F.when(at(like, i).rlike(r"\p{Lu}"), F.upper(at(new, i))).otherwise(at(new, i))), "")
 
 
-def _named(bare: Column, new: Column) -> Column:
-    name = F.element_at(F.split(new, r"\|"), 3)
-    return F.when((F.length(bare) > 1) & (bare == F.upper(bare)), F.upper(name)).otherwise(F.initcap(name))
+def _name_shown(mention: Column, news: Column) -> tuple[Column, Column]:
+    """The given names and the surname of a name's mention in surrogates, of a map from "kind|value" to surrogate."""
+    given, surname = _given_and_surname(_untitled(mention))
+    new = lambda kind, value, i: F.try_element_at(F.split(F.try_element_at(news, F.concat_ws("|", F.lit(kind), value)), r"\|"), F.lit(i))
+    like = lambda t, word: F.when(t == F.upper(t), F.upper(word)).otherwise(F.initcap(word))
+    tokens, words = _tokens(given), F.split(new("given", _given_value(_gender(mention), given, surname), 3), " ")
+    nth = lambda i: F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), _replaced)) - 1
+    given = F.array_join(F.transform(tokens, lambda t, i: F.when(_replaced(t), like(t, F.get(words, nth(i)))).otherwise(t)), "")
+    surname = F.array_join(F.transform(_tokens(surname), lambda t: F.when(_replaced(t), like(t, new("surname", _surname_value(t), 2))).otherwise(t)), "")
+    return given, surname
+
+
+def _title(mention: Column) -> Column:
+    return F.substr(mention, F.lit(1), F.length(mention) - F.length(_untitled(mention)))
 
 
-def rendered(mention: Column, kind: Column, value: Column, new: Column) -> Column:
-    """A surrogate in the format of one mention."""
+def rendered(mention: Column, kind: Column, value: Column, new: Column, news: Column) -> Column:
+    """A surrogate in the format of one mention; for a name of all ``news`` of its parts."""
     places = F.sequence(F.lit(1), F.length(mention))
     at = lambda c, i: F.substr(c, i, F.lit(1))
     part = lambda c, i: F.substring_index(c, "@", i)
@@ -259,11 +327,11 @@ def rendered(mention: Column, kind: Column, value: Column, new: Column) -> Colum
     like = lambda groups, first: F.array_join(F.transform(groups, lambda g, i: F.right(group(first + i), F.length(g))), ":")
     ipv6 = F.when(mention.contains("::"), F.concat(like(side(1), 1), F.lit("::"), like(side(-1), 9 - F.size(side(-1))))).otherwise(like(side(1), 1))
     ipv6 = F.concat(F.when(mention.rlike("[A-F]"), F.upper(ipv6)).otherwise(ipv6), F.substr(new, F.length(value) + 1, F.length(new)))
-    bare = _untitled(mention)
-    title = F.substr(mention, F.lit(1), F.length(mention) - F.length(bare))
+    given, surname = _name_shown(mention, news)
+    name = F.concat(_title(mention), given, F.when(given != "", " ").otherwise(""), surname)
     return (
         F.when(kind == "email", email).when(kind == "ipv4", new).when(kind == "ipv6", ipv6).when(kind == "iban", spaced)
-        .when(kind.isin("phone", "card", "ssn"), filled).otherwise(F.concat(title, _named(bare, new)))
+        .when(kind.isin("phone", "card", "ssn"), filled).otherwise(name)
     )
 
 
@@ -293,17 +361,20 @@ def resolved(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         now = after
 
 
-def _bare_names(kind: Column, mention: Column, value: Column, new: Column) -> Column:
-    """(gender, name as it stands, its surrogate) of a full name after a title."""
-    bare = _untitled(mention)
-    name = F.struct(F.substring_index(value, "|", 1).alias("gender"), bare.alias("name"), _named(bare, new).alias("shown"))
-    return F.when((kind == "name") & bare.contains(" "), name)
+def _bare_names(mention: Column, news: Column) -> Column:
+    """(gender, name, its surrogate) of the full name, where a mention has one, and of the surname, which comes last in order."""
+    given, surname = _given_and_surname(_untitled(mention))
+    new_given, new_surname = _name_shown(mention, news)
+    name = lambda g, n, new: F.struct(g.alias("gender"), n.alias("name"), new.alias("shown"))
+    full = name(_gender(mention), _untitled(mention), F.concat_ws(" ", new_given, new_surname))
+    return F.filter(F.array(F.when(given != "", full), name(F.lit("~"), surname, new_surname)), lambda n: n.isNotNull())
 
 
-def _renamed(text: Column, names: Column) -> Column:
-    """``text`` with names that stand alone replaced."""
-    alone = lambda n: F.concat(F.lit(r"(?<![\p{L}])"), n, F.lit(r"(?![\p{L}])"))  # noqa: E731  names are letters and a space
-    return F.aggregate(names, text, lambda t, n: F.when(t.contains(n["name"]), F.regexp_replace(t, alone(n["name"]), n["shown"])).otherwise(t))
+def _alone(names: Column) -> Column:
+    """A pattern of all entities and of the names, long ones first, where they stand alone."""
+    by_length = F.array_sort(F.transform(F.map_keys(names), lambda n: F.struct((-F.length(n)).alias("shorter"), n.alias("name"))))
+    some = F.array_join(F.transform(by_length, lambda n: F.concat(F.lit(r"\Q"), n["name"], F.lit(r"\E"))), "|")
+    return F.when(F.size(names) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), some, F.lit(r")(?![\p{L}\p{M}])"))).otherwise(ANY)
 
 
 def masked(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -312,20 +383,24 @@ def masked(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id"
     told = F.xxhash64(text_col)
     found = docs.select(F.col(id_col).alias("_id"), told.alias("_h"), F.explode(F.array_distinct(mentions(F.col(text_col)))).alias("mention"))
     found = scratch.save(found.distinct(), "mentions")
-    distinct = found.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
-    distinct = scratch.save(distinct.withColumn("value", normal(F.col("mention"), F.col("kind"))), "values")
-    entities = resolved(distinct.select("kind", "value").distinct(), key, scratch)
-    k, m, v, new = (F.col(c) for c in ("kind", "mention", "value", "surrogate"))
-    shown = distinct.join(entities, ["kind", "value"]).select("mention", rendered(m, k, v, new).alias("shown"), _bare_names(k, m, v, new).alias("bare"))
+    distinct = found.select("mention").distinct().select("mention", F.inline(entities(F.col("mention"))))
+    distinct = scratch.save(distinct, "values")
+    new_of = resolved(distinct.select("kind", "value").distinct(), key, scratch)
+    # a mention has one entity, or the few of its name
+    news = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias("news")
+    m, is_name = F.col("mention"), F.col("kind").isin("given", "surname")
+    whole = distinct.join(new_of, ["kind", "value"]).groupBy("mention").agg(F.min("kind").alias("kind"), F.min("value").alias("value"), F.min("surrogate").alias("new"), news)
+    bare = F.when(is_name, _bare_names(m, F.col("news"))).otherwise(F.array())
+    shown = whole.select("mention", rendered(m, F.col("kind"), F.col("value"), F.col("new"), F.col("news")).alias("shown"), bare.alias("bare"))
     shown = scratch.save(shown, "shown")
     # names that tell a gender first, so that the others follow them
-    names = F.array_sort(F.collect_set("bare"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("bare"))))
     per_doc = found.join(shown, "mention").groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("_shown"), names.alias("_names"))
     by_name = F.aggregate(
         "_names", F.create_map().cast("map<string,string>"), lambda acc, n: F.when(F.map_contains_key(acc, n["name"]), acc).otherwise(F.map_concat(acc, F.create_map(n["name"], n["shown"])))
     )
     per_doc = scratch.save(per_doc.select("_id", "_h", "_shown", by_name.alias("_names")), "by-document")
-    scratch.drop(found, distinct, entities, shown)
+    scratch.drop(found, distinct, new_of, shown)
 
     n = free_name(docs, count_col or "_n")
     has = F.coalesce(F.col(text_col).rlike(HINT) & F.col(text_col).rlike(ANY), F.lit(False))
@@ -333,15 +408,14 @@ def masked(docs: DataFrame, key: str = DEMONSTRATION_KEY, id_col: str = "doc_id"
     own, own_h, shown_col, names_col = (free_name(docs, c) for c in ("_own_id", "_own_hash", "_own_shown", "_own_names"))
     per_doc = per_doc.withColumnsRenamed({"_id": own, "_h": own_h, "_shown": shown_col, "_names": names_col})
     with_some = docs.where(has).join(per_doc, F.col(id_col).eqNullSafe(F.col(own)) & (told == F.col(own_h)))
-    every = mentions(F.col(text_col))
-    named = F.transform(F.map_entries(F.col(names_col)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("shown")))
+    bare, pattern = F.col(names_col), _alone(F.col(names_col))
+    every = F.regexp_extract_all(F.col(text_col), pattern, F.lit(0))
     # a name after a title that tells no gender follows the one that does
-    bare = F.col(names_col)
     put = lambda m: F.coalesce(
-        F.when(_gender(m) == "n", F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(_untitled(m))), F.try_element_at(bare, _untitled(m)))), F.try_element_at(F.col(shown_col), m), m
+        F.when(_gender(m) == "n", F.concat(_title(m), F.try_element_at(bare, _untitled(m)))), F.try_element_at(F.col(shown_col), m), F.try_element_at(bare, m), m
     )
-    gaps = F.transform(F.split(F.col(text_col), ANY, -1), lambda g: _renamed(g, named))
-    new_text = F.array_join(F.zip_with(gaps, F.transform(every, put), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    dirty = with_some.withColumns({text_col: new_text, n: F.size(every).cast("long")}).select(*clean.columns)
+    new_text = F.array_join(F.zip_with(F.split(F.col(text_col), pattern, -1), F.transform(every, put), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    counted = F.size(F.filter(every, lambda m: F.map_contains_key(F.col(shown_col), m)))
+    dirty = with_some.withColumns({text_col: new_text, n: counted.cast("long")}).select(*clean.columns)
     out = clean.unionByName(dirty)
     return out.withColumnRenamed(n, count_col) if count_col else out.drop(n)

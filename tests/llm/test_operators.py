@@ -94,6 +94,10 @@ def test_surrogates_against_plain_python(spark):
         (None, "Господин Иван Петров; Иван Петров. +1 743-555-3824"),
         (None, "Mrs Ann Lee a@b.co"),
         (10_003, "No title: John Smith, Ann Lee"),
+        (10_004, "Mr John Miller called. Later Mr Miller and Dr. Miller; Miller, Dr John Miller. Mr Peter Miller, MR. Millers, Mr JOHN MILLER"),
+        (10_005, "Mrs Anna Schmidt-Weber, Frau Schmidt, Mr O'Brien's car, Ms Ann-Marie D’Arc; O'Brien, Schmidt-Weber and Weber-Schmidt"),
+        (10_006, "Sr José María Aznar López; Señor Aznar; Herr van der Berg, Mr J. R. R. Tolkien, Tolkien; Mr Ludwig von Hohen Stein Mrs Ada King"),
+        (10_007, "Господин Иван Петрович Сидоров и Г-н Сидоров; Mr Jose\u0301 Luis Ruiz"),
     ]
     want = masked([t for _, t in rows], "k")
     got = pii_surrogates.masked(spark.createDataFrame(rows, "doc_id long, text string"), key="k", count_col="n")
@@ -102,14 +106,37 @@ def test_surrogates_against_plain_python(spark):
     assert sum(n for _, n in want) > 30
 
 
+def test_a_person_stays_one_person(spark):
+    said = [
+        "Mr John Miller called. Later Mr Miller came, then Dr. Miller, and Miller left with Dr John Miller.",
+        "Mrs Anna Schmidt-Weber, Mrs Schmidt",
+        "Mr O'Brien; Mr Brien",
+        "Mr José María Aznar López; Mr Aznar; Mr López",
+        "Mr John Miller and Mr Peter Miller, Ms John Miller",
+    ]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii_surrogates.masked(df, key="k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) called\. Later Mr (\w+) came, then Dr\. (\w+), and (\w+) left with Dr (\w+) (\w+)\.", out[0])
+    assert m and m[2] == m[3] == m[4] == m[5] == m[7] != "Miller" and m[1] == m[6] != "John", out[0]
+    a = re.fullmatch(r"Mrs (\w+) (\w+)-(\w+), Mrs (\w+)", out[1])
+    assert a and a[2] == a[4] and len({*a.groups(), "Anna", "Schmidt", "Weber"}) == 6, out[1]
+    b = re.fullmatch(r"Mr O'(\w+); Mr (\w+)", out[2])
+    assert b and b[1] == b[2] != "Brien", out[2]
+    c = re.fullmatch(r"Mr (\w+) (\w+) (\w+) (\w+); Mr (\w+); Mr (\w+)", out[3])
+    assert c and (c[3], c[4]) == (c[5], c[6]) and not {"José", "María", "Aznar", "López"} & set(c.groups()), out[3]
+    d = re.fullmatch(r"Mr (\w+) (\w+) and Mr (\w+) (\w+), Ms (\w+) (\w+)", out[4])
+    assert d and d[2] == d[4] == d[6] == m[2] and d[1] == m[1] != d[3] and d[5] in pii_surrogates.GIVEN["latin", "f"], out[4]
+
+
 def test_surrogates_of_crowded_kinds_end(spark, monkeypatch):
     """More values than forms of the first length: 400 of 676 addresses, all 100 numbers of two digits."""
     letters = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnop"][:400]
     monkeypatch.setattr(pii_surrogates, "ROOMY", 3)
     rows = [("email", v) for v in letters] + [("phone", f"{i:02d}") for i in range(100)]
+    rows += [("given", f"m|latin|a{i}|smith") for i in range(100)]
     got = pii_surrogates.resolved(spark.createDataFrame(rows, "kind string, value string"), "k", pii_surrogates.Scratch(spark, "test")).collect()
     new = {(r["kind"], r["surrogate"]) for r in got}
-    assert len(got) == len(new) == 500 and not new & set(rows)
+    assert len(got) == len(new) == 600 and not new & set(rows)
 
 
 def test_surrogates_of_checked_and_compressed_forms(spark):
