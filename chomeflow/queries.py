@@ -26,6 +26,7 @@ from chomeflow.plans import formats, timings
 from chomeflow.plans.normalize import kanji_converted, normalize, parse, sanitized
 from chomeflow.plans.validate import ACCEPTED, AMBIGUOUS, MALFORMED, exit_code, validate, validation
 from chomeflow.sources import registry as R
+from chomeflow.sources.json_array import write_json_array
 from chomeflow.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -869,6 +870,15 @@ def fetch_outcomes(spark, sf_dir):
     return spark.createDataFrame([(k, *fetch("http://localhost/", 5.0, "x", _opener(o))) for k, o, _, _ in _FETCHED], "outcome string, body string, error string")
 
 
+@query("SELECT p_partkey, p_name, p_brand, p_size::INT AS p_size, p_retailprice::DOUBLE AS p_retailprice FROM part")
+def json_array_of_parts(spark, sf_dir):
+    """Parts by name as arrays from many tasks, read back."""
+    at = _file(spark, "parts")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("int").alias("p_size"), F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    write_json_array(parts.orderBy("p_name", "p_partkey"), at)
+    return spark.read.schema(parts.schema).option("multiLine", True).option("mode", "FAILFAST").json(at)
+
+
 @query(
     """WITH t AS (SELECT o_orderkey % 5 AS corpus, ((o_orderkey * 37) % 1009)::DOUBLE AS us FROM orders),
     r AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY us) - 1 AS k, count(*) OVER (PARTITION BY corpus) AS m FROM t)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chomeflow.data import seed
 from chomeflow.functions import codes
 from chomeflow.operators.prefixes import Ladder, bounded, longest_prefix_join, prefix_ladder
+from chomeflow.sources.json_array import write_json_array
 
 PREFECTURE = "code string, name string, stem string, suffix string, kana string, romaji string"
 MUNICIPALITY = (
@@ -162,14 +163,11 @@ def build_from_workbook(spark: SparkSession, workbook: str, counties_path: str |
 
 
 def write(register: DataFrame, path: str) -> None:
-    """One sorted file: a Parquet table if the path ends in .parquet, else a JSON array. For registers of bounded size."""
+    """In code order: a Parquet table if the path ends in .parquet, else one file with a JSON array, of any number of records."""
     if path.endswith(".parquet"):
-        register.orderBy("lg_code").coalesce(1).write.mode("overwrite").parquet(path)
+        register.orderBy("lg_code").write.mode("overwrite").parquet(path)
         return
-    if (n := register.count()) > MOST_RECORDS:
-        raise ValueError(f"{n} records don't make a JSON array; write them to a .parquet path")
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("lg_code", F.struct("*").alias("r")))), lambda x: x["r"])
-    register.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    write_json_array(register.orderBy("lg_code"), path, single=True)
 
 
 # --- key index -----------------------------------------------------------------------------------
