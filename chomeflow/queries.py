@@ -27,6 +27,7 @@ from chomeflow.plans.normalize import kanji_converted, normalize, parse, sanitiz
 from chomeflow.plans.validate import ACCEPTED, AMBIGUOUS, MALFORMED, exit_code, validate, validation
 from chomeflow.sources import registry as R
 from chomeflow.sources.json_array import write_json_array
+from chomeflow.sources.workbook import scan_workbook, write_workbooks
 from chomeflow.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -870,6 +871,14 @@ def fetch_outcomes(spark, sf_dir):
     return spark.createDataFrame([(k, *fetch("http://localhost/", 5.0, "x", _opener(o))) for k, o, _, _ in _FETCHED], "outcome string, body string, error string")
 
 
+@query("SELECT c_custkey::VARCHAR AS code, c_name AS name, c_mktsegment AS segment FROM customer")
+def workbooks_of_customers(spark, sf_dir):
+    """Customers as workbooks from many tasks, scanned by ranges of rows."""
+    at = _file(spark, "customers")
+    write_workbooks(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment"), at)
+    return scan_workbook(spark, at, [1], "A string, B string, C string", rows_per_partition=10_000).toDF("code", "name", "segment")
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_size::INT AS p_size, p_retailprice::DOUBLE AS p_retailprice FROM part")
 def json_array_of_parts(spark, sf_dir):
     """Parts by name as arrays from many tasks, read back."""

@@ -15,7 +15,6 @@ order of the DataFrame if it is sorted.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from chomeflow.sources.shared import qualified
+
 ROWS_PER_FILE = 100_000
 BLOCK = 8 << 20
 
@@ -130,8 +131,5 @@ def write_json_array(df: DataFrame, path: str, single: bool = False, rows_per_fi
     """The rows as JSON objects, in the order of the DataFrame, in the folder ``path`` or, with ``single``, in the file ``path``."""
     spark = df.sparkSession
     spark.dataSource.register(JsonArraySource)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    whole = re.sub(r"^file:/(?!/)", "file:///", whole)
     rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    rows.write.format("json_array").options(path=whole, single=str(single).lower(), rowsPerFile=str(rows_per_file)).mode(mode).save()
+    rows.write.format("json_array").options(path=qualified(spark, path), single=str(single).lower(), rowsPerFile=str(rows_per_file)).mode(mode).save()

@@ -5,10 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
-import zipfile
 from collections.abc import Callable, Mapping
-from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +14,7 @@ from chomeflow.data import seed
 from chomeflow.functions import codes
 from chomeflow.operators.prefixes import Ladder, bounded, longest_prefix_join, prefix_ladder
 from chomeflow.sources.json_array import write_json_array
+from chomeflow.sources.workbook import scan_workbook
 
 PREFECTURE = "code string, name string, stem string, suffix string, kana string, romaji string"
 MUNICIPALITY = (
@@ -71,39 +69,8 @@ def provenance(path: str | None = None) -> dict:
 
 # --- builder -------------------------------------------------------------------------------------
 
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _shared_strings(book: zipfile.ZipFile) -> list[str]:
-    """Each entry's own text, or the text of its runs; readings over them are left out."""
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return []
-    out = []
-    for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_NS}si"):
-        own = item.find(f"{_NS}t")
-        parts = [own] if own is not None else item.findall(f"{_NS}r/{_NS}t")
-        out.append("".join(t.text or "" for t in parts))
-    return out
-
-
-def read_sheet(path: str, sheet: int) -> list[dict[str, str]]:
-    """Rows of a worksheet (from 1) as column letter -> text. A statutory workbook is small; the driver reads it once."""
-    with zipfile.ZipFile(path) as book:
-        shared = _shared_strings(book)
-        rows = []
-        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{_NS}row"):
-            cells = {}
-            for cell in row.findall(f"{_NS}c"):
-                value = cell.find(f"{_NS}v")
-                if value is not None and value.text is not None:
-                    letters = re.match("[A-Z]+", cell.get("r", "A"))[0]
-                    cells[letters] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-            rows.append(cells)
-    return rows
-
-
 def sheet_frame(spark: SparkSession, rows: list[Mapping[str, str]]) -> DataFrame:
-    """(row, code, prefecture, municipality) of a workbook's first three columns."""
+    """(row, code, prefecture, municipality) of rows given by column letters."""
     data = [(i, r.get("A"), r.get("B"), r.get("C")) for i, r in enumerate(rows)]
     return spark.createDataFrame(data, "row int, code string, prefecture string, municipality string")
 
@@ -159,7 +126,8 @@ def build(municipal: DataFrame, wards: DataFrame, counties: DataFrame, records:
 
 
 def build_from_workbook(spark: SparkSession, workbook: str, counties_path: str | None = None, records: int | None = FULL_RECORDS) -> DataFrame:
-    return build(sheet_frame(spark, read_sheet(workbook, 1)), sheet_frame(spark, read_sheet(workbook, 2)), county_map(spark, counties_path), records)
+    sheet = lambda i: scan_workbook(spark, workbook, [i]).toDF("row", "code", "prefecture", "municipality")
+    return build(sheet(1), sheet(2), county_map(spark, counties_path), records)
 
 
 def write(register: DataFrame, path: str) -> None:

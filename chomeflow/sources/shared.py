@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,3 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     at = "file://" + tempfile.mkdtemp(prefix="chomeflow-")
     spark.conf.set(CHECKPOINT, at)
     return at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as Spark resolves it, in the form that other libraries read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(r"^file:/(?!/)", "file:///", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
